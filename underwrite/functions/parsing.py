@@ -21,8 +21,7 @@ def dec(value: float) -> Column:
 
 def number_from_text(c: Column | str) -> Column:
     """Digits, dots and minus signs only; anything that is then no number becomes NULL."""
-    digits = F.regexp_replace(col(c), r"[^0-9.\-]", "")
-    return F.when(digits != "", digits).try_cast("double")
+    return F.regexp_replace(col(c), r"[^0-9.\-]", "").try_cast("double")
 
 
 def month_from_text(c: Column | str) -> Column:

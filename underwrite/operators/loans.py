@@ -22,33 +22,45 @@ from underwrite.functions.parsing import (
 from underwrite.functions.scoring import ratio
 
 
-def numeric_column(feature: C.Numeric, spec: C.LoanSpec) -> Column:
-    """The typed column of one numeric feature."""
-    if feature.name == "emp_length_years":
-        return employment_years(feature.source)
-    if feature.name == "fico_score":
-        return score_midpoint(number_from_text(feature.source), number_from_text("fico_range_high"))
-    if feature.name == "credit_history_months":
-        opened, issued = month_from_text(feature.source), month_from_text(spec.date_source)
-        return whole_months(opened, issued).cast("double")
-    return number_from_text(feature.source)
+# Features whose column combines several raw ones.
+COMBINED = ("fico_score", "credit_history_months")
 
 
 def parse_loans(raw: DataFrame, spec: C.LoanSpec | None = None) -> DataFrame:
-    """Canonical loan rows: one projection over the raw text columns."""
+    """Canonical loan rows from raw text columns.
+
+    The first projection parses each text once; the second combines parsed values, so that no
+    text is parsed again for every use.
+    """
     spec = spec or C.LoanSpec()
     if "fico_range_high" not in raw.columns:
         raw = raw.withColumn("fico_range_high", F.lit(None).cast("string"))
-    issued = month_from_text(spec.date_source)
-    term = next(numeric_column(f, spec) for f in spec.numeric if f.name == "term_months")
-    label = status_label(spec.status_source, spec.positive, spec.negative)
-    matured = is_matured(issued, term, spec.label_snapshot)
-    return raw.filter(is_loan_row("loan_amnt")).select(
+    parsed = raw.filter(is_loan_row("loan_amnt")).select(
         F.trim(spec.id_source).alias(spec.id_column),
-        issued.alias(spec.date_column),
-        *[numeric_column(f, spec).alias(f.name) for f in spec.numeric],
+        month_from_text(spec.date_source).alias(spec.date_column),
+        *[
+            (employment_years(f.source) if f.name == "emp_length_years" else number_from_text(f.source)).alias(f.name)
+            for f in spec.numeric
+            if f.name not in COMBINED
+        ],
+        number_from_text("fico_range_low").alias("_low"),
+        number_from_text("fico_range_high").alias("_high"),
+        month_from_text("earliest_cr_line").alias("_opened"),
         *[clean_category(f.source, C.CATEGORY_ALIASES.get(f.name)).alias(f.name) for f in spec.categorical],
         F.trim(spec.status_source).alias(spec.status_column),
+    )
+    combined = {
+        "fico_score": score_midpoint(F.col("_low"), F.col("_high")),
+        "credit_history_months": whole_months("_opened", spec.date_column).cast("double"),
+    }
+    label = status_label(spec.status_column, spec.positive, spec.negative)
+    matured = is_matured(spec.date_column, "term_months", spec.label_snapshot)
+    return parsed.select(
+        spec.id_column,
+        spec.date_column,
+        *[combined[f.name].alias(f.name) if f.name in COMBINED else F.col(f.name) for f in spec.numeric],
+        *spec.categorical_names,
+        spec.status_column,
         F.when(matured, label).alias(spec.target),
     )
 
