@@ -7,21 +7,24 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from underwrite.config import Z_95
 from underwrite.functions.parsing import col, dec
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """Two-sided normal tail of a z value. Spark has no error function; callers pass aggregates only."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore").astype("float64")
+def two_sided_p(z: Column | str) -> Column:
+    """Two-sided normal tail of a z column, NULL-safe.
 
+    Spark has no error function; callers pass aggregates, so the batch UDF sees a few rows. It is
+    defined here to travel to the workers by value.
+    """
+
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore").astype("float64")
 
-def two_sided_p(z: Column | str) -> Column:
-    """NULL-safe p-value of a z column."""
     value = col(z)
-    return F.when(value.isNotNull(), normal_two_sided(value))
+    return F.when(value.isNotNull(), F.pandas_udf(tail, T.DoubleType())(value))
 
 
 def wilson(successes: Column | str, n: Column | str, z: float = Z_95) -> tuple[Column, Column]:

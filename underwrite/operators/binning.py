@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from underwrite.config import SCORECARD_MISSING_CODE, SCORECARD_OTHER
 from underwrite.functions.parsing import dec
@@ -60,19 +61,6 @@ def candidate_edges(counts: DataFrame, max_bins: int = 10, max_discrete: int = 3
     return discrete.unionByName(continuous)
 
 
-def _absorb(bins: list[list[float]], minimum: float) -> list[float]:
-    """Merge bins ``[size, upper edge]`` until each holds ``minimum`` rows; returns the inner edges."""
-    while len(bins) > 1:
-        at = min(range(len(bins)), key=lambda i: bins[i][0])
-        if bins[at][0] >= minimum:
-            break
-        left = bins[at - 1][0] if at > 0 else float("inf")
-        right = bins[at + 1][0] if at + 1 < len(bins) else float("inf")
-        first = at - 1 if left <= right else at
-        bins[first : first + 2] = [[bins[first][0] + bins[first + 1][0], bins[first + 1][1]]]
-    return [edge for _, edge in bins[:-1]]
-
-
 def merge_small_bins(counts: DataFrame, edges: DataFrame, min_share: float = 0.01) -> DataFrame:
     """(feature, edges) after joining neighbours of bins under ``min_share`` of the known rows.
 
@@ -87,8 +75,18 @@ def merge_small_bins(counts: DataFrame, edges: DataFrame, min_share: float = 0.0
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         cuts = list(group["edges"].iloc[0])
         size = dict(zip(group["code"], group["n"], strict=True))
-        bins = [[float(size.get(i, 0)), cuts[i] if i < len(cuts) else float("inf")] for i in range(len(cuts) + 1)]
-        kept = _absorb(bins, min_share * float(group["n"].sum()))
+        minimum = min_share * float(group["n"].sum())
+        # Each bin is [rows, upper edge]; the last one is open.
+        bins = [[float(size.get(i, 0)), edge] for i, edge in enumerate([*cuts, float("inf")])]
+        while len(bins) > 1:
+            at = min(range(len(bins)), key=lambda i: bins[i][0])
+            if bins[at][0] >= minimum:
+                break
+            left = bins[at - 1][0] if at > 0 else float("inf")
+            right = bins[at + 1][0] if at + 1 < len(bins) else float("inf")
+            first = at - 1 if left <= right else at
+            bins[first : first + 2] = [[bins[first][0] + bins[first + 1][0], bins[first + 1][1]]]
+        kept = [edge for _, edge in bins[:-1]]
         return pd.DataFrame({"feature": [group["feature"].iloc[0]], "edges": [kept]})
 
     return sizes.groupBy("feature").applyInPandas(merge, "feature string, edges array<double>")
@@ -184,10 +182,13 @@ def iv_table(woe: DataFrame) -> DataFrame:
     return table.select("feature", "iv", iv_strength(F.col("iv")).alias("strength"), "n_bins")
 
 
-@F.pandas_udf("string")
-def short_number(values: pd.Series) -> pd.Series:
+def short_number(c: Column) -> Column:
     """Four significant digits without trailing zeros; called on bin tables only."""
-    return values.map(lambda v: f"{v:.4g}", na_action="ignore")
+
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.4g}", na_action="ignore")
+
+    return F.pandas_udf(text, T.StringType())(c)
 
 
 def bin_label(code: Column, edges: Column, levels: Column) -> Column:

@@ -43,8 +43,9 @@ def poisson(count: Column, *parts: Column | str) -> Column:
         )
 
     start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("cum"), dec(0).alias("draw"))
-    steps = F.sequence(dec(1).cast("int"), F.lit(4 * SMALL_COUNT))
-    exact = F.aggregate(F.transform(steps, lambda k: k.cast("double")), start, step, lambda s: s["draw"])
+    # Twelve deviations above the rate nothing is left to draw.
+    last = (rate + F.sqrt(rate) * 12 + 10).cast("int")
+    exact = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["draw"])
     radius = F.sqrt(dec(-2) * F.log(uniform(F.lit("r"), *parts)))
     normal = radius * F.cos(dec(2 * math.pi) * uniform(F.lit("a"), *parts))
     rounded = F.greatest(dec(0), F.round(rate + F.sqrt(rate) * normal))

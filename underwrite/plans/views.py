@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from underwrite.session import prepare
+
 TABLES = (
     "region",
     "nation",
@@ -113,9 +115,7 @@ from {events} where event_type <> 'signup'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Month arithmetic and the oracle share one clock.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -17,37 +17,34 @@ DDM_STATE = "n bigint, hits double, low double, low_sd double, state string"
 PH_STATE = "n bigint, total double, cum double, low double, done boolean"
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[float]:
-    """Values of one key in (ts, id) order; Spark hands over one micro-batch of the key."""
-    # A micro-batch is bounded by the source's trigger option; state between them is a few numbers.
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-    yield from rows["value"].to_numpy(dtype=float)
-
-
 def stream_ddm(df: DataFrame, rules: MonitoringRules | None = None) -> DataFrame:
     """Alerts of the drift detection method; input (key, ts, id, value in 0/1).
 
     A key reports its first warning and its first drift; after a drift it stays silent.
     """
     rules = rules or MonitoringRules()
+    # Plain numbers: the update function travels to the workers by value.
+    min_n, warn, drift = rules.ddm_min_n, rules.ddm_warning_level, rules.ddm_drift_level
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, hits, low, low_sd, name = state.get if state.exists else (0, 0.0, math.inf, 0.0, "estable")
         alerts = []
-        for value in _in_order(batches):
+        # One micro-batch of the key, whose size the source's trigger option bounds.
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+        for value in rows["value"].to_numpy(dtype=float):
             if name == "drift":
                 break
             n, hits = n + 1, hits + value
             rate = hits / n
             sd = math.sqrt(max(rate * (1 - rate), 0.0) / n)
-            if n < rules.ddm_min_n or sd == 0:
+            if n < min_n or sd == 0:
                 continue
             if rate + sd < low:
                 low, low_sd = rate + sd, sd
             excess = rate + sd - (low - low_sd)
-            if excess > rules.ddm_drift_level * low_sd:
+            if excess > drift * low_sd:
                 name = "drift"
-            elif excess > rules.ddm_warning_level * low_sd and name == "estable":
+            elif excess > warn * low_sd and name == "estable":
                 name = "warning"
             else:
                 continue
@@ -61,17 +58,19 @@ def stream_ddm(df: DataFrame, rules: MonitoringRules | None = None) -> DataFrame
 def stream_page_hinkley(df: DataFrame, rules: MonitoringRules | None = None) -> DataFrame:
     """First sustained rise of the mean per key; input (key, ts, id, value)."""
     rules = rules or MonitoringRules()
+    delta, limit = rules.page_hinkley_delta, rules.page_hinkley_lambda
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, cum, low, done = state.get if state.exists else (0, 0.0, 0.0, 0.0, False)
         alerts = []
-        for value in _in_order(batches):
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+        for value in rows["value"].to_numpy(dtype=float):
             if done:
                 break
             n, total = n + 1, total + value
-            cum += value - total / n - rules.page_hinkley_delta
+            cum += value - total / n - delta
             low = min(low, cum)
-            if cum - low > rules.page_hinkley_lambda:
+            if cum - low > limit:
                 done = True
                 alerts.append((key[0], "page_hinkley", "drift", n - 1, cum - low))
         state.update((n, total, cum, low, done))
