@@ -1,101 +1,125 @@
-"""Percentile bootstrap of ranking metrics, all replicates in one job.
-
-Rows collapse to label counts per distinct score first. A replicate then draws a Poisson weight
-for each (score, class) count, because the sum of c independent Poisson(1) row weights is
-Poisson(c). Draws come from hashes, so a recomputed task repeats them.
+"""Percentile bootstrap of ranking metrics, all replicates in two passes over score ranges.
+
+Rows collapse to label counts per distinct score, and the counts are cut into score ranges of equal
+size. A replicate draws a Poisson weight for each (score, class) count, because the sum of c
+independent Poisson(1) row weights is Poisson(c). The first pass brings the weight totals of each
+(range, replicate) home; their running sums tell the second pass what lies below its range. Rows
+never multiply by the number of replicates. Draws are seeded by range, so a recomputed task
+repeats them.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from underwrite.functions.parsing import dec
-from underwrite.operators.counts import neg_below, ranked, score_counts
-from underwrite.operators.metrics import average_precision, separation
-from underwrite.operators.quantiles import exact_quantiles
-
-SMALL_COUNT = 30
-
-
-def uniform(*parts: Column | str) -> Column:
-    """Hash of the parts as a number strictly between 0 and 1."""
-    # 53 bits: the remainder is exact in a double, the half step keeps it off both ends.
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**53)).cast("double") + dec(0.5)) / dec(float(2**53))
-
-
-def poisson(count: Column, *parts: Column | str) -> Column:
-    """Poisson(count) draw: inverse distribution for small counts, rounded normal above."""
-    u = uniform(F.lit("u"), *parts)
-    rate = count.cast("double")
-
-    def step(state: Column, k: Column) -> Column:
-        # (term, cumulated probability, draw): the draw counts the steps still below u.
-        term = state["term"] * rate / k
-        below = state["cum"] < u
-        return F.struct(
-            term.alias("term"),
-            (state["cum"] + term).alias("cum"),
-            (state["draw"] + below.cast("double")).alias("draw"),
-        )
-
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("cum"), dec(0).alias("draw"))
-    # Twelve deviations above the rate nothing is left to draw.
-    last = (rate + F.sqrt(rate) * 12 + 10).cast("int")
-    exact = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["draw"])
-    radius = F.sqrt(dec(-2) * F.log(uniform(F.lit("r"), *parts)))
-    normal = radius * F.cos(dec(2 * math.pi) * uniform(F.lit("a"), *parts))
-    rounded = F.greatest(dec(0), F.round(rate + F.sqrt(rate) * normal))
-    draw = F.when(count <= 0, dec(0)).when(count <= SMALL_COUNT, exact).otherwise(rounded)
-    return draw.cast("bigint")
-
-
-def replicates(counts: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """(keys, replicate, score, pos, neg); replicate 0 is the data itself."""
-    numbered = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    base = [F.lit(seed), "replicate", *keys, "score"]
-    original = F.col("replicate") == 0
-    drawn = numbered.withColumns(
-        {
-            "pos": F.when(original, F.col("pos")).otherwise(poisson(F.col("pos"), F.lit("p"), *base)),
-            "neg": F.when(original, F.col("neg")).otherwise(poisson(F.col("neg"), F.lit("n"), *base)),
-        }
-    )
-    return drawn.filter(F.col("pos") + F.col("neg") > 0)
+from underwrite.operators.counts import score_counts
+from underwrite.operators.scan import RANGE, with_range
+
+
+@dataclass(frozen=True)
+class Metric:
+    """Part of a metric one score range contributes, and how parts combine (``sum`` or ``max``).
+
+    ``part(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all)`` gets ascending arrays of one
+    range with cumulative weights over all scores, and the total weight of each class.
+    """
+
+    part: Callable[..., float]
+    combine: str = "sum"
+
+
+def standard_metrics() -> dict[str, Metric]:
+    """AUC, separation and average precision (built here so that they travel by value)."""
+
+    def auc(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
+        return float((pos * (neg_cum - neg / 2.0)).sum() / (pos_all * neg_all))
+
+    def ks(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
+        return float(abs(pos_cum / pos_all - neg_cum / neg_all).max())
+
+    def pr_auc(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
+        hits, alarms = pos_all - pos_cum + pos, neg_all - neg_cum + neg
+        flagged = hits + alarms
+        safe = flagged > 0
+        return float((pos[safe] / pos_all * hits[safe] / flagged[safe]).sum())
+
+    return {"roc_auc": Metric(auc), "ks": Metric(ks, "max"), "pr_auc": Metric(pr_auc)}
 
 
-def auc_metric() -> Column:
-    """AUC of a ranked frame."""
-    return F.sum(F.col("pos") * neg_below()) / (F.max("pos_all").cast("double") * F.max("neg_all"))
+def _weights(n: int, seed: int) -> Callable[[tuple, pd.DataFrame], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Generator of (replicate, positive weights, negative weights); replicate 0 is the data itself."""
 
+    def draw(key: tuple, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        pos, neg = rows["pos"].to_numpy(dtype=float), rows["neg"].to_numpy(dtype=float)
+        yield 0, pos, neg
+        rng = np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, key))).encode())])
+        for replicate in range(1, n + 1):
+            yield replicate, rng.poisson(pos).astype(float), rng.poisson(neg).astype(float)
 
-METRICS: dict[str, Callable[[], Column]] = {
-    "roc_auc": auc_metric,
-    "ks": separation,
-    "pr_auc": average_precision,
-}
+    return draw
 
 
 def replicate_metrics(
     df: DataFrame,
     label: Column | str,
     score: Column | str,
-    metrics: dict[str, Callable[[], Column]],
+    metrics: dict[str, Metric],
     n: int = 300,
     keys: Sequence[str] = (),
     seed: int = 42,
 ) -> DataFrame:
     """(keys, replicate, one column per metric); replicates that lost a class are left out."""
-    counts = score_counts(df, label, score, keys)
-    by = [*keys, "replicate"]
-    # The draw is a projection, so ranking sees a grouped frame with unique (replicate, score).
-    rows = ranked(replicates(counts, keys, n, seed), by)
-    both = (F.max("pos_all") > 0) & (F.max("neg_all") > 0)
-    result = rows.groupBy(*by).agg(*[f().alias(name) for name, f in metrics.items()], both.alias("_ok"))
-    return result.filter("_ok").drop("_ok")
+    counts = with_range(score_counts(df, label, score, keys), ["score"], grouped=True)
+    by = [*keys, RANGE]
+    types = dict(counts.dtypes)
+    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in by)
+    draw = _weights(n, seed)
+    names = list(metrics)
+    parts = [metrics[m].part for m in names]
+
+    def totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score", kind="stable")
+        sums = [(*key, b, pos.sum(), neg.sum()) for b, pos, neg in draw(key, rows)]
+        return pd.DataFrame(sums, columns=[*by, "replicate", "pos", "neg"])
+
+    totals_ddl = f"{key_ddl}, replicate int, pos double, neg double"
+    sums = counts.groupBy(*by).applyInPandas(totals, totals_ddl)
+    one = W.partitionBy(*keys, "replicate")
+    below = one.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        *by,
+        "replicate",
+        F.coalesce(F.sum("pos").over(below), F.lit(0.0)).alias("pos_below"),
+        F.coalesce(F.sum("neg").over(below), F.lit(0.0)).alias("neg_below"),
+        F.sum("pos").over(one).alias("pos_all"),
+        F.sum("neg").over(one).alias("neg_all"),
+    ).filter((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
+
+    def contribute(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score", kind="stable")
+        score_ = rows["score"].to_numpy(dtype=float)
+        at = known.set_index("replicate")[["pos_below", "neg_below", "pos_all", "neg_all"]]
+        found = dict(zip(at.index, at.to_numpy(dtype=float), strict=True))
+        out = []
+        for b, pos, neg in draw(key, rows):
+            if b in found:
+                pos_below, neg_below, pos_all, neg_all = found[b]
+                ranked = (score_, pos, neg, pos_below + pos.cumsum(), neg_below + neg.cumsum(), pos_all, neg_all)
+                out.append((*key, b, *[part(*ranked) for part in parts]))
+        return pd.DataFrame(out, columns=[*by, "replicate", *names])
+
+    parts_ddl = f"{key_ddl}, replicate int, " + ", ".join(f"`{m}` double" for m in names)
+    local = counts.groupBy(*by).cogroup(offsets.groupBy(*by)).applyInPandas(contribute, parts_ddl)
+    combined = [(F.max if metrics[m].combine == "max" else F.sum)(m).alias(m) for m in names]
+    return local.groupBy(*keys, "replicate").agg(*combined)
 
 
 def bootstrap_interval(
@@ -107,17 +131,21 @@ def bootstrap_interval(
     alpha: float = 0.05,
     keys: Sequence[str] = (),
     seed: int = 42,
-    custom: dict[str, Callable[[], Column]] | None = None,
+    custom: dict[str, Metric] | None = None,
 ) -> DataFrame:
-    """(keys, metric, estimate, ci_low, ci_high, n_boot). ``custom`` adds aggregates over ranked counts."""
-    chosen = {m: METRICS[m] for m in metrics} | (custom or {})
+    """(keys, metric, estimate, ci_low, ci_high, n_boot). ``custom`` adds the caller's own metrics."""
+    known = standard_metrics()
+    chosen = {m: known[m] for m in metrics} | (custom or {})
     values = replicate_metrics(df, label, score, chosen, n, keys, seed)
     long = values.unpivot([*keys, "replicate"], list(chosen), "metric", "value")
     by = [*keys, "metric"]
-    estimate = long.filter("replicate = 0").select(*by, F.col("value").alias("estimate"))
-    limits = exact_quantiles(long.filter("replicate > 0"), by, "value", [alpha / 2, 1 - alpha / 2])
-    return estimate.join(limits, by).select(
-        *by, "estimate", F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"), F.col("n").alias("n_boot")
+    # At most n rows per (key, metric): small enough for the built-in exact percentile.
+    drawn = F.when(F.col("replicate") > 0, F.col("value"))
+    return long.groupBy(*by).agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("value"))).alias("estimate"),
+        F.percentile(drawn, alpha / 2).alias("ci_low"),
+        F.percentile(drawn, 1 - alpha / 2).alias("ci_high"),
+        F.count(drawn).alias("n_boot"),
     )
 
 
@@ -134,21 +162,17 @@ def auc_difference(
 ) -> DataFrame:
     """(keys, auc_diff, ci_low, ci_high, p_value) of AUC(second) - AUC(first), arms drawn independently."""
     rows = df.filter(F.col(arm).isin(first, second))
-    values = replicate_metrics(rows, label, score, {"auc": auc_metric}, n, [*keys, arm], seed)
+    only = {"auc": standard_metrics()["roc_auc"]}
+    values = replicate_metrics(rows, label, score, only, n, [*keys, arm], seed)
     paired = values.groupBy(*keys, "replicate").agg(
         F.max(F.when(F.col(arm) == first, F.col("auc"))).alias("a"),
         F.max(F.when(F.col(arm) == second, F.col("auc"))).alias("b"),
     )
-    diffs = paired.select(*keys, "replicate", (F.col("b") - F.col("a")).alias("value")).filter(F.col("value").isNotNull())
-    drawn = diffs.filter("replicate > 0")
-    limits = exact_quantiles(drawn, keys, "value", [0.025, 0.975])
-    tail = drawn.groupBy(*keys).agg(F.avg((F.col("value") <= 0).cast("double")).alias("p_value"))
-    point = diffs.filter("replicate = 0").select(*keys, F.col("value").alias("auc_diff"))
-    if keys:
-        joined = point.join(limits, list(keys)).join(tail, list(keys))
-    else:
-        one = F.lit(1).alias("_k")
-        joined = point.select(one, "*").join(limits.select(one, "*"), "_k").join(tail.select(one, "*"), "_k")
-    return joined.select(
-        *keys, "auc_diff", F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"), "p_value"
+    diffs = paired.select(*keys, "replicate", (F.col("b") - F.col("a")).alias("value"))
+    drawn = F.when(F.col("replicate") > 0, F.col("value"))
+    return diffs.groupBy(*keys).agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("value"))).alias("auc_diff"),
+        F.percentile(drawn, 0.025).alias("ci_low"),
+        F.percentile(drawn, 0.975).alias("ci_high"),
+        F.avg((drawn <= 0).cast("double")).alias("p_value"),
     )

@@ -96,13 +96,15 @@ def select_parsimonious(
     )
     joined = table.join(tests, ["reference", "model"], "left")
     is_reference = F.col("model") == F.col("reference")
-    family = joined.filter(F.col("eligible") & ~is_reference)
-    adjusted = holm(family, "p_value", [], "model").select("model", "p_holm")
-    rows = joined.join(adjusted, "model", "left").select(
+    # Holm runs over the eligible challengers only; every other row forms a family of its own.
+    family = joined.withColumn("_family", F.col("eligible") & ~is_reference).withColumn(
+        "p_value", F.when(F.col("_family"), F.col("p_value")).otherwise(dec(1))
+    )
+    rows = holm(family, "p_value", ["_family"], "model").select(
         "model",
         "auc",
         F.when(is_reference, dec(0)).otherwise(F.col("delta")).alias("delta_vs_best"),
-        F.when(is_reference, dec(1)).otherwise(F.col("p_holm")).alias("p_holm"),
+        F.when(F.col("_family") | is_reference, F.col("p_holm")).alias("p_holm"),
         "eligible",
         "reference",
         complexity_of("model", complexity).alias("complexity"),

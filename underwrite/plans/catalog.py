@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from underwrite.plans import q_loans, q_metrics  # noqa: F401
+from underwrite.plans import q_loans, q_metrics, q_risk  # noqa: F401
 from underwrite.plans.registry import QUERIES  # noqa: F401

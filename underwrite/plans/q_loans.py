@@ -425,7 +425,8 @@ FACTOR, OFFSET = S.point_factor(), S.point_offset()
 
 @register(
     "b20_points",
-    f"select loan_id, {OFFSET!r} + {FACTOR!r} * ln((1 - p_a) / p_a) as points, p_a as back from ({V.oracle(V.SCORED_LOANS)})",
+    digits=9,
+    sql=f"select loan_id, {OFFSET!r} + {FACTOR!r} * ln((1 - p_a) / p_a) as points, p_a as back from ({V.oracle(V.SCORED_LOANS)})",
 )
 def points(spark, sf):
     rows = V.view(spark, sf, V.SCORED_LOANS).select("loan_id", S.pd_to_points("p_a").alias("points"))

@@ -12,7 +12,7 @@ from underwrite.operators import analysis as A
 from underwrite.operators import comparison as CMP
 from underwrite.operators import delong as D
 from underwrite.operators import metrics as M
-from underwrite.operators.bootstrap import bootstrap_interval
+from underwrite.operators.bootstrap import Metric, bootstrap_interval
 from underwrite.operators.counts import average_rank, ranked, score_counts
 from underwrite.operators.scan import ntile
 from underwrite.plans import oracles as O
@@ -183,13 +183,14 @@ def nearest_threshold(spark, sf):
 # --- W1-W3, W8: ordered scans --------------------------------------------------------------------
 @register(
     "w01_average_rank",
-    f"select l_linenumber, p_a, count(*) as n, avg(rn) as avg_rank from (select l_linenumber, p_a, row_number() over (partition by l_linenumber order by p_a) as rn from ({LINES})) group by all",
+    digits=9,
+    sql=f"select l_linenumber, p_a, count(*) as n, avg(rn) as avg_rank from (select l_linenumber, p_a, row_number() over (partition by l_linenumber order by p_a) as rn from ({LINES})) group by all",
 )
 def average_ranks(spark, sf):
     return rounded(average_rank(lines(spark, sf), "p_a", ["l_linenumber"]), 9)
 
 
-@register("w02_cumulative_counts", f"{base('p_a', '', LOANS)} select s as score, pos, neg, pc::bigint as pos_cum, nc::bigint as neg_cum, m::bigint as pos_all, n::bigint as neg_all from r")
+@register("w02_cumulative_counts", digits=9, sql=f"{base('p_a', '', LOANS)} select s as score, pos, neg, pc::bigint as pos_cum, nc::bigint as neg_cum, m::bigint as pos_all, n::bigint as neg_all from r")
 def cumulative_counts(spark, sf):
     return rounded(ranked(score_counts(loans(spark, sf), "y", "p_a")), 9)
 
@@ -319,14 +320,19 @@ def pair_orientation(spark, sf):
 # --- D39, D43, X4: bootstrap (own draws, so rows only) -------------------------------------------
 @register("d39_bootstrap_interval")
 def bootstrap(spark, sf):
-    return rounded(bootstrap_interval(lines(spark, sf), "y", "p_a", n=100))
+    return rounded(bootstrap_interval(lines(spark, sf), "y", "p_a", n=300))
 
 
 @register("x04_custom_bootstrap_metric")
 def custom_metric(spark, sf):
     """A metric supplied by the caller as an aggregate over weighted score counts."""
-    lift = lambda: F.sum(F.when(F.col("score") >= 0.3, F.col("pos"))) / F.sum("pos").cast("double")
-    return rounded(bootstrap_interval(lines(spark, sf), "y", "p_a", [], n=100, custom={"recall_at_30": lift}))
+
+
+    def recall_at_30(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
+        return float(pos[score >= 0.3].sum() / pos_all)
+
+    custom = {"recall_at_30": Metric(recall_at_30)}
+    return rounded(bootstrap_interval(lines(spark, sf), "y", "p_a", [], n=200, custom=custom))
 
 
 @register(
