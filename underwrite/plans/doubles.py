@@ -87,6 +87,9 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "p11_arm_aggregates": "approval_rate bad_rate_approved",
     "p13_comparable_population": "total",
     "p15_variant_fallback": "probability",
+    "t01_tumbling_windows": "mean_value error_rate",
+    "t02_sliding_windows": "mean_value",
+    "t06_micro_batch_log": "probability",
     "u01_variant_union": "probability",
     "u02_evidence_union": "auc auc_ci_low auc_ci_high",
     "u03_distinct_values": "l_quantity l_discount",
@@ -100,4 +103,5 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "w07_one_row_per_id": "l_quantity",
     "w08_neighbour_midpoints": "l_quantity edge",
     "x01_parse_as_expressions": "loan_to_income",
+    "x02_ranking_of_single_variable": "auc se",
 }

@@ -46,6 +46,10 @@ def category(feature: C.Categorical) -> str:
     return case_map(text, aliases, text) if aliases else text
 
 
+def features_at(snapshot: str) -> str:
+    return features().replace(SNAPSHOT, snapshot)
+
+
 def canonical() -> str:
     """CTEs ``raw_loans`` and ``canonical``."""
     status = "trim(loan_status)"
