@@ -25,9 +25,10 @@ def point_offset(base: float = BASE_POINTS, odds: float = BASE_ODDS, pdo: float
 
 
 def clip(c: Column | str, low: float, high: float) -> Column:
-    """Value held inside ``[low, high]``; NULL stays NULL."""
-    value = col(c)
-    return F.when(value < low, dec(low)).when(value > high, dec(high)).otherwise(value)
+    """Value held inside ``[low, high]``; NULL and NaN (which sorts above everything) stay."""
+    value = col(c).cast("double")
+    over = (value > high) & ~F.isnan(value)
+    return F.when(value < low, dec(low)).when(over, dec(high)).otherwise(value)
 
 
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:

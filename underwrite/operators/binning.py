@@ -186,7 +186,7 @@ def short_number(c: Column) -> Column:
     """Four significant digits without trailing zeros; called on bin tables only."""
 
     def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: f"{v:.4g}", na_action="ignore")
+        return pd.Series([None if pd.isna(v) else f"{v:.4g}" for v in values], dtype=object)
 
     return F.pandas_udf(text, T.StringType())(c)
 
