@@ -30,7 +30,7 @@ def rule_codes(policy: C.CreditPolicy, income: Column, installment: Column, dti:
 def risk_codes(factors: Column) -> Column:
     """Variables that raised the probability, strongest first."""
     raising = F.filter(factors, lambda f: f["impact"] > 0)
-    ordered = F.array_sort(F.transform(raising, lambda f: F.struct((-f["impact"]).alias("k"), f["feature"].alias("f"))))
+    ordered = F.sort_array(F.transform(raising, lambda f: F.struct((-f["impact"]).alias("k"), f["feature"].alias("f"))))
     return F.transform(ordered, lambda f: F.concat(F.lit(C.REASON_PREFIX), F.upper(f["f"])))
 
 

@@ -15,6 +15,7 @@ from underwrite.functions.parsing import dec
 from underwrite.functions.scoring import digitize
 from underwrite.operators.preprocessing import long_numeric
 from underwrite.operators.quantiles import quantiles_of_counts
+from underwrite.session import materialize
 
 SMOOTHING = 0.5
 
@@ -221,9 +222,10 @@ def fit_bins(
     min_share: float = 0.01,
 ) -> DataFrame:
     """(feature, kind, edges, levels, code, n, share, bad_rate, woe, iv_contribution) for all features."""
-    counts = labelled_counts(df, target, numeric)
+    # Written once: four branches read these counts instead of the loans.
+    counts = materialize(labelled_counts(df, target, numeric), "bin-counts")
     edges = merge_small_bins(counts, candidate_edges(counts, max_bins), min_share)
-    texts = categorical_counts(df, target, categorical)
+    texts = materialize(categorical_counts(df, target, categorical), "level-counts")
     levels = categorical_levels(texts, min_share)
     coded = numeric_codes(counts, edges).unionByName(categorical_codes(texts, levels))
     woe = weight_of_evidence(coded)

@@ -19,6 +19,7 @@ from underwrite.operators.preprocessing import bounded_sample, long_numeric
 from underwrite.operators.quality import category_shares
 from underwrite.operators.quantiles import quantiles_of_counts, value_counts
 from underwrite.operators.scan import running_total, with_range
+from underwrite.session import materialize
 
 SHARE_FLOOR = 1e-6
 SCORE = "__score__"
@@ -41,6 +42,25 @@ def psi(expected: DataFrame, actual: DataFrame, keys: Sequence[str], bin_: str =
     return both.groupBy(*keys).agg(F.sum(term).alias("psi"))
 
 
+def feature_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, n) with unknown values as NULL: all a profile or a drift table needs.
+
+    Written once, so that bins, facts and distances do not read the rows again.
+    """
+    long = long_numeric(df, columns)
+    value = F.when(~F.isnan("value"), F.col("value")).alias("value")
+    return materialize(long.groupBy("feature", value).agg(F.count(F.lit(1)).alias("n")), "feature-counts")
+
+
+def facts_of_counts(counts: DataFrame) -> DataFrame:
+    """(feature, null_rate, mean)."""
+    known = F.col("value").isNotNull()
+    return counts.groupBy("feature").agg(
+        (F.sum(F.when(known, 0).otherwise(F.col("n"))) / F.sum("n").cast("double")).alias("null_rate"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(F.when(known, F.col("n")))).alias("mean"),
+    )
+
+
 def numeric_bins(counts: DataFrame, edges: DataFrame) -> DataFrame:
     """(feature, bin, share over known values); ``edges`` has one short row per feature."""
     coded = counts.join(F.broadcast(edges.select("feature", "edges")), "feature").groupBy(
@@ -53,8 +73,8 @@ def numeric_bins(counts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """(feature, kind, edges, proportions, null_rate, mean)."""
-    long = long_numeric(df, columns)
-    counts = value_counts(long, ["feature"], "value")
+    everything = feature_counts(df, columns)
+    counts = everything.filter(F.col("value").isNotNull())
     probs = [i / bins for i in range(1, bins)]
     edges = quantiles_of_counts(counts, ["feature"], "value", probs).select(
         "feature", F.array_distinct("q").alias("edges")
@@ -62,9 +82,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Da
     shares = numeric_bins(counts, edges).groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m")
     )
-    facts = long.groupBy("feature").agg(
-        F.avg(F.col("value").isNull().cast("double")).alias("null_rate"), F.avg("value").alias("mean")
-    )
+    facts = facts_of_counts(everything)
     joined = facts.join(edges, "feature", "left").join(shares, "feature", "left")
     cuts = F.coalesce("edges", F.array().cast("array<double>"))
     dense = F.transform(
@@ -81,7 +99,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], min_share: float
     frequent = F.col("share") >= min_share
     # At most 1 / min_share categories are frequent, so the gathered arrays are bounded.
     grouped = shares.groupBy("feature").agg(
-        F.array_sort(F.collect_list(F.when(frequent, F.struct("value", "share")))).alias("kept"),
+        F.sort_array(F.collect_list(F.when(frequent, F.struct("value", "share")))).alias("kept"),
         F.coalesce(F.sum(F.when(~frequent, F.col("share"))), dec(0)).alias("rest"),
         F.coalesce(F.max(F.when(F.col("value") == MISSING, F.col("share"))), dec(0)).alias("null_rate"),
     )
@@ -117,14 +135,15 @@ def profile_sample(
 
 def two_sample_ks(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, ks_statistic, n1, n2): largest gap of the two cumulative distributions."""
-    one = F.lit(1).cast("bigint")
+    return ks_of_counts(value_counts(left, keys, value), value_counts(right, keys, value), keys, value)
+
+
+def ks_of_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The same from (keys, value, n) counts without unknown values."""
     zero = F.lit(0).cast("bigint")
-    a = left.select(*keys, F.col(value).cast("double").alias("score"), one.alias("a"), zero.alias("b"))
-    b = right.select(*keys, F.col(value).cast("double").alias("score"), zero.alias("a"), one.alias("b"))
-    rows = a.unionByName(b).filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    for key in keys:
-        rows = rows.filter(F.col(key).isNotNull())
-    counts = rows.groupBy(*keys, "score").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a = left.select(*keys, F.col(value).alias("score"), F.col("n").alias("a"), zero.alias("b"))
+    b = right.select(*keys, F.col(value).alias("score"), zero.alias("a"), F.col("n").alias("b"))
+    counts = a.unionByName(b).groupBy(*keys, "score").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     walked = running_total(
         with_range(counts, ["score"], grouped=True),
         keys,
@@ -168,11 +187,11 @@ def feature_drift(
     numeric = [f for f, kind in kinds.items() if kind == "numeric" and f in frame.columns]
     texts = [f for f, kind in kinds.items() if kind != "numeric" and f in frame.columns]
 
-    long = long_numeric(frame, numeric)
-    counts = value_counts(long, ["feature"], "value")
+    everything = feature_counts(frame, numeric)
+    counts = everything.filter(F.col("value").isNotNull())
     now = numeric_bins(counts, profile.filter("kind = 'numeric'")).withColumn("bin", F.col("bin").cast("string"))
-    facts = long.groupBy("feature").agg(
-        F.avg(F.col("value").isNull().cast("double")).alias("null_rate_cur"), F.avg("value").alias("mean_cur")
+    facts = facts_of_counts(everything).select(
+        "feature", F.col("null_rate").alias("null_rate_cur"), F.col("mean").alias("mean_cur")
     )
     if texts:
         shares = category_shares(frame, texts, MISSING)
@@ -186,7 +205,8 @@ def feature_drift(
         )
         facts = facts.unionByName(empties, allowMissingColumns=True)
     stability = psi(profile_bins(profile), now, ["feature"])
-    distance = two_sample_ks(sample, long, ["feature"], "value").filter((F.col("n1") > 0) & (F.col("n2") > 0))
+    sampled = value_counts(sample, ["feature"], "value")
+    distance = ks_of_counts(sampled, counts, ["feature"], "value").filter((F.col("n1") > 0) & (F.col("n2") > 0))
     p = ks_p_value("ks_statistic", "n1", "n2")
     joined = (
         profile.select("feature", "kind", F.col("null_rate").alias("null_rate_ref"), F.col("mean").alias("mean_ref"))

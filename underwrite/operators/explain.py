@@ -43,7 +43,7 @@ def top_factors(factors: Column, labels: dict[str, str], k: int = 3) -> Column:
         factors, lambda f: F.struct((-F.abs(f["impact"])).alias("k"), f["feature"].alias("f"), f["impact"].alias("v"))
     )
     return F.transform(
-        F.slice(F.array_sort(keyed), 1, k),
+        F.slice(F.sort_array(keyed), 1, k),
         lambda f: F.struct(
             f["f"].alias("feature"),
             feature_label(f["f"], labels).alias("label"),

@@ -108,7 +108,7 @@ def drift_summary(drift: DataFrame, keys: Sequence[str] = (), rules: MonitoringR
     feature, value = F.col("feature"), F.col("psi")
     hit = (feature != "prediction") & (value >= rules.psi_alert)
     return drift.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when(hit, feature))).alias("drifted"),
+        F.sort_array(F.collect_set(F.when(hit, feature))).alias("drifted"),
         F.max(F.when(feature == "prediction", value)).alias("prediction_psi"),
     )
 

@@ -312,7 +312,7 @@ def _edges_sql() -> str:
 
 @register("d15_candidate_edges", f"with {LABELLED}, e as ({_edges_sql()}) select feature, pos, edges[pos] as edge from (select feature, edges, unnest(range(1, len(edges) + 1)) as pos from e)")
 def candidate_edges(spark, sf):
-    edges = B.candidate_edges(B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS))
+    edges = B.candidate_edges(materialize(B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS), "counts"))
     listed = edges.select("feature", F.posexplode("edges").alias("pos", "edge"))
     return rounded(listed.withColumn("pos", (F.col("pos") + 1).cast("bigint")))
 
@@ -329,7 +329,7 @@ def neighbour_midpoints(spark, sf):
 @register("d16_merged_bins")
 def merged_bins(spark, sf):
     """Edges after merging; sequential by nature, checked against a plain loop in the tests."""
-    counts = B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS)
+    counts = materialize(B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS), "counts")
     merged = B.merge_small_bins(counts, B.candidate_edges(counts), 0.06)
     return rounded(merged.select("feature", F.posexplode("edges").alias("pos", "edge")))
 
@@ -368,7 +368,7 @@ NUM_CODES = (
 
 @register("d18_weight_of_evidence", f"with {LABELLED}, {NUM_CODES}, {woe_sql('nc')} select * from woe")
 def weight_of_evidence(spark, sf):
-    counts = B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS)
+    counts = materialize(B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS), "counts")
     woe = B.weight_of_evidence(B.numeric_codes(counts, B.candidate_edges(counts)))
     return rounded(woe)
 
@@ -379,7 +379,7 @@ STRENGTH = "case when iv < 0.02 then 'inútil' when iv < 0.1 then 'débil' when
 @register("d19_information_value", f"with {LABELLED}, {CAT_CODES}, {NUM_CODES}, u as (select * from nc union all select * from cc), {woe_sql('u')}, t as (select feature, sum(iv_contribution) as iv, count(*) as n_bins from woe group by 1) select feature, iv, {STRENGTH} as strength, n_bins from t")
 def information_value(spark, sf):
     rows = labelled_lines(spark, sf)
-    counts = B.labelled_counts(rows, "y", BIN_COLUMNS)
+    counts = materialize(B.labelled_counts(rows, "y", BIN_COLUMNS), "counts")
     texts = B.categorical_counts(rows, "y", ["supp"])
     coded = B.numeric_codes(counts, B.candidate_edges(counts)).unionByName(
         B.categorical_codes(texts, B.categorical_levels(texts, 0.05))
@@ -417,7 +417,7 @@ def points_per_bin(spark, sf):
     f"with {LABELLED}, {NUM_CODES}, {woe_sql('nc')} select feature, code, -(0.8 * woe - 0.25 / 3) * {S.point_factor()!r} + {S.point_offset()!r} / 3 as points from woe",
 )
 def points_of_coefficient(spark, sf):
-    counts = B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS)
+    counts = materialize(B.labelled_counts(labelled_lines(spark, sf), "y", BIN_COLUMNS), "counts")
     edges = B.candidate_edges(counts)
     woe = B.weight_of_evidence(B.numeric_codes(counts, edges)).join(F.broadcast(edges), "feature")
     points = points_of_bins(woe.withColumn("levels", F.lit(None).cast("array<string>")), dec(0.8), -0.25, 3)
