@@ -78,9 +78,11 @@ def paired_moments(df: DataFrame, label: Column | str, scores: Sequence[str], ke
     tuples = rows.groupBy(*keys, *scores).agg(
         F.sum(F.col("_y").cast("bigint")).alias("w_pos"), F.sum((1 - F.col("_y")).cast("bigint")).alias("w_neg")
     )
+    placed_tuples = tuples
     for s in scores:
-        counts = rows.groupBy(*keys, F.col(s).alias("score")).agg(
-            F.sum(F.col("_y").cast("bigint")).alias("pos"), F.sum((1 - F.col("_y")).cast("bigint")).alias("neg")
+        # From the tuples, not the rows: all score columns share the one exchange of the tuples.
+        counts = tuples.groupBy(*keys, F.col(s).alias("score")).agg(
+            F.sum("w_pos").alias("pos"), F.sum("w_neg").alias("neg")
         )
         placed = ranked(counts, keys).select(
             *keys,
@@ -88,7 +90,7 @@ def paired_moments(df: DataFrame, label: Column | str, scores: Sequence[str], ke
             F.try_divide(neg_below(), F.col("neg_all").cast("double")).alias(f"_a_{s}"),
             F.try_divide(pos_below(), F.col("pos_all").cast("double")).alias(f"_b_{s}"),
         )
-        tuples = tuples.join(placed, [*keys, s])
+        placed_tuples = placed_tuples.join(placed, [*keys, s])
     aggregates = [F.sum("w_pos").alias("n_pos"), F.sum("w_neg").alias("n_neg")]
     for side, weight in (("a", "w_pos"), ("b", "w_neg")):
         for i, s in enumerate(scores):
@@ -97,7 +99,7 @@ def paired_moments(df: DataFrame, label: Column | str, scores: Sequence[str], ke
             for j in range(i, len(scores)):
                 other = F.col(f"_{side}_{scores[j]}")
                 aggregates.append(F.sum(F.col(weight) * x * other).alias(f"{side}{i}_{j}"))
-    return tuples.groupBy(*keys).agg(*aggregates)
+    return placed_tuples.groupBy(*keys).agg(*aggregates)
 
 
 def _covariance(side: str, i: int, j: int, n: Column) -> Column:
