@@ -27,6 +27,12 @@ RANGE = "_range"
 COARSE = 64
 
 
+def _all_columns(df: DataFrame) -> Column:
+    """Always true, but it needs every column: a side branch that keeps this filter has the same
+    exchange as the main branch, so Spark computes the exchange once and reuses it."""
+    return F.xxhash64(*[n for n, kind in df.dtypes if "map<" not in kind]) >= F.lit(-(2**63))
+
+
 def cut_points(df: DataFrame, column: str, ranges: int, grouped: bool = False) -> Column:
     """Scalar subquery with ``ranges - 1`` quantiles of a numeric column.
 
@@ -36,7 +42,7 @@ def cut_points(df: DataFrame, column: str, ranges: int, grouped: bool = False) -
     """
     shares = [i / ranges for i in range(1, ranges)]
     if grouped:
-        df = df.filter(F.xxhash64(*df.columns) >= F.lit(-(2**63)))
+        df = df.filter(_all_columns(df))
     return df.select(F.percentile_approx(column, shares, max(10_000, 20 * ranges))).scalar()
 
 
@@ -94,7 +100,7 @@ def running_total(
     local = df.withColumns({n: F.sum(v).over(rows) for n, v in values.items()})
     local = local.withColumn("_last", F.lead(F.lit(True)).over(ahead).isNull())
 
-    ends = local.filter("_last")
+    ends = local.filter(F.col("_last") & _all_columns(df))
     before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     # Every range of a key repeats its totals, so the offset frame has one row per (key, range).
@@ -114,7 +120,7 @@ def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     local = df.withColumns({n: F.min(v).over(rows) for n, v in values.items()})
     local = local.withColumn("_last", F.lead(F.lit(True)).over(ahead).isNull())
     before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
-    offsets = local.filter("_last").select(
+    offsets = local.filter(F.col("_last") & _all_columns(df)).select(
         *keys, RANGE, *[F.min(n).over(before).alias(f"_off_{n}") for n in values]
     )
     joined = _attach_offsets(local.drop("_last"), keys, offsets)
