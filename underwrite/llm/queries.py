@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import quality_rules
+from underwrite.llm import mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,54 @@ from (
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.assess(docs).drop("rejected_by")
+
+
+OP9_SQL = r"""
+with facts as (
+  select doc_id, coalesce(doc_id::varchar, '') as key, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+), s as (
+  select *, case n % 3 when 0 then 5 when 1 then 2 else 1 end as weight from (
+    select source, sum(size)::bigint as source_size, row_number() over (order by encode(source) nulls last) - 1 as n from facts group by source)
+), ranked as (
+  select *, sum(source_size) over () as all_size,
+    sum(source_size) over (order by source_size / weight, n) - source_size as below,
+    sum(weight) over () - sum(weight) over (order by source_size / weight, n) + weight as weight_left from s
+), capped as (
+  select *, source_size = 0 or (all_size - 3 * below) * weight > 3 * source_size * weight_left as is_full from ranked
+), targets as (
+  select source, source_size, case when is_full then (3 * source_size)::double else
+    (weight * (all_size - sum(case when is_full then 3 * source_size else 0 end) over ()))::double
+    / (sum(case when is_full then 0 else weight end) over ())::double end as target from capped
+), sizes as (
+  select f.source, size, count(*) as n, first(target) as target, count(*) * size as mass, floor(1000.0e0 * ln(1.0e0 + size) + 0.5e0)::bigint as m
+  from facts f join targets t on f.source is not distinct from t.source where size > 0 group by f.source, size
+), grown as (
+  select *, sum(mass) over w - mass as above, sum(mass * m) over (partition by source) - sum(mass * m) over w + mass * m as spread
+  from sizes window w as (partition by source order by size desc)
+), scales as (
+  select source, case when sum(case when at_cap then 0 else mass * m end) > 0 then
+    (first(target) - 3 * sum(case when at_cap then mass else 0 end)::double) / sum(case when at_cap then 0 else mass * m end)::double end as scale
+  from (select *, (target - 3 * above::double) * m >= 3 * spread::double as at_cap from grown) group by source
+), expect as (
+  select f.*, t.source_size, t.target, case when size = 0 then 0.0e0
+    when scale is null or scale * floor(1000.0e0 * ln(1.0e0 + size) + 0.5e0) >= 3 then 3.0e0
+    else scale * floor(1000.0e0 * ln(1.0e0 + size) + 0.5e0) end as expected,
+    (('0x' || substr(md5('mix-1:' || key), 1, 13))::bigint + 0.5e0) / 4503599627370496.0e0 as u
+  from facts f join targets t on f.source is not distinct from t.source left join scales c on f.source is not distinct from c.source
+), odds as (
+  select *, floor(expected)::bigint as whole, expected - floor(expected) as p,
+    target - sum(floor(expected)::bigint * size) over (partition by source)::double as wanted from expect
+), ordered as (
+  select *, case when p > 0 then sum(size) over (partition by source, p > 0 order by ln(u) - ln(1.0e0 - u) + ln(1.0e0 - p) - ln(p), key) end as running
+  from (select *, case when p > 0 then p end as p1 from odds)
+)
+select doc_id, size, source_size, target, whole + case when p > 0 and wanted > 0 and 2 * wanted > 2 * running - size then 1 else 0 end as mix_copies,
+  (whole + case when p > 0 and wanted > 0 and 2 * wanted > 2 * running - size then 1 else 0 end) * size as taken
+from ordered
+"""
+
+
+@query("op9_mixing", OP9_SQL)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
