@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import mixing, pii, quality_rules
+from underwrite.llm import common, mixing, pii, quality_model, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,3 +125,27 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def _training(spark: SparkSession, sf_dir: str, mark: str, folds: int, held: int) -> DataFrame:
+    return table(spark, sf_dir, "labels", "doc_id", mark).where(common.fold("doc_id", folds) != held)
+
+
+def _judged(scored: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    held_out = F.coalesce(common.fold("doc_id", folds) == held, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op8_quality_model")
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    unlabelled = docs.where(F.coalesce(common.fold("doc_id", 5) != 0, F.lit(True)))
+    model = quality_model.train(unlabelled, _training(spark, sf_dir, "quality", 5, 0))
+    return _judged(quality_model.score(docs, model), 5, 0, quality_model.THRESHOLD)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    lexicon = toxicity.learn(docs, _training(spark, sf_dir, "toxic", 4, 2))
+    return _judged(toxicity.score(docs, lexicon), 4, 2, toxicity.THRESHOLD)
