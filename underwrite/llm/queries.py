@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import common, mixing, pii, quality_model, quality_rules, toxicity
+from underwrite.llm import common, minhash, mixing, pii, quality_model, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,3 +149,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     lexicon = toxicity.learn(docs, _training(spark, sf_dir, "toxic", 4, 2))
     return _judged(toxicity.score(docs, lexicon), 4, 2, toxicity.THRESHOLD)
+
+
+@query("op4_minhash")
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents", "doc_id", "text"))
