@@ -6,9 +6,10 @@ from the start. Band keys give candidates; the signatures' equal cells, correcte
 by chance, give an estimate that drops candidates far below the threshold; the rest is confirmed on full sets.
 
 No group is expanded into its pairs. First every member of a band bucket is compared with the bucket's smallest
-node only, then with the member nearest to the bucket's majority signature. Buckets that still hold more than
-one component are compared across components, block against block of signatures, and only pairs whose estimate
-passes leave the task. A bucket never has to fit into a task, and no partner is capped.
+node only. Buckets that then still hold more than one component are compared across components, block against
+block of signatures, and only pairs that can still be links leave the task: beside the b-bit estimate, a parity
+sketch of the set (one bit per hash cell) bounds the number of shingles in which two sets differ. A bucket never
+has to fit into a task, and no partner is capped.
 
 Defined results: a NULL or empty text, or one of white space, has no shingles and is linked with nothing; a
 text of one to four words has one shingle; equal rows are equal documents; rows with a NULL key are kept as
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,9 @@ LEAST_ESTIMATE = PERCENT / 100 - 0.21
 #: Documents that meet one centre in one task, and signatures in one block.
 PER_TASK = 256
 BLOCK = 1024
+#: Bits of the parity sketch, and standard deviations allowed to its estimate.
+PARITY = 2048
+SIGMAS = 6.0
 
 _xor, _odd = common.keys(21, K), common.keys(22, K) | np.uint64(1)
 _band = common.keys(23, K).reshape(BANDS, ROWS) | np.uint64(1)
@@ -76,7 +79,10 @@ def signatures(data: np.ndarray, bounds: np.ndarray) -> dict[str, object]:
     bands = common.mix((common.mix(minima).reshape(BANDS, ROWS, -1) * _band[:, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None])
     sizes = np.zeros(len(n) + 1, dtype=np.int32)
     sizes[1:][full] = BANDS
-    out = {"n_shingles": n, "print1": prints[0].view(np.int64), "print2": prints[1].view(np.int64)}
+    odd = np.bincount(np.repeat(np.arange(len(n)), n) * PARITY + (common.mix(value ^ _xor[1]) % np.uint64(PARITY)).astype(np.int64), minlength=len(n) * PARITY)
+    parity = np.packbits((odd & 1).astype(np.uint8)).tobytes()
+    step = PARITY // 8
+    out = {"n_shingles": n, "parity": pa.array([parity[k * step : (k + 1) * step] for k in range(len(n))], pa.binary()), "print1": prints[0].view(np.int64), "print2": prints[1].view(np.int64)}
     for j in range(WORDS64):
         column = np.zeros(len(n), dtype=np.int64)
         column[full] = packed[j].view(np.int64)
@@ -86,7 +92,7 @@ def signatures(data: np.ndarray, bounds: np.ndarray) -> dict[str, object]:
 
 
 SIGNATURE = [f"s{j}" for j in range(WORDS64)]
-SCHEMA = "n_shingles long, print1 long, print2 long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
+SCHEMA = "n_shingles long, parity binary, print1 long, print2 long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", bands array<long>"
 
 
 def estimate(left: str, right: str) -> Column:
@@ -158,46 +164,64 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return joined.where((100 * small >= PERCENT * large) & (estimate("x", "y") >= LEAST_ESTIMATE)).select("a", "b")
 
 
-def _majority(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Per bucket the member whose signature agrees best with the cellwise majority of its words.
-
-    The majority is taken per 64-bit word of the signature: the most frequent value of each word is kept
-    with counts per (key, word, value), combined map-side, so a large bucket is never gathered.
-    """
-    full = rows.join(sigs, "node")
-    words = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(s).alias("value")) for j, s in enumerate(SIGNATURE)]))
-    votes = full.select("key", words.alias("w")).groupBy("key", "w.j", "w.value").agg(F.count("*").alias("n"))
-    best = votes.groupBy("key", "j").agg(F.max(F.struct("n", "value")).alias("top")).select("key", "j", F.col("top.value").alias("value"))
-    goal = best.groupBy("key").pivot("j", list(range(WORDS64))).agg(F.first("value"))
-    goal = goal.select("key", *[F.coalesce(F.col(str(j)), F.lit(0)).alias(s) for j, s in enumerate(SIGNATURE)])
-    near = full.alias("x").join(goal.alias("y"), "key").select("key", "x.node", estimate("x", "y").alias("near"))
-    return near.groupBy("key").agg(F.max(F.struct("near", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("hub"))
+def _may_differ(size: np.ndarray) -> np.ndarray:
+    """Most odd cells that two sets of ``size`` shingles together can show while they are linked."""
+    differ = size * (100 - PERCENT) / (100 + PERCENT)
+    quarter = np.exp(-4 * differ / PARITY)
+    spread = np.sqrt(np.maximum(PARITY / 4 * (1 - quarter) - differ * quarter, 1.0))
+    return PARITY / 2 * (1 - np.exp(-2 * differ / PARITY)) + SIGMAS * spread
+
+
+def _pairs_in(sig, parity, node, comp, size) -> tuple[np.ndarray, np.ndarray]:
+    """Likely links between different components among the nodes of one block."""
+    least = (LEAST_ESTIMATE * (1 - 1 / (1 << B)) + 1 / (1 << B)) * K
+    left, right = [], []
+    for lo in range(0, len(node), 256):
+        part = slice(lo, lo + 256)
+        fits = (comp[part][:, None] != comp[None, :]) & (node[part][:, None] < node[None, :])
+        if not fits.any():
+            continue
+        small, large = np.minimum(size[part][:, None], size[None, :]), np.maximum(size[part][:, None], size[None, :])
+        fits &= 100 * small >= PERCENT * large
+        fits &= _cells_equal(sig[part], sig) >= least
+        a, b = np.nonzero(fits)
+        a += lo
+        for at in range(0, len(a), 1 << 15):
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            odd = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1)
+            near = odd <= _may_differ((size[x] + size[y]).astype(float))
+            left.append(node[x[near]])
+            right.append(node[y[near]])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """key, node, component -> likely pairs of different components of a bucket, compared block by block."""
+    """key, node, component -> likely pairs of different components of a bucket, compared block by block.
+
+    Small buckets share a task: the rows of a task are those of a range of keys, at most a few blocks.
+    """
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    laid = rows.join(sizes, "key").join(sigs, "node").withColumn("own", own)
+    bins = max(1, rows.count() // (2 * BLOCK))
+    laid = rows.join(sizes, "key").join(sigs, "node").withColumn("own", own).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     laid = laid.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node")
-        sig = frame[SIGNATURE].to_numpy(np.int64).view(np.uint64)
-        node, comp, size = (frame[c].to_numpy() for c in ("node", "component", "n_shingles"))
-        least = (LEAST_ESTIMATE * (1 - 1 / (1 << B)) + 1 / (1 << B)) * K
-        out = []
-        for lo in range(0, len(frame), 256):
-            rows_ = slice(lo, lo + 256)
-            fits = _cells_equal(sig[rows_], sig) >= least
-            fits &= (comp[rows_][:, None] != comp[None, :]) & (node[rows_][:, None] < node[None, :])
-            small, large = np.minimum(size[rows_][:, None], size[None, :]), np.maximum(size[rows_][:, None], size[None, :])
-            a, b = np.nonzero(fits & (100 * small >= PERCENT * large))
-            out.append(pd.DataFrame({"a": node[rows_][a], "b": node[b]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("node", "ascending")])
+        key, node, comp, size = (table.column(c).to_numpy() for c in ("key", "node", "component", "n_shingles"))
+        sig = np.column_stack([table.column(c).to_numpy() for c in SIGNATURE]).view(np.uint64)
+        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        out = [_pairs_in(sig[lo:hi], parity[lo:hi], node[lo:hi], comp[lo:hi], size[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1]
+        if not out:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        pairs = np.unique(np.column_stack([np.concatenate(side) for side in zip(*out)]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return laid.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return laid.groupBy("bin", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,26 +242,14 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     edges = materialize(confirm(tested, docs), "minhash-links")
     # the same document may carry several sets if its key is repeated with other texts: one component
     same = known.select("node", "print1", "print2", "n_shingles").join(classes, ["print1", "print2", "n_shingles"]).where("node <> rep")
-    for step in ("majority", "across"):
-        labels = components(edges)
-        named = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_rows = materialize(named.join(mixed, "key", "left_semi"), f"minhash-{step}")
-        if open_rows.isEmpty():
-            break
-        if step == "majority":
-            centre = _majority(open_rows.select("key", "node"), sigs)
-            centre = centre.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("c")), "hub", "left")
-            found = open_rows.join(centre, "key").where("component <> coalesce(c, hub)").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            found = _likely(found, sigs)
-        else:
-            found = _across(open_rows, sigs)
-        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
-        fresh = materialize(fresh.join(seen.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b"), "minhash-fresh")
-        if not fresh.isEmpty():
-            edges = materialize(edges.union(confirm(fresh, docs)), "minhash-links")
-            tested = tested.union(fresh)
+    labels = components(edges)
+    named = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_rows = materialize(named.join(mixed, "key", "left_semi"), "minhash-open")
+    found = _across(open_rows, reps.select("node", "n_shingles", "parity", *SIGNATURE))
+    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = materialize(found.join(seen, ["a", "b"], "left_anti"), "minhash-fresh")
+    edges = edges.union(materialize(confirm(fresh, docs), "minhash-links"))
     all_edges = edges.union(same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     labels = components(all_edges)
     out = facts.select("node", "n_shingles").join(labels, "node", "left")
