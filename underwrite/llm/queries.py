@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import common, minhash, mixing, pii, quality_model, quality_rules, toxicity
+from underwrite.llm import common, minhash, mixing, pieces, pii, quality_model, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minhash")
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, their number, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = pieces.decode(pieces.encode(docs, ["doc_id", "text"]))
+    same = F.col("decoded").eqNullSafe(F.col("text"))
+    return out.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), same.alias("lossless"), "piece_ids")
