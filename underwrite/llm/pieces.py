@@ -342,13 +342,13 @@ def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "tex
 def decode(df: DataFrame, ids: str = "piece_ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
     """``df`` with the decoded text of the column ``ids`` (NULL for NULL) as one more column."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(model))
-    at = df.columns.index(ids)
+    at, names = df.columns.index(ids), [*df.columns, into]
     schema = StructType([*df.schema, StructField(into, StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
             texts = [None if not v.is_valid else decode_ids(v.values.to_numpy(), words) for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*df.columns, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, schema)

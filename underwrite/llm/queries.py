@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import common, minhash, mixing, pieces, pii, quality_model, quality_rules, toxicity
+from underwrite.llm import common, minhash, mixing, pieces, pii, quality_model, quality_rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,21 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.decode(pieces.encode(docs, ["doc_id", "text"]))
     same = F.col("decoded").eqNullSafe(F.col("text"))
     return out.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), same.alias("lossless"), "piece_ids")
+
+
+OP2_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), k as (
+  select payload_digest, payload_bytes, max(page_id) as keeper from p where payload_bytes >= 1000 group by all having count(*) > 1
+)
+select page_id, payload_bytes, payload_digest, case when keeper <> page_id then 'revisit' else 'response' end as record_type,
+  case when keeper <> page_id then keeper end as refers_to
+from p left join k using (payload_digest, payload_bytes)
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
