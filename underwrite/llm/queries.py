@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import common, minhash, mixing, pieces, pii, quality_model, quality_rules, toxicity, warc
+from underwrite.llm import ann, common, minhash, mixing, pieces, pii, quality_model, quality_rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +181,9 @@ from p left join k using (payload_digest, payload_bytes)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_prefix_forest")
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
