@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import ann, common, minhash, mixing, pieces, pii, quality_model, quality_rules, toxicity, warc
+from underwrite.llm import ann, common, minhash, mixing, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,3 +187,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
