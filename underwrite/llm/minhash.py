@@ -172,13 +172,19 @@ def _may_differ(size: np.ndarray) -> np.ndarray:
     return PARITY / 2 * (1 - np.exp(-2 * differ / PARITY)) + SIGMAS * spread
 
 
-def _pairs_in(sig, parity, node, comp, size) -> tuple[np.ndarray, np.ndarray]:
-    """Likely links between different components among the nodes of one block."""
+def _pairs_in(key, sig, parity, bands, node, comp, size, own) -> tuple[np.ndarray, np.ndarray]:
+    """Likely links between different components among the nodes of one bucket, or of two of its blocks.
+
+    A pair is given by the first bucket it shares and by one pair of blocks only.
+    """
+    two = own.min() != own.max()
     least = (LEAST_ESTIMATE * (1 - 1 / (1 << B)) + 1 / (1 << B)) * K
     left, right = [], []
     for lo in range(0, len(node), 256):
         part = slice(lo, lo + 256)
         fits = (comp[part][:, None] != comp[None, :]) & (node[part][:, None] < node[None, :])
+        if two:
+            fits &= own[part][:, None] != own[None, :]
         if not fits.any():
             continue
         small, large = np.minimum(size[part][:, None], size[None, :]), np.maximum(size[part][:, None], size[None, :])
@@ -190,6 +196,9 @@ def _pairs_in(sig, parity, node, comp, size) -> tuple[np.ndarray, np.ndarray]:
             x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
             odd = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1)
             near = odd <= _may_differ((size[x] + size[y]).astype(float))
+            x, y = x[near], y[near]
+            same = bands[x] == bands[y]
+            near = bands[x, same.argmax(axis=1)] == key
             left.append(node[x[near]])
             right.append(node[y[near]])
     if not left:
@@ -213,9 +222,11 @@ def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
         table = table.sort_by([("key", "ascending"), ("node", "ascending")])
         key, node, comp, size = (table.column(c).to_numpy() for c in ("key", "node", "component", "n_shingles"))
         sig = np.column_stack([table.column(c).to_numpy() for c in SIGNATURE]).view(np.uint64)
+        own = table.column("own").to_numpy()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
         parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
         cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        out = [_pairs_in(sig[lo:hi], parity[lo:hi], node[lo:hi], comp[lo:hi], size[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1]
+        out = [_pairs_in(key[lo], *(a[lo:hi] for a in (sig, parity, bands, node, comp, size, own))) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1]
         if not out:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         pairs = np.unique(np.column_stack([np.concatenate(side) for side in zip(*out)]), axis=0)
@@ -246,7 +257,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     named = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_rows = materialize(named.join(mixed, "key", "left_semi"), "minhash-open")
-    found = _across(open_rows, reps.select("node", "n_shingles", "parity", *SIGNATURE))
+    found = _across(open_rows, reps.select("node", "n_shingles", "parity", "bands", *SIGNATURE))
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     fresh = materialize(found.join(seen, ["a", "b"], "left_anti"), "minhash-fresh")
     edges = edges.union(materialize(confirm(fresh, docs), "minhash-links"))
