@@ -132,7 +132,8 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     roles = dealt.select(F.col("a").alias("node"), "b", "part", F.lit(1).alias("role")).union(
         load.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     )
-    rows = roles.join(docs, "node").select("node", "b", "part", "role", "text")
+    # one plan for every size: texts are dealt by node, roles are not sent to all tasks where they happen to be few
+    rows = roles.join(docs.hint("merge"), "node").select("node", "b", "part", "role", "text")
 
     def check(table: pa.Table) -> pa.Table:
         table = table.sort_by([("role", "ascending"), ("node", "ascending")])
