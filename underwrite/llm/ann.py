@@ -54,6 +54,7 @@ def lifted(x: np.ndarray, norm2: float | None) -> np.ndarray:
 
 def strings(x: np.ndarray, turns: np.ndarray, probes: int = 1) -> np.ndarray:
     """rows x trees x symbols x probes: nearest signed axes, best first."""
+    probes = min(probes, 2 * x.shape[1])
     out = np.empty((len(x), *turns.shape[:2], probes), dtype=np.int64)
     for t in range(turns.shape[0]):
         for s in range(turns.shape[1]):
@@ -153,7 +154,7 @@ def _strung(df: DataFrame, turns: np.ndarray, depth: int, probes: int, norm2: fl
                 part = batch.slice(lo, 512)
                 x = _matrix(part.column(1))
                 codes = strings(lifted(x if norm2 is not None else x / np.linalg.norm(x, axis=1)[:, None], norm2), turns, probes)
-                for p in range(probes):
+                for p in range(codes.shape[3]):
                     first = np.concatenate((codes[:, :, :1, p], codes[:, :, 1:, 0]), axis=2)
                     key, full = _keys(first, depth, base), _keys(first, turns.shape[1], base)
                     pick = pa.array(np.repeat(np.arange(len(x)), key.shape[1]))

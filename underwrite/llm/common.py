@@ -129,7 +129,7 @@ def shingle_hashes(word_hashes: np.ndarray, before: np.ndarray, width: int = 5)
     step = keys(13, width)
     value = np.zeros(total, dtype=np.uint64)
     left = before[1:][doc] - np.arange(total)  # words from here to the end of the text
-    for k in range(width):
+    for k in range(min(width, total)):
         shifted = np.zeros(total, dtype=np.uint64)
         shifted[: total - k] = word_hashes[k:]
         value += np.where(left > k, (shifted + np.uint64(k)) * (step[k] | np.uint64(1)), np.uint64(0))

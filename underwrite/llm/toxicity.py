@@ -42,6 +42,8 @@ LEAST_NEW = 3
 #: Phrases in clean documents before they are exceptions.
 LEAST_CLEAN = 2
 THRESHOLD = 0.3
+#: Letters of the stems that may stand for all words that begin with them.
+STEMS = (4, 5, 6)
 
 #: Look-alikes of Latin letters (Cyrillic, then Greek) and digit substitutions: fixed values.
 HOMOGLYPHS = {
@@ -80,7 +82,7 @@ class Lexicon:
             return None
         found = ahocorasick.Automaton()
         for word, weight in self.weights.items():
-            found.add_word(word, (word, weight))
+            found.add_word(word.rstrip("*"), (word, weight))
         found.make_automaton()
         return found
 
@@ -90,8 +92,9 @@ class Lexicon:
             return
         size = len(folded)
         for last, (word, weight) in automaton.iter(folded):
-            start, end = last + 1 - len(word), last + 1
-            if (start and folded[start - 1].isalpha()) or (end < size and folded[end].isalpha()):
+            stem = word[-1] == "*"
+            start, end = last + 1 - len(word) + stem, last + 1
+            if (start and folded[start - 1].isalpha()) or (not stem and end < size and folded[end].isalpha()):
                 continue
             if self.exceptions and any(p in self.exceptions for p in neighbours(folded, start, end)):
                 continue
@@ -123,14 +126,20 @@ def neighbours(folded: str, start: int, end: int, reach: int = 40) -> list[str]:
     return out
 
 
+def entries(folded: str) -> set[str]:
+    """What can become a lexicon entry: the words of a text and their stems of STEMS letters, marked with a star."""
+    words = set(WORD.findall(folded))
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+
+
 def _words_of(df: DataFrame) -> DataFrame:
-    """toxic, word: the distinct folded words of each document."""
+    """toxic, word, n: in how many documents each possible entry stands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[int, Counter] = defaultdict(Counter)
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[toxic].update(set(WORD.findall(fold(text or ""))))
+                counts[toxic].update(entries(fold(text or "")))
             for toxic, words in counts.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([toxic] * len(words), pa.int32()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())],
@@ -187,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({w for w in WORD.findall(fold(t or "")) if w in odds}) for t in batch.column(0).to_pylist()]
+            found = [sorted(w for w in entries(fold(t or "")) if w in odds) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["words"])
 
     rows_bad = sorted(r["words"] for r in known.where("toxic = 1").select("text").mapInArrow(held, "words array<string>").collect())
