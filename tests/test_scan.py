@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from underwrite.operators import scan
 from underwrite.operators.counts import average_rank
 from underwrite.operators.loans import keep_first
 from underwrite.operators.preprocessing import bounded_sample
@@ -98,3 +99,14 @@ def test_keep_first_is_total(spark):
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "k string, v double, id bigint")
     assert row_numbers(empty, ["k"], ["v", "id"]).count() == 0
+
+
+def test_a_null_key_is_a_key(spark):
+    rows = [(None if k % 2 else "a", float((k * 37) % 500)) for k in range(500)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    numbered = scan.row_numbers(df, ["k"], ["x"]).collect()
+    for key in (None, "a"):
+        assert sorted(r.row_number for r in numbered if r.k == key) == list(range(1, 251))
+        assert {r.row_count for r in numbered if r.k == key} == {250}
+    top = scan.top_per_key(df, ["k"], ["x"], 5).collect()
+    assert sorted((str(r.k) for r in top)) == ["None"] * 5 + ["a"] * 5

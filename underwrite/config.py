@@ -144,9 +144,10 @@ PURPOSES = (
     "renewable_energy",
     "educational",
 )
-STATES = tuple(
-    "AK AL AR AZ CA CO CT DC DE FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH NJ NM "
-    "NV NY OH OK OR PA RI SC SD TN TX UT VA VT WA WI WV WY".split()
+STATES = (
+    "AK", "AL", "AR", "AZ", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "HI", "IA", "ID", "IL", "IN", "KS",
+    "KY", "LA", "MA", "MD", "ME", "MI", "MN", "MO", "MS", "MT", "NC", "ND", "NE", "NH", "NJ", "NM", "NV",
+    "NY", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VA", "VT", "WA", "WI", "WV", "WY",
 )
 ID_PATTERN = r"^[A-Za-z0-9_.:-]{1,64}$"
 SUB_GRADE_PATTERN = r"^[A-G][1-5]$"
@@ -241,9 +242,7 @@ class ReplayRules:
     production_start: str = "2014-01-01"
     production_end: str = "2015-12-01"
     months_per_run: int = 3
-    max_rows_per_month: int = 4000
     label_delay_months: int = 6
-    max_train_rows: int = 400_000
 
 
 @dataclass(frozen=True)

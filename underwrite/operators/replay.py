@@ -9,7 +9,6 @@ from underwrite.config import CreditPolicy, ExperimentRules, LoanSpec, ReplayRul
 from underwrite.functions.calendar import month_start, months_to_process, plus_months
 from underwrite.functions.decisions import assign_variant, decide, fingerprint, served_variant
 from underwrite.functions.scoring import risk_band
-from underwrite.operators.preprocessing import bounded_sample
 
 
 def high_water_mark(log: DataFrame, source: str = "replay") -> Column:
@@ -46,23 +45,19 @@ def score_months(
     experiment: ExperimentRules | None = None,
     policy: CreditPolicy | None = None,
     versions: tuple[str, str] = ("1", "2"),
-    capped: bool = False,
 ) -> DataFrame:
     """Inference-log rows of the pending months: variant, probability, decision, fingerprint.
 
-    The optional monthly cap keeps the rows with the smallest id hashes. The request id is a
-    digest of loan and month, so a repeated run writes the same ids.
+    Every pending row is scored. The request id is a digest of loan and month, so a repeated
+    run writes the same ids.
     """
     spec, rules = spec or LoanSpec(), rules or ReplayRules()
     experiment, policy = experiment or ExperimentRules(), policy or CreditPolicy()
-    rows = pending
-    if capped:
-        rows = bounded_sample(pending, [spec.date_column], spec.id_column, rules.max_rows_per_month)
     traffic = experiment.challenger_traffic if p_challenger is not None else 0.0
     assigned = assign_variant(spec.id_column, traffic, experiment.salt)
     challenger = p_challenger if p_challenger is not None else F.lit(None).cast("double")
-    served = rows.withColumn("_s", served_variant(assigned, p_champion, challenger)).select(
-        *rows.columns, F.col("_s.variant").alias("variant"), F.col("_s.probability").alias("probability")
+    served = pending.withColumn("_s", served_variant(assigned, p_champion, challenger)).select(
+        *pending.columns, F.col("_s.variant").alias("variant"), F.col("_s.probability").alias("probability")
     )
     decided = served.withColumn(
         "_d", decide("probability", F.lit(float(threshold)), "annual_inc", "installment", "dti", policy=policy)

@@ -74,7 +74,11 @@ def with_range(
 
 def _attach_offsets(local: DataFrame, keys: Sequence[str], offsets: DataFrame) -> DataFrame:
     """Left join of the few range offsets; AQE broadcasts them when their measured size allows."""
-    return local.join(offsets, [*keys, RANGE], "left")
+    match = F.col(f"l.{RANGE}") == F.col(f"o.{RANGE}")
+    for key in keys:  # a NULL key is a key of its own
+        match &= F.col(f"l.`{key}`").eqNullSafe(F.col(f"o.`{key}`"))
+    added = [F.col(f"o.`{c}`") for c in offsets.columns if c not in (*keys, RANGE)]
+    return local.alias("l").join(offsets.alias("o"), match, "left").select("l.*", *added)
 
 
 def _local_window(keys: Sequence[str], order: Sequence[str], descending: bool = False):
@@ -91,7 +95,7 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sums of ``values`` over ``order`` per key.
 
-    ``df`` needs the range column of :func:`with_range` and non-null keys. ``totals`` optionally
+    ``df`` needs the range column of :func:`with_range`; NULL keys form one group. ``totals`` optionally
     names, per value, an extra column with the sum over the whole key.
     """
     totals = totals or {}
