@@ -37,7 +37,7 @@ DROPOUT = 0.1
 SEED = 17
 VARIANTS = 4
 #: Segmentations a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 #: Longer stretches use a heap instead of a scan of their pairs.
