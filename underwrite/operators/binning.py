@@ -31,7 +31,11 @@ def labelled_counts(df: DataFrame, target: str, columns: Sequence[str]) -> DataF
 
 
 def candidate_edges(counts: DataFrame, max_bins: int = 10, max_discrete: int = 30) -> DataFrame:
-    """(feature, edges): midpoints between neighbouring values, or just above each quantile."""
+    """(feature, edges): midpoints between neighbouring values, or just above each quantile.
+
+    ``max_bins`` and ``max_discrete`` are the method's parameters: a feature with at most ``max_discrete`` distinct
+    values is cut between all of them, any other at its ``max_bins`` quantiles.
+    """
     known = counts.filter(F.col("value").isNotNull())
     probs = [i / max_bins for i in range(1, max_bins)]
     quantiles = quantiles_of_counts(known, ["feature"], "value", probs).select("feature", "q")

@@ -15,7 +15,7 @@ from underwrite.config import MISSING, OTHER, MonitoringRules
 from underwrite.functions.parsing import dec
 from underwrite.functions.scoring import digitize
 from underwrite.functions.stats import ks_p_value
-from underwrite.operators.preprocessing import bounded_sample, long_numeric
+from underwrite.operators.preprocessing import long_numeric
 from underwrite.operators.quality import category_shares
 from underwrite.operators.quantiles import quantiles_of_counts, value_counts
 from underwrite.operators.scan import running_total, with_range
@@ -71,15 +71,17 @@ def numeric_bins(counts: DataFrame, edges: DataFrame) -> DataFrame:
     return bins.join(totals, "feature").select("feature", "bin", (F.col("n") / F.col("total").cast("double")).alias("share"))
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """(feature, kind, edges, proportions, null_rate, mean)."""
-    everything = feature_counts(df, columns)
-    counts = everything.filter(F.col("value").isNotNull())
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str], bins: int = 10, counts: DataFrame | None = None
+) -> DataFrame:
+    """(feature, kind, edges, proportions, null_rate, mean); ``counts`` are the rows' feature counts, if at hand."""
+    everything = feature_counts(df, columns) if counts is None else counts
+    known = everything.filter(F.col("value").isNotNull())
     probs = [i / bins for i in range(1, bins)]
-    edges = quantiles_of_counts(counts, ["feature"], "value", probs).select(
+    edges = quantiles_of_counts(known, ["feature"], "value", probs).select(
         "feature", F.array_distinct("q").alias("edges")
     )
-    shares = numeric_bins(counts, edges).groupBy("feature").agg(
+    shares = numeric_bins(known, edges).groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m")
     )
     facts = facts_of_counts(everything)
@@ -113,24 +115,27 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], min_share: float
 
 
 def reference_profile(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], score: str | None = None, bins: int = 10
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    score: str | None = None,
+    bins: int = 10,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Profile of the training rows, the score included under its reserved name."""
+    """Profile of the training rows, the score included under its reserved name; ``counts`` from :func:`profile_counts`."""
     frame = df.withColumn(SCORE, F.col(score)) if score else df
     names = [*numeric, SCORE] if score else list(numeric)
-    return numeric_profile(frame, names, bins).unionByName(
+    return numeric_profile(frame, names, bins, counts).unionByName(
         categorical_profile(frame, categorical), allowMissingColumns=True
     )
 
 
-def profile_sample(
-    df: DataFrame, columns: Sequence[str], id_: str, n: int = 5000, score: str | None = None
-) -> DataFrame:
-    """(feature, value): up to ``n`` known values per feature, the same on every run."""
+def profile_counts(df: DataFrame, columns: Sequence[str], score: str | None = None) -> DataFrame:
+    """(feature, value, n) of all training rows, the score included: stored with the profile, current rows are
+    compared with every one of them."""
     frame = df.withColumn(SCORE, F.col(score)) if score else df
     names = [*columns, SCORE] if score else list(columns)
-    long = long_numeric(frame, names, [id_]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return bounded_sample(long, ["feature"], id_, n).select("feature", "value")
+    return feature_counts(frame, names)
 
 
 def two_sample_ks(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -174,12 +179,15 @@ def profile_bins(profile: DataFrame) -> DataFrame:
 
 def feature_drift(
     profile: DataFrame,
-    sample: DataFrame,
+    reference: DataFrame,
     current: DataFrame,
     score: str | None = None,
     rules: MonitoringRules | None = None,
 ) -> DataFrame:
-    """One row per profiled feature the current rows have: PSI, KS, null rates, means, status."""
+    """One row per profiled feature the current rows have: PSI, KS, null rates, means, status.
+
+    ``reference`` holds the (feature, value, n) counts of :func:`profile_counts`.
+    """
     rules = rules or MonitoringRules()
     frame = current.withColumn(SCORE, F.col(score)) if score else current
     # The profile has one row per feature; its names decide which columns to unpivot.
@@ -205,8 +213,8 @@ def feature_drift(
         )
         facts = facts.unionByName(empties, allowMissingColumns=True)
     stability = psi(profile_bins(profile), now, ["feature"])
-    sampled = value_counts(sample, ["feature"], "value")
-    distance = ks_of_counts(sampled, counts, ["feature"], "value").filter((F.col("n1") > 0) & (F.col("n2") > 0))
+    before = reference.filter(F.col("value").isNotNull())
+    distance = ks_of_counts(before, counts, ["feature"], "value").filter((F.col("n1") > 0) & (F.col("n2") > 0))
     p = ks_p_value("ks_statistic", "n1", "n2")
     joined = (
         profile.select("feature", "kind", F.col("null_rate").alias("null_rate_ref"), F.col("mean").alias("mean_ref"))

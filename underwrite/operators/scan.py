@@ -133,6 +133,15 @@ def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     )
 
 
+def next_value(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """The value of ``column`` that follows in its order per key, NULL after the last; needs the range column."""
+    local = df.withColumn(name, F.lead(column).over(_local_window(keys, [column])))
+    starts = df.groupBy(*keys, RANGE).agg(F.min(column).alias("_start"))
+    after = F.lead("_start").over(W.partitionBy(*keys).orderBy(RANGE)).alias("_next")
+    joined = _attach_offsets(local, keys, starts.select(*keys, RANGE, after))
+    return joined.withColumn(name, F.coalesce(name, "_next")).drop("_next")
+
+
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str = "row_number", total: str = "row_count"
 ) -> DataFrame:

@@ -21,7 +21,6 @@ from underwrite.plans.registry import register, rounded
 from underwrite.session import materialize
 
 TARGET = SPEC.target
-SMALL = {"gradient_boosting": {"maxIter": 5, "maxDepth": 3}, "random_forest": {"numTrees": 10, "maxDepth": 4}}
 
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,14 +44,14 @@ def logistic_candidate(spark, sf):
 @register("m06_tree_candidates")
 def tree_candidates(spark, sf):
     matrix = matrix_of(splits(spark, sf))
-    models = {n: ML.fit_model(n, matrix, SMALL[n]) for n in ("gradient_boosting", "random_forest")}
+    models = {n: ML.fit_model(n, matrix) for n in ("gradient_boosting", "random_forest")}
     scored = ML.score_side_by_side(models, matrix, ["loan_id"])
     return rounded(auc_table(scored, "_y", list(models), ["split"]))
 
 
 @register("m07_random_search")
 def random_search(spark, sf):
-    _, history = ML.tune("logistic_regression", matrix_of(splits(spark, sf)), trials=3)
+    _, history = ML.tune("logistic_regression", matrix_of(splits(spark, sf)))
     rows = [(h["trial"], float(h["params"]["C"]), h["train_auc"], h["val_auc"], h["score"]) for h in history]
     return rounded(spark.createDataFrame(rows, "trial int, c double, train_auc double, val_auc double, score double"))
 
@@ -60,7 +59,7 @@ def random_search(spark, sf):
 @register("m08_benchmark")
 def benchmark(spark, sf):
     matrix = matrix_of(splits(spark, sf))
-    models = {n: ML.fit_model(n, matrix, SMALL.get(n)) for n in ML.CANDIDATES}
+    models = {n: ML.fit_model(n, matrix) for n in ML.CANDIDATES}
     scored = ML.score_side_by_side(models, matrix, ["loan_id"])
     return rounded(ML.benchmark(scored, {n: m.threshold for n, m in models.items()}))
 
@@ -84,7 +83,7 @@ def ablation(spark, sf):
 @register("m20_tuning_effect")
 def tuning_effect(spark, sf):
     matrix = matrix_of(splits(spark, sf))
-    params, _ = ML.tune("logistic_regression", matrix, trials=2)
+    params, _ = ML.tune("logistic_regression", matrix)
     default = ML.fit_model("logistic_regression", matrix)
     tuned = ML.fit_model("logistic_regression", matrix, params)
     return rounded(ML.tuning_effect(default, tuned, matrix))

@@ -23,6 +23,7 @@ from underwrite.operators.loans import keep_first
 from underwrite.operators.metrics import classification_report
 from underwrite.operators.preprocessing import long_numeric
 from underwrite.operators.quantiles import exact_quantiles
+from underwrite.operators.scan import next_value, with_range
 from underwrite.operators.scorecard import Scorecard, points_of_bins
 from underwrite.plans import oracles as O
 from underwrite.plans import views as V
@@ -166,12 +167,15 @@ def numeric_profile(spark, sf):
 
 @register(
     "d09_profile_sample",
-    "select feature, sum(value) as total, count(*) as n from (select 'p_a' as feature, p_a as value, row_number() over (order by cast('0x' || substr(md5('42:' || loan_id), 1, 15) as bigint)) as rn "
-    f"from ({LOANS}) union all select 'p_b', p_b, row_number() over (order by cast('0x' || substr(md5('42:' || loan_id), 1, 15) as bigint)) from ({LOANS})) where rn <= 5000 group by 1",
+    " union all ".join(f"select '{c}' as feature, sum({c}) as total, count({c}) as n, count(distinct {c}) as n_values from ({LOANS})" for c in ("p_a", "p_b")),
 )
 def profile_sample(spark, sf):
-    sample = DR.profile_sample(loans(spark, sf), ["p_a", "p_b"], "loan_id")
-    return rounded(sample.groupBy("feature").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")))
+    """The reference side of the two-sample distance: counts of all rows, no sample of them."""
+    known = DR.profile_counts(loans(spark, sf), ["p_a", "p_b"]).filter(F.col("value").isNotNull())
+    facts = known.groupBy("feature").agg(
+        F.sum(F.col("value") * F.col("n")).alias("total"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_values")
+    )
+    return rounded(facts)
 
 
 def cat_profile_sql(source: str, columns: list[str], limit: float) -> str:
@@ -256,12 +260,16 @@ def _drift_sql() -> str:
     )
 
 
+def profile_of_lines(old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profile and counts of the older lines; the discount plays the part of the score."""
+    counts = DR.profile_counts(old, NUMERIC[:2], "l_discount")
+    return materialize(DR.reference_profile(old, NUMERIC[:2], TEXTS, "l_discount", counts=counts), "profile"), counts
+
+
 def drift_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All line features against their profile; the discount plays the part of the score."""
+    """All line features against their profile."""
     old, new = old_and_new(spark, sf)
-    profile = materialize(DR.reference_profile(old, NUMERIC[:2], TEXTS, "l_discount"), "profile")
-    sample = long_numeric(old.withColumn(DR.SCORE, F.col("l_discount")), [*NUMERIC[:2], DR.SCORE])
-    return DR.feature_drift(profile, sample, new, "l_discount")
+    return DR.feature_drift(*profile_of_lines(old), new, "l_discount")
 
 
 @register("d14_feature_drift", f"with {_drift_sql()} select * from drift")
@@ -276,9 +284,7 @@ def feature_drift(spark, sf):
 def profile_matched(spark, sf):
     """Features of the profile the current rows lack are left out."""
     old, new = old_and_new(spark, sf)
-    profile = materialize(DR.reference_profile(old, NUMERIC[:2], TEXTS, "l_discount"), "profile")
-    sample = long_numeric(old.withColumn(DR.SCORE, F.col("l_discount")), [*NUMERIC[:2], DR.SCORE])
-    return rounded(DR.feature_drift(profile, sample, new.drop(*TEXTS), "l_discount").select("feature", "psi"))
+    return rounded(DR.feature_drift(*profile_of_lines(old), new.drop(*TEXTS), "l_discount").select("feature", "psi"))
 
 
 # --- D15-D23: binning and scorecard --------------------------------------------------------------
@@ -319,11 +325,9 @@ def candidate_edges(spark, sf):
 
 @register("w08_neighbour_midpoints", "select l_quantity, (l_quantity + lead(l_quantity) over (order by l_quantity)) / 2.0 as edge from (select distinct l_quantity from lineitem) qualify edge is not null")
 def neighbour_midpoints(spark, sf):
-    counts = B.labelled_counts(V.table(spark, sf, "lineitem").withColumn("y", F.lit(1)), "y", ["l_quantity"])
-    edges = B.candidate_edges(counts, max_discrete=10_000)
-    listed = edges.select(F.explode("edges").alias("edge"))
-    # Quantities are whole numbers, so the value under a midpoint is its floor.
-    return rounded(listed.select(F.floor("edge").cast("double").alias("l_quantity"), "edge"))
+    values = B.labelled_counts(V.table(spark, sf, "lineitem").withColumn("y", F.lit(1)), "y", ["l_quantity"]).filter(F.col("value").isNotNull())
+    pairs = next_value(with_range(values, ["value"], grouped=True), ["feature"], "value", "above").filter(F.col("above").isNotNull())
+    return rounded(pairs.select(F.col("value").alias("l_quantity"), ((F.col("value") + F.col("above")) / dec(2)).alias("edge")))
 
 
 @register("d16_merged_bins")
