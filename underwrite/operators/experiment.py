@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,16 @@ from underwrite.operators.delong import auc_interval
 CHAMPION, CHALLENGER = "champion", "challenger"
 
 
-def comparable_population(log: DataFrame, outcomes: DataFrame, clock: Column) -> DataFrame:
-    """Labelled requests of both arms since the challenger served its first one."""
+def comparable_population(
+    log: DataFrame, outcomes: DataFrame, clock: Column, versions: Mapping[str, str]
+) -> DataFrame:
+    """Labelled requests of both arms since the challenger served its first one.
+
+    ``versions`` names the model version of each arm: requests that another version answered are left out, and
+    an earlier challenger does not move the start.
+    """
+    fixed = F.create_map(*[F.lit(x) for pair in versions.items() for x in pair])
+    log = log.filter(F.col("model_version") == F.try_element_at(fixed, F.col("variant")))
     started = log.filter(F.col("variant") == CHALLENGER).agg(F.min("event_ts").alias("m")).scalar()
     seen = outcomes.filter(F.col("observed_ts") <= clock).select("request_id", "actual_default")
     scored = log.filter(F.col("probability").isNotNull() & F.col("variant").isin(CHAMPION, CHALLENGER))

@@ -901,15 +901,26 @@ def monitoring_run(spark, sf):
     )
 
 
+# Some champion requests come from an older version, and an earlier challenger ran before this one.
+ARM_VERSIONS = {"champion": "1", "challenger": "2"}
 POPULATION = (
-    f"lg as ({LOG}), pop as (select l.variant, l.probability, l.decision, o.actual_default from lg l join ({OUT}) o on l.request_id = o.request_id where o.observed_ts <= timestamp '{CLOCK}' "
-    "and l.probability is not null and l.event_ts >= (select min(event_ts) from lg where variant = 'challenger'))"
+    f"lg as (select * replace (case when variant = 'challenger' and event_ts < timestamp '2024-01-12' then '1' when variant = 'champion' and request_id % 7 = 0 then '0' else model_version end as model_version) from ({LOG})), pop as (select l.variant, l.probability, l.decision, o.actual_default from lg l join ({OUT}) o on l.request_id = o.request_id where o.observed_ts <= timestamp '{CLOCK}' "
+    "and l.probability is not null and (l.variant, l.model_version) in (('champion', '1'), ('challenger', '2')) "
+    "and l.event_ts >= (select min(event_ts) from lg where variant = 'challenger' and model_version = '2'))"
 )
 
 
+def population(spark: SparkSession, sf: str) -> DataFrame:
+    rows = log(spark, sf)
+    earlier = (F.col("variant") == "challenger") & (F.col("event_ts") < stamp("2024-01-12"))
+    older = (F.col("variant") == "champion") & (F.col("request_id") % 7 == 0)
+    version = F.when(earlier, "1").when(older, "0").otherwise(F.col("model_version"))
+    return E.comparable_population(rows.withColumn("model_version", version), outcomes(spark, sf), stamp(CLOCK), ARM_VERSIONS)
+
+
 @register("p13_comparable_population", f"with {POPULATION} select variant, count(*) as n, sum(probability) as total, sum(actual_default)::bigint as bad from pop group by variant")
 def comparable_population(spark, sf):
-    rows = E.comparable_population(log(spark, sf), outcomes(spark, sf), stamp(CLOCK))
+    rows = population(spark, sf)
     return rounded(
         rows.groupBy("variant").agg(
             F.count(F.lit(1)).alias("n"), F.sum("probability").alias("total"), F.sum("actual_default").alias("bad")
@@ -923,19 +934,19 @@ def comparable_population(spark, sf):
     "sum(case when decision = 'APROBAR' then actual_default else 0 end)::bigint as bad_approved, sum(case when decision = 'APROBAR' then actual_default else 0 end) / greatest(count(*) filter (where decision = 'APROBAR'), 1) as bad_rate_approved from pop group by variant",
 )
 def arm_aggregates(spark, sf):
-    return rounded(E.arm_summary(E.comparable_population(log(spark, sf), outcomes(spark, sf), stamp(CLOCK))))
+    return rounded(E.arm_summary(population(spark, sf)))
 
 
 @register("d40_bootstrap_difference")
 def bootstrap_difference(spark, sf):
-    rows = E.comparable_population(log(spark, sf), outcomes(spark, sf), stamp(CLOCK))
+    rows = population(spark, sf)
     return rounded(auc_difference(rows, "actual_default", "probability", "variant", "champion", "challenger", 500))
 
 
 @register("p12_experiment_verdict")
 def experiment_verdict(spark, sf):
     """Full evaluation; its interval comes from bootstrap draws."""
-    rows = E.comparable_population(log(spark, sf), outcomes(spark, sf), stamp(CLOCK))
+    rows = population(spark, sf)
     return rounded(E.evaluate(rows, dec(1), C.ExperimentRules()))
 
 
