@@ -110,3 +110,10 @@ def test_a_null_key_is_a_key(spark):
         assert {r.row_count for r in numbered if r.k == key} == {250}
     top = scan.top_per_key(df, ["k"], ["x"], 5).collect()
     assert sorted((str(r.k) for r in top)) == ["None"] * 5 + ["a"] * 5
+
+
+def test_next_value_crosses_ranges(spark):
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in range(0, 60, 3)]
+    df = scan.with_range(spark.createDataFrame(rows, "k string, v double"), ["v"], ranges=5)
+    got = {(r["k"], r["v"]): r["above"] for r in scan.next_value(df, ["k"], "v", "above").collect()}
+    assert got == {(k, v): (v + 3 if v < 57 else None) for k, v in rows}
