@@ -58,6 +58,8 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "x▁ y", "c"), (3, "x▁ y", "c"), (None, "z" * 100_000, None)], "doc_id long, text string, piece_ids2 string")
     out = pieces.decode(pieces.encode(df, df.columns)).collect()
     assert all(r.decoded == r.text for r in out) and len(out) == 5
+    once = pieces.encode(df, df.columns, decoded="decoded")
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, out)) and pieces.encode(df.limit(0), ["doc_id"], decoded="back").count() == 0
     assert [r.piece_ids for r in out if r.text is None] == [None] and [r.piece_ids for r in out if r.text == ""] == [[]]
     assert pieces.decode(pieces.encode(df.limit(0), ["doc_id"])).count() == 0
 

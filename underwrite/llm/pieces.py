@@ -313,12 +313,19 @@ def _encoder(token: tuple, shared, dropout: float, seed: int) -> Encoder:
     return _encoders[token]
 
 
-def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` and ``piece_ids`` of every row."""
+def encode(
+    df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, decoded: str | None = None
+) -> DataFrame:
+    """The columns ``keep`` and ``piece_ids`` of every row; with ``decoded``, also their text as a column of that name.
+
+    Decoding where the ids arise saves a second set of Python workers, each of which would come to hold a table
+    of segmentations, as Spark hands idle workers to either step.
+    """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(model))  # bounded by the vocabulary
     token = (model, dropout, seed)
-    schema = StructType([*(df.schema[c] for c in keep), StructField("piece_ids", ArrayType(IntegerType()))])
+    back = [decoded] if decoded else []
+    schema = StructType([*(df.schema[c] for c in keep), StructField("piece_ids", ArrayType(IntegerType())), *(StructField(c, StringType()) for c in back)])
     n = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +340,10 @@ def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "tex
                 ids = encoder.encode_many(values.fill_null("").to_pylist(), names.slice(lo, hi - lo).fill_null("").to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=values.is_null())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(n)), column], names=[*keep, "piece_ids"])
+                arrays = [*(batch.column(i).slice(lo, hi - lo) for i in range(n)), column]
+                if back:
+                    arrays.append(pa.array([decode_ids(i, encoder.words) if ok else None for i, ok in zip(ids, values.is_valid().to_pylist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "piece_ids", *back])
                 lo = hi
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{key}`").cast("string").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema)

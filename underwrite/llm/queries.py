@@ -160,7 +160,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, ["doc_id", "text"]))
+    out = pieces.encode(docs, ["doc_id", "text"], decoded="decoded")
     same = F.col("decoded").eqNullSafe(F.col("text"))
     return out.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), same.alias("lossless"), "piece_ids")
 
