@@ -13,6 +13,8 @@ from underwrite.operators import analysis as A
 from underwrite.operators import comparison as CMP
 from underwrite.operators import delong as D
 from underwrite.operators import metrics as M
+from underwrite.operators.detectors import ddm
+from underwrite.operators.quantiles import exact_quantiles
 from underwrite.operators.bootstrap import auc_difference, bootstrap_interval, replicate_metrics, standard_metrics
 
 
@@ -170,3 +172,25 @@ def test_difference_of_independent_arms(scored):
     )
     r = auc_difference(arms, "y", "p", "arm", "a", "b", 200).first()
     assert r["ci_low"] > 0 and r["p_value"] < 0.05 and r["ci_low"] < r["auc_diff"] < r["ci_high"]
+
+
+def test_a_null_key_is_a_group_of_its_own(spark, scored):
+    """The same rows under NULL and under a name give the same numbers everywhere."""
+    df = scored[1].select("id", "y", "strong", "weak", F.explode(F.array(F.lit("a"), F.lit(None))).alias("k"))
+    results = [
+        M.classification_report(df, "y", "strong", keys=["k"]),
+        M.optimal_threshold(df, "y", "strong", keys=["k"]),
+        M.curve_points(df, "y", "strong", 20, ["k"]),
+        D.auc_interval(df, "y", "strong", ["k"]),
+        D.paired_tests(df, "y", ["strong", "weak"], ["k"]),
+        A.spearman(df, ["k"], "strong", "weak"),
+        exact_quantiles(df, ["k"], "strong", [0.25, 0.5]),
+        ddm(df, "y", ["id"], ["k"]),
+    ]
+    for result in results:
+        rows = [r.asDict() for r in result.collect()]
+        named, null = ([{c: v for c, v in r.items() if c != "k"} for r in rows if r["k"] == k] for k in ("a", None))
+        assert named and len(named) == len(null)
+        assert sorted(map(repr, named)) == sorted(map(repr, null)) or all(
+            a[c] == (pytest.approx(b[c], rel=1e-9) if isinstance(b[c], float) else b[c]) for a, b in zip(sorted(named, key=repr), sorted(null, key=repr)) for c in a
+        )

@@ -18,7 +18,7 @@ from underwrite.operators.delong import interval_of_moments
 from underwrite.operators.metrics import rank_terms, separation
 from underwrite.operators.quantiles import quantiles_of_counts
 from underwrite.operators.scan import ntile
-from underwrite.operators.small import attach
+from underwrite.operators.small import attach, join_keys
 from underwrite.session import materialize
 
 CALIBRATION_FLOOR = 1e-6
@@ -209,7 +209,7 @@ def spearman(
     pairs = rows.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     for side in ("_x", "_y"):
         ranks = average_rank(rows, side, keys).select(*keys, side, F.col("avg_rank").alias(f"r{side}"))
-        pairs = pairs.join(ranks, [*keys, side])
+        pairs = join_keys(pairs, ranks, keys, [side])
     a, b, w = F.col("r_x"), F.col("r_y"), F.col("_w")
     sums = pairs.groupBy(*keys).agg(
         F.sum(w).alias("n"),

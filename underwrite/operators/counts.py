@@ -14,13 +14,11 @@ from underwrite.operators.scan import RANGE, running_total, with_range
 def score_counts(
     df: DataFrame, label: Column | str, score: Column | str, keys: Sequence[str] = (), weight: Column | None = None
 ) -> DataFrame:
-    """(keys, score, pos, neg): one row per distinct score, partially aggregated before the shuffle."""
+    """(keys, score, pos, neg): one row per distinct score, partially aggregated before the shuffle; a NULL key is a group."""
     y = col(label).cast("int")
     w = F.lit(1).cast("bigint") if weight is None else weight
     rows = df.select(*keys, y.alias("_y"), col(score).cast("double").alias("score"), w.alias("_w"))
-    for name in ("_y", "score", *keys):
-        rows = rows.filter(F.col(name).isNotNull())
-    rows = rows.filter(~F.isnan("score"))
+    rows = rows.filter(F.col("_y").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     return rows.groupBy(*keys, "score").agg(
         F.sum(F.col("_w") * F.col("_y")).alias("pos"), F.sum(F.col("_w") * (1 - F.col("_y"))).alias("neg")
     )

@@ -17,6 +17,7 @@ from underwrite.functions.parsing import col, dec
 from underwrite.functions.stats import two_sided_p
 from underwrite.operators.counts import neg_below, pos_below, ranked, score_counts
 from underwrite.operators.metrics import auc_of, both_classes, rank_terms
+from underwrite.operators.small import join_keys
 
 
 def _spread(sum_: Column, squares: Column, n: Column) -> Column:
@@ -73,7 +74,7 @@ def paired_moments(df: DataFrame, label: Column | str, scores: Sequence[str], ke
     """
     y = col(label).cast("int")
     rows = df.select(*keys, y.alias("_y"), *[F.col(s).cast("double").alias(s) for s in scores])
-    for name in ("_y", *scores, *keys):
+    for name in ("_y", *scores):
         rows = rows.filter(F.col(name).isNotNull())
     tuples = rows.groupBy(*keys, *scores).agg(
         F.sum(F.col("_y").cast("bigint")).alias("w_pos"), F.sum((1 - F.col("_y")).cast("bigint")).alias("w_neg")
@@ -90,7 +91,7 @@ def paired_moments(df: DataFrame, label: Column | str, scores: Sequence[str], ke
             F.try_divide(neg_below(), F.col("neg_all").cast("double")).alias(f"_a_{s}"),
             F.try_divide(pos_below(), F.col("pos_all").cast("double")).alias(f"_b_{s}"),
         )
-        placed_tuples = placed_tuples.join(placed, [*keys, s])
+        placed_tuples = join_keys(placed_tuples, placed, keys, [s])
     aggregates = [F.sum("w_pos").alias("n_pos"), F.sum("w_neg").alias("n_neg")]
     for side, weight in (("a", "w_pos"), ("b", "w_neg")):
         for i, s in enumerate(scores):

@@ -18,7 +18,7 @@ from underwrite.operators.scan import RANGE, running_min, running_total, with_ra
 
 
 def ordered_rows(df: DataFrame, value: Column | str, order: Sequence[Column | str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, o0, o1, x) with timestamps as microseconds and the range of each row."""
+    """(keys, o0, o1, x) with timestamps as microseconds and the range of each row; a NULL key is a stream of its own."""
     columns = []
     types = dict(df.select(*[col(c).alias(f"o{i}") for i, c in enumerate(order)]).dtypes)
     for i, c in enumerate(order):
@@ -27,8 +27,6 @@ def ordered_rows(df: DataFrame, value: Column | str, order: Sequence[Column | st
             expr = F.unix_micros(expr.cast("timestamp"))
         columns.append(expr.alias(f"o{i}"))
     rows = df.select(*keys, *columns, col(value).cast("double").alias("x"))
-    for key in keys:
-        rows = rows.filter(F.col(key).isNotNull())
     return with_range(rows.filter(F.col("x").isNotNull()), [f"o{i}" for i in range(len(order))])
 
 

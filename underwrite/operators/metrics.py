@@ -110,8 +110,6 @@ def threshold_counts(
     """
     y = col(label).cast("int")
     rows = df.filter(y.isNotNull() & col(score).isNotNull())
-    for key in keys:
-        rows = rows.filter(F.col(key).isNotNull())
     histogram = rows.groupBy(*keys, digitize(col(score).cast("double"), list(grid)).alias("step")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
     )

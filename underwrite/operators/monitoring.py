@@ -13,6 +13,7 @@ from underwrite.functions.scoring import clip, log_loss, misclassified
 from underwrite.functions.stats import two_proportion_z, two_sided_p
 from underwrite.operators.detectors import ddm, page_hinkley
 from underwrite.operators.metrics import classification_report
+from underwrite.operators.small import join_keys
 
 SIGNALS = (
     "auc_degradation",
@@ -72,7 +73,7 @@ def concept_report(
         one = F.lit(1).alias("_k")
         report, warned, climbed = (d.select(one, "*") for d in (report, warned, climbed))
         by = ["_k"]
-    joined = report.join(warned, by).join(climbed, by)
+    joined = join_keys(join_keys(report, warned, by), climbed, by)
 
     base = reference["default_rate_observed"]
     z = two_proportion_z(

@@ -125,7 +125,8 @@ def category_shares(df: DataFrame, columns: list[str], missing: str, min_share:
     counts = long.groupBy("feature", F.coalesce("value", F.lit(missing)).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    rows = df.agg(F.count(F.lit(1)).cast("double").alias("rows")).scalar()
+    # Every row counts once per column: the total comes from the counts, not from a second scan.
+    rows = counts.agg((F.sum("n") / F.lit(len(columns))).cast("double").alias("rows")).scalar()
     shares = counts.withColumn("_rows", rows).withColumn("share", F.col("n") / F.col("_rows")).drop("_rows")
     return shares.filter(F.col("share") >= min_share)
 

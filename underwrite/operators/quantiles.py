@@ -12,10 +12,8 @@ from underwrite.operators.scan import running_total, with_range
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n) of the non-null values."""
+    """(keys, value, n) of the non-null values; a NULL key is a group."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    for key in keys:
-        rows = rows.filter(F.col(key).isNotNull())
     return rows.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("n"))
 
 

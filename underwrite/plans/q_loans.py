@@ -32,14 +32,19 @@ def canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed rows written once: everything after the parse reads a columnar table."""
-    return materialize(canonical(spark, sf), "silver")
+    """Typed rows, parsed where they are read: a plan pays for the columns it uses and writes nothing."""
+    return canonical(spark, sf)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     return L.build_features(L.clean_loans(silver(spark, sf), SPEC), SPEC)
 
 
+def written_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features written once, for fits that pass over them several times."""
+    return materialize(features(spark, sf), "features")
+
+
 # Cut dates that leave labelled rows in all periods once every loan has matured.
 CUTS_ALL = ("1998-01-01", "1999-07-01", "2001-01-01")
 
@@ -47,8 +52,7 @@ CUTS_ALL = ("1998-01-01", "1999-07-01", "2001-01-01")
 def features_at(spark: SparkSession, sf: str, snapshot: str) -> DataFrame:
     """Features with the labels known at another snapshot of the file."""
     spec = C.LoanSpec(label_snapshot=snapshot)
-    rows = materialize(L.parse_loans(raw_loans(spark, sf), spec), "silver")
-    return L.build_features(L.clean_loans(rows, spec), spec)
+    return L.build_features(L.clean_loans(L.parse_loans(raw_loans(spark, sf), spec), spec), spec)
 
 
 def day(c: str):
@@ -614,7 +618,7 @@ NUMS = SPEC.numeric_names + list(C.DERIVED_FEATURES)
     + " union all ".join(f"select '{c}' as feature, coalesce(quantile_cont({c}, 0.5), 0) as median from features" for c in NUMS),
 )
 def exact_medians(spark, sf):
-    return rounded(PP.medians(features(spark, sf), NUMS))
+    return rounded(PP.medians(written_features(spark, sf), NUMS))
 
 
 @register(
@@ -657,7 +661,7 @@ FIT_SQL = (
 
 @register("m01_preprocessor_fit", FIT_SQL)
 def preprocessor_fit(spark, sf):
-    fitted = PP.Preprocessor(SPEC).fit(features(spark, sf))
+    fitted = PP.Preprocessor(SPEC).fit(written_features(spark, sf))
     rows = [("median", n, None, v) for n, v in fitted.medians.items()]
     rows += [("indicator", n, None, None) for n in fitted.indicators]
     rows += [("level", n, v, None) for n, values in fitted.vocabulary.items() for v in values]
@@ -678,7 +682,7 @@ def _transform_sql() -> str:
 
 @register("m02_preprocessor_transform", _transform_sql())
 def preprocessor_transform(spark, sf):
-    rows = features(spark, sf)
+    rows = written_features(spark, sf)
     fitted = PP.Preprocessor(SPEC, min_missing_share=0.0).fit(rows)
     matrix = fitted.transform(rows, ["loan_id"])
     total = sum((F.col(n) for n in NUMS), F.lit(0.0))

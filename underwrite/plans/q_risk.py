@@ -27,7 +27,7 @@ from underwrite.operators.scan import next_value, with_range
 from underwrite.operators.scorecard import Scorecard, points_of_bins
 from underwrite.plans import oracles as O
 from underwrite.plans import views as V
-from underwrite.plans.q_loans import CATS, NUMS, SPEC, canonical, day, features, payloads, silver
+from underwrite.plans.q_loans import CATS, NUMS, SPEC, canonical, day, features, payloads, silver, written_features
 from underwrite.plans.registry import register, rounded
 from underwrite.session import materialize
 from underwrite.sources import tables
@@ -405,14 +405,14 @@ SCORE_TEXT = ["purpose", "grade"]
 
 @register("d21_scorecard_fit")
 def scorecard_fit(spark, sf):
-    card = Scorecard(SCORE_NUMERIC, SCORE_TEXT).fit(features(spark, sf), SPEC.target)
+    card = Scorecard(SCORE_NUMERIC, SCORE_TEXT).fit(written_features(spark, sf), SPEC.target)
     rows = [("(intercept)", card.intercept)] + list(card.coefficients.items())
     return rounded(spark.createDataFrame(rows, "feature string, coefficient double"))
 
 
 @register("d22_points_per_bin")
 def points_per_bin(spark, sf):
-    rows = features(spark, sf)
+    rows = written_features(spark, sf)
     return rounded(Scorecard(SCORE_NUMERIC, SCORE_TEXT).fit(rows, SPEC.target).points_table(rows))
 
 
@@ -430,7 +430,7 @@ def points_of_coefficient(spark, sf):
 
 @register("d23_scorecard_scores")
 def scorecard_scores(spark, sf):
-    rows = features(spark, sf)
+    rows = written_features(spark, sf)
     card = Scorecard(SCORE_NUMERIC, SCORE_TEXT).fit(rows, SPEC.target)
     return rounded(rows.select("loan_id", card.probability().alias("pd"), card.points().alias("points")))
 
@@ -786,7 +786,7 @@ REPLAY = (
 
 def replayed(spark: SparkSession, sf: str) -> DataFrame:
     """The months after those already in the log, which ends in March 1997."""
-    rows = features(spark, sf)
+    rows = written_features(spark, sf)
     done = rows.filter(F.col("issue_month") < stamp("1997-04-01")).select(
         F.lit("replay").alias("source"), F.col("issue_month").alias("event_ts")
     )
@@ -827,6 +827,8 @@ def window_bounds(spark, sf):
 
 
 LABELLED_LOG = f"lb as (select l.*, o.actual_default as y from ({LOG}) l join ({OUT}) o on l.request_id = o.request_id where l.probability is not null and o.observed_ts <= timestamp '{CLOCK}')"
+# Pooled z of the window's default rate against 2,000 of 10,000 reference rows.
+PRIOR_Z = "((bad / n::double - 0.2) / sqrt((bad + 2000) / (n + 10000)::double * (1 - (bad + 2000) / (n + 10000)::double) * (1 / n::double + 1 / 10000::double)))"
 REFERENCE = {"roc_auc": 0.75, "ks": 0.4, "brier": 0.15, "default_rate_observed": 0.20}
 
 
@@ -834,9 +836,13 @@ REFERENCE = {"roc_auc": 0.75, "ks": 0.4, "brier": 0.15, "default_rate_observed":
     "p08_concept_report",
     f"with {LABELLED_LOG}, b as (select * from lb), {O.counted('b', 'y', 'probability')}, me as (select {O.AUC} as auc, {O.KS} as ks from r), "
     "ag as (select count(*) as n, sum(y) as bad, avg(y) as observed, avg(probability) as predicted, avg((least(greatest(probability, 1e-7), 1 - 1e-7) - y) ** 2) as brier from b), "
-    f"src as (select 0 as k, event_ts as ts, request_id as id, case when (least(greatest(probability, 1e-7), 1 - 1e-7) >= 0.18) <> (y = 1) then 1.0e0 else 0.0e0 end as x from b), {DDM_SQL.replace('s as', 's1 as').replace('from s)', 'from s1)').replace(' l as', ' l1 as').replace('from l)', 'from l1)').replace(' b as', ' b1 as').replace('from b)', 'from b1)').replace(' d as', ' d1 as').replace('d.k', 'd1.k').replace('from d)', 'from d1)')} "
-    "select n, bad::bigint as n_pos, 0.75 - auc as auc_drop, 0.4 - ks as ks_drop, brier - 0.15 as brier_increase, predicted - observed as calibration_gap, state as ddm_state, index as ddm_index, "
-    "0.75 - auc >= 0.04 as auc_degradation, 0.4 - ks >= 0.08 as ks_degradation, brier - 0.15 >= 0.02 as calibration_degradation from ag, me, ddm",
+    f"src as (select 0 as k, event_ts as ts, request_id as id, case when (least(greatest(probability, 1e-7), 1 - 1e-7) >= 0.18) <> (y = 1) then 1.0e0 else 0.0e0 end as x from b), {DDM_SQL.replace('s as', 's1 as').replace('from s)', 'from s1)').replace(' l as', ' l1 as').replace('from l)', 'from l1)').replace(' b as', ' b1 as').replace('from b)', 'from b1)').replace(' d as', ' d1 as').replace('d.k', 'd1.k').replace('from d)', 'from d1)')}, "
+    "src2 as (select 0 as k, event_ts as ts, request_id as id, -(y * ln(q) + (1 - y) * ln(1 - q)) as x from (select *, least(greatest(probability, 1e-7), 1 - 1e-7) as q from b)), "
+    f"{PH_SQL.replace('s as (', 's2 as (').replace('from src)', 'from src2)').replace('from s)', 'from s2)').replace('c as (', 'c2 as (').replace('from c)', 'from c2)')} "
+    f"select n, bad::bigint as n_pos, 0.75 - auc as auc_drop, 0.4 - ks as ks_drop, brier - 0.15 as brier_increase, predicted - observed as calibration_gap, state as ddm_state, ddm.index as ddm_index, ph.drift as page_hinkley_drift, ph.statistic as page_hinkley_statistic, {PRIOR_Z} as prior_shift_z, "
+    f"abs(observed - 0.2) >= 0.03 and abs({PRIOR_Z}) > 1.959963984540054 as prior_shift, "
+    "0.75 - auc >= 0.04 or 0.4 - ks >= 0.08 or (state = 'drift' and ph.drift) as concept_drift, "
+    "0.75 - auc >= 0.04 as auc_degradation, 0.4 - ks >= 0.08 as ks_degradation, brier - 0.15 >= 0.02 as calibration_degradation from ag, me, ddm, ph",
 )
 def concept_report(spark, sf):
     rows = MO.visible_labels(log(spark, sf), outcomes(spark, sf), stamp(CLOCK), F.col("probability").isNotNull())
@@ -844,6 +850,7 @@ def concept_report(spark, sf):
     return rounded(
         report.select(
             "n", "n_pos", "auc_drop", "ks_drop", "brier_increase", "calibration_gap", "ddm_state", "ddm_index",
+            "page_hinkley_drift", "page_hinkley_statistic", "prior_shift_z", "prior_shift", "concept_drift",
             "auc_degradation", "ks_degradation", "calibration_degradation",
         )
     )

@@ -115,21 +115,27 @@ def micro_batch_log(spark, sf):
     return rounded(spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path))
 
 
-@register("t07_late_labels", "select 'all' as rows, count(*) as n, count(distinct event_id) as ids from events")
+@register("t07_late_labels", "select event_id, ts < (select max(ts) from events) - interval 2 day as is_late from events")
 def late_labels(spark, sf):
-    """Rows behind the clock go to a side table; together both tables hold every row once."""
-    good, late = scratch_path(spark, "on-time"), scratch_path(spark, "late")
-    # Files in reverse order of time: everything after the first file is late.
+    """Rows behind the clock go to a side table; each run of the sink takes what has arrived since the last one.
+
+    The last day arrives first, so everything older than two days before its end is late.
+    """
+    good, late, path = (scratch_path(spark, name) for name in ("on-time", "late", "arrivals"))
+    state, clock = scratch_path(spark, "late-state"), scratch_path(spark, "clock")
     rows = V.table(spark, sf, "events")
-    path = scratch_path(spark, "reversed")
-    rows.withColumn("_r", -F.unix_micros(F.col("ts").cast("timestamp"))).repartitionByRange(3, "_r").drop("_r").write.parquet(path)
-    stream = SW.file_stream(spark, path, rows.schema, 1)
-    SW.wait(SK.late_aware_sink(stream, "ts", "2 DAYS", good, late, scratch_path(spark, "late-state"), scratch_path(spark, "clock")))
-    shape = stream.schema
-    both = [spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(p) for p in (good, late)]
-    return both[0].unionByName(both[1]).agg(
-        F.lit("all").alias("rows"), F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids")
-    )
+    end = rows.agg(F.max("ts")).scalar()
+    day, decade = end - F.expr("INTERVAL 1 DAY"), end - F.expr("INTERVAL 10 DAYS")
+    at = F.col("ts")
+    for arrived in (at >= day, (at >= decade) & (at < day), at < decade):
+        rows.filter(arrived).write.mode("append").parquet(path)
+        stream = SW.file_stream(spark, path, rows.schema)
+        SW.wait(SK.late_aware_sink(stream, "ts", "2 DAYS", good, late, state, clock))
+    both = [
+        spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(p).select("event_id", F.lit(is_late).alias("is_late"))
+        for p, is_late in ((good, False), (late, True))
+    ]
+    return both[0].unionByName(both[1])
 
 
 @register(
