@@ -2,13 +2,14 @@
 
 A text is cut before white space (no piece of a merge-type vocabulary joins letters to a following space, which
 is checked when the vocabulary is read). The agenda of a stretch holds its adjacent pairs that form a piece;
-the pair with the best score, leftmost first, is merged next, unless a hash keyed by seed, variant, stretch and
-the pair's place says that this candidate is skipped. Each occurrence of a stretch draws one of ``VARIANTS``
-variants by a hash of seed, document key and position, so equal words are cut in several ways, and reruns on any
-partitioning agree. With dropout 0 the result is the vocabulary's own segmentation. Characters without a piece
-become byte pieces, so decoding returns every text unchanged.
+the pair with the best score, leftmost first, is merged next, unless this candidate is skipped. The skips of an
+occurrence are independent random bits, one per candidate in the order of the agenda, from a hash of seed,
+document key and position: no two occurrences share their draw, and reruns on any partitioning agree. With
+dropout 0 the result is the vocabulary's own segmentation. Characters without a piece become byte pieces, so
+decoding returns every text unchanged.
 
-Segmentations are remembered per (stretch, variant) in a bounded table of the worker.
+A segmentation follows from the stretch and the skips that its candidates met, so it is remembered per (stretch,
+skips met) in a bounded table of the worker; that saves work and restricts nothing.
 
 Defined results: a NULL text has NULL ids, the empty text none; texts equal in key and content are cut alike;
 a literal U+2581 is written as bytes, so that it is not read back as a space; an empty table gives an empty
@@ -23,7 +24,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from zlib import crc32
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from underwrite.llm.common import mix
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
 #: Segmentations a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 #: Longer stretches use a heap instead of a scan of their pairs.
 SHORT = 48
+#: Stretches up to this length have at most 3 * (22 - 1) = 63 candidates, so one word holds their skips.
+WORD = 22
 
 SPACE = "▁"
 STRETCH = re.compile(rf" *[^ \n{SPACE}]+| +|\n|{SPACE}")
 FAR = float("inf")
+#: As many low bits as the index says.
+ONES = [(1 << n) - 1 for n in range(3 * SHORT)]
 
 
 @dataclass(frozen=True, eq=False)
@@ -81,42 +87,57 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(decoded), ids, ranks, tuple(raw[b] for b in range(256)))
 
 
-def _skipped(base: int, start: int, end: int, limit: int) -> bool:
-    """Whether the candidate over characters start:end of the keyed stretch is skipped."""
-    x = (base + start * 0x9E3779B1 + end * 0x85EBCA77) & 0xFFFFFFFF
-    x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-    x ^= x >> 12
-    return (x * 0x297A2D39 >> 8) & 0xFFFF < limit
+def drops(keys: np.ndarray, word: int | np.ndarray, limit: int) -> np.ndarray:
+    """64 independent bits per key (numbers 64 * word on), each set with probability limit / 65536."""
+    if limit >= 65536:
+        return np.full(len(keys), np.uint64(0xFFFFFFFFFFFFFFFF))
+    out = np.zeros(len(keys), dtype=np.uint64)
+    at = keys + np.asarray(word).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for b in range(16):  # the binary digits of the probability, last first
+        if limit >> b << b != limit or limit >> b & 1:
+            x = mix(at + np.uint64((b + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            out = out | x if limit >> b & 1 else out & x
+    return out
+
+
+def _skips(length: int, base: int, limit: int) -> int:
+    """The skips of all candidates a stretch of this length can have, first in the lowest bit."""
+    if not limit:
+        return 0
+    n = 3 * length // 64 + 1
+    return int.from_bytes(drops(np.full(n, base, dtype=np.uint64), np.arange(n), limit).tobytes(), "little")
 
 
 def cut(stretch: str, ranks: dict[str, float], base: int, limit: int) -> list[str]:
-    """Pieces of one stretch (spaces already written as the space sign)."""
+    """Pieces of one stretch (spaces already written as the space sign), with the skips drawn for the key ``base``."""
     if len(stretch) > SHORT:
         return _cut_long(stretch, ranks, base, limit)
+    return _cut_short(stretch, ranks, _skips(len(stretch), base, limit))[0]
+
+
+def _cut_short(stretch: str, ranks: dict[str, float], skips: int) -> tuple[list[str], int]:
+    """Pieces of one stretch, and how many candidates it had. ``skips``: one bit per candidate, first in the lowest."""
     parts = list(stretch)
-    starts = list(range(len(parts)))
     get = ranks.get
     agenda = [get(a + b, FAR) for a, b in zip(parts, stretch[1:])]
+    met = 0
     while agenda:
         best = min(agenda)
         if best == FAR:
             break
         i = agenda.index(best)
+        met += 1
+        if skips >> met - 1 & 1:
+            agenda[i] = FAR
+            continue
         joined = parts[i] + parts[i + 1]
-        if limit:  # as _skipped, written out: this is the inner loop
-            start = starts[i]
-            x = (base + start * 0x9E3779B1 + (start + len(joined)) * 0x85EBCA77) & 0xFFFFFFFF
-            x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-            if ((x ^ (x >> 12)) * 0x297A2D39 >> 8) & 0xFFFF < limit:
-                agenda[i] = FAR
-                continue
         parts[i] = joined
-        del parts[i + 1], starts[i + 1], agenda[i]
+        del parts[i + 1], agenda[i]
         if i:
             agenda[i - 1] = get(parts[i - 1] + joined, FAR)
         if i < len(agenda):
             agenda[i] = get(joined + parts[i + 1], FAR)
-    return parts
+    return parts, met
 
 
 def _cut_long(stretch: str, ranks: dict[str, float], base: int, limit: int) -> list[str]:
@@ -133,11 +154,16 @@ def _cut_long(stretch: str, ranks: dict[str, float], base: int, limit: int) -> l
             if rank is not None:
                 heapq.heappush(heap, (rank, i, j, end[j]))
 
+    skips = _skips(n, base, limit).to_bytes(3 * n // 8 + 16, "little")
+    met = 0
     for i in range(n - 1):
         offer(i)
     while heap:
         _, i, j, k = heapq.heappop(heap)
-        if end[i] != j or end[j] != k or (limit and _skipped(base, i, k, limit)):
+        if end[i] != j or end[j] != k:
+            continue
+        met += 1
+        if skips[met - 1 >> 3] >> (met - 1 & 7) & 1:
             continue
         end[i], end[j] = k, 0
         if k < n:
@@ -174,10 +200,11 @@ class Pairs:
         return np.where(hit, self.rank[at], FAR), self.merged[at]
 
 
-def cut_many(codes: np.ndarray, pairs: Pairs, base: np.ndarray, limit: int) -> np.ndarray:
+def cut_many(codes: np.ndarray, pairs: Pairs, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``cut`` for many stretches at once. ``codes``: piece ids of the characters, one row each, padded with -1.
 
-    Every round takes the best candidate of each row. Returned rows hold the ids where a piece starts, else -1.
+    Every round takes the best candidate of each row; ``skips`` has a row of 64-bit words for each, one bit per
+    round. Rows of the first result hold the ids where a piece starts, else -1; the second has their candidates.
     """
     n, width = codes.shape
     sym = np.full((n, width + 2), -1, dtype=np.int64)  # one column before and one behind as ends
@@ -190,19 +217,19 @@ def cut_many(codes: np.ndarray, pairs: Pairs, base: np.ndarray, limit: int) -> n
     rank, merged = pairs.find(sym[:, 1:-2].ravel(), sym[:, 2:-1].ravel())
     agenda[:, 1:-2], made[:, 1:-2] = rank.reshape(n, -1), merged.reshape(n, -1)
     rows = np.flatnonzero(size > 1)
+    met = np.zeros(n, dtype=np.int64)
+    some = bool(skips.any())
+    turn = -1
     while len(rows):
+        turn += 1
         i = agenda[rows].argmin(axis=1)
         alive = agenda[rows, i] < FAR
+        met[rows[~alive]] = turn
         rows, i = rows[alive], i[alive]
         j = after[rows, i]
         k = after[rows, j]
-        if limit:
-            start = (i - 1).astype(np.uint64)
-            end = (k - 1).astype(np.uint64)
-            mask = np.uint64(0xFFFFFFFF)
-            x = (base[rows] + start * np.uint64(0x9E3779B1) + end * np.uint64(0x85EBCA77)) & mask
-            x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & mask
-            skip = (((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) >> np.uint64(8)) & np.uint64(0xFFFF) < limit
+        if some:
+            skip = (skips[rows, turn >> 6] >> np.uint64(turn & 63) & np.uint64(1)).astype(bool)
             agenda[rows[skip], i[skip]] = FAR
             m, i, j, k = rows[~skip], i[~skip], j[~skip], k[~skip]
         else:
@@ -215,72 +242,130 @@ def cut_many(codes: np.ndarray, pairs: Pairs, base: np.ndarray, limit: int) -> n
         agenda[m, i], made[m, i] = pairs.find(sym[m, i], sym[m, k])
         h = before[m, i]
         agenda[m, h], made[m, h] = pairs.find(sym[m, h], sym[m, i])
-    return sym[:, 1:-1]
+    return sym[:, 1:-1], met
 
 
 class Encoder:
     """Encodes texts with one vocabulary; remembers segmentations within a bound."""
 
-    def __init__(self, words: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, words: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.words, self.seed, self.pairs = words, seed, Pairs(words)
         self.limit = int(round(dropout * 65536))
-        self.variants = variants if self.limit else 1
-        self.seen: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.code = {piece: i for piece, i in words.ids.items() if len(piece) == 1} | {" ": words.ids[SPACE]}
-
-    def base(self, stretch: str, variant: int) -> int:
-        return crc32(stretch.encode(), self.seed * 8191 + variant)
-
-    def stretch(self, stretch: str, variant: int) -> bytes:
-        """Ids of one stretch as 32-bit numbers."""
+        #: By skips met, then by stretch: the ids as bytes, and a bit for each candidate.
+        self.seen: dict[int, dict[str, tuple[bytes, int]]] = {0: {}}
+        self.known = 0
+        self.code = np.full(0x110000, -1, dtype=np.int32)  # piece of a character; without one, or the space sign: -1
+        for piece, i in words.ids.items():
+            if len(piece) == 1:
+                self.code[ord(" " if piece == SPACE else piece)] = i
+
+    def base(self, name: str) -> int:
+        """Key of a document; the position of an occurrence is added to it."""
+        return int.from_bytes(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8, key=str(self.seed).encode()).digest(), "little")
+
+    def _ids(self, stretch: str, parts: list[str]) -> bytes:
         ids, raw = self.words.ids, self.words.bytes_
         if stretch == SPACE or stretch == "\n":
-            out = [raw[b] for b in stretch.encode()]
-        else:
-            out = []
-            for piece in cut(stretch.replace(" ", SPACE), self.words.ranks, self.base(stretch, variant), self.limit):
-                known = ids.get(piece)
-                out += [raw[b] for b in piece.encode()] if known is None else [known]
+            return array("i", [raw[b] for b in stretch.encode()]).tobytes()
+        out = []
+        for piece in parts:
+            known = ids.get(piece)
+            out += [raw[b] for b in piece.encode()] if known is None else [known]
         return array("i", out).tobytes()
 
-    def remember(self, missing: list[tuple[str, int]]) -> None:
-        """Cut what is not known yet: short stretches of plain characters together, others one by one."""
-        by_width: dict[int, list[tuple[str, int]]] = {12: [], 24: [], SHORT: []}
-        plain = self.code.keys()
-        for stretch, variant in missing:
-            if len(stretch) > SHORT or SPACE in stretch or not plain >= set(stretch):
-                self.seen[variant][stretch] = self.stretch(stretch, variant)
+    def stretch(self, stretch: str, skips: int) -> tuple[bytes, int]:
+        """Ids of one stretch as 32-bit numbers, and a bit for each candidate it had."""
+        parts, met = _cut_short(stretch.replace(" ", SPACE), self.words.ranks, skips)
+        return self._ids(stretch, parts), ONES[met]
+
+    def _together(self, stretches: list[str], skips: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """As ``stretch`` for many: ids and numbers of candidates; a row of words of skips each."""
+        sizes = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
+        codes = np.full((len(stretches), int(sizes.max())), -1, dtype=np.int64)
+        letters = self.code[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), dtype="u4")]
+        codes[np.arange(codes.shape[1]) < sizes[:, None]] = letters
+        plain = np.add.reduceat(letters < 0, np.cumsum(sizes) - sizes) == 0
+        codes[~plain] = -1
+        found, met = cut_many(codes, self.pairs, skips)
+        flat = found[found >= 0].astype("i4").tobytes()
+        ends = (4 * np.cumsum((found >= 0).sum(axis=1))).tolist()
+        ids, met = [flat[a:b] for a, b in zip([0, *ends], ends)], met.tolist()
+        for n in np.flatnonzero(~plain).tolist():
+            parts, met[n] = _cut_short(stretches[n].replace(" ", SPACE), self.words.ranks, int.from_bytes(skips[n].tobytes(), "little"))
+            ids[n] = self._ids(stretches[n], parts)
+        return ids, met
+
+    def remember(self, stretches: list[str], skips: list[int]) -> None:
+        """Cut what is not known yet, those of similar length together."""
+        self.known += len(stretches)
+        order = sorted(range(len(stretches)), key=list(map(len, stretches)).__getitem__)
+        for lo in range(0, len(order), 4096):
+            part = order[lo : lo + 4096]
+            names, met_skips = [stretches[n] for n in part], [skips[n] for n in part]
+            ids, met = self._together(names, np.array(met_skips, dtype=np.uint64)[:, None])
+            if any(met_skips):
+                for p, q, i, n in zip(names, met_skips, ids, met):
+                    self.seen.setdefault(q, {})[p] = i, ONES[n]
             else:
-                by_width[12 if len(stretch) <= 12 else 24 if len(stretch) <= 24 else SHORT].append((stretch, variant))
-        for width, group in by_width.items():
-            for lo in range(0, len(group), 8192):
-                part = group[lo : lo + 8192]
-                sizes = np.array([len(p) for p, _ in part])
-                codes = np.full((len(part), width), -1, dtype=np.int64)
-                codes[np.arange(width) < sizes[:, None]] = list(map(self.code.__getitem__, "".join([p for p, _ in part])))
-                base = np.array([self.base(p, v) for p, v in part], dtype=np.uint64) if self.limit else np.zeros(len(part), np.uint64)
-                found = cut_many(codes, self.pairs, base, self.limit)
-                flat = found[found >= 0].astype("i4").tobytes()
-                ends = (4 * np.cumsum((found >= 0).sum(axis=1))).tolist()
-                for (p, v), a, b in zip(part, [0, *ends], ends):
-                    self.seen[v][p] = flat[a:b]
+                self.seen[0].update(zip(names, zip(ids, map(ONES.__getitem__, met))))
+
+    def _long(self, stretches: list[str], keys: list[int]) -> list[bytes]:
+        """Ids of stretches above ``WORD`` characters, each for the key of its occurrence."""
+        out = [b"" if len(p) <= SHORT else self._ids(p, cut(p.replace(" ", SPACE), self.words.ranks, k, self.limit)) for p, k in zip(stretches, keys)]
+        short = [n for n, p in enumerate(stretches) if len(p) <= SHORT]
+        for lo in range(0, len(short), 4096):
+            part = short[lo : lo + 4096]
+            base = np.array([keys[n] for n in part], dtype=np.uint64)
+            skips = np.column_stack([drops(base, w, self.limit) for w in range(3 * SHORT // 64 + 1)])
+            for n, ids in zip(part, self._together([stretches[n] for n in part], skips)[0]):
+                out[n] = ids
+        return out
 
     def encode_many(self, texts: list[str], names: list[str]) -> list[np.ndarray]:
         """Ids of each text; ``names`` are the document keys."""
-        cuts, missing = [], set()
-        if sum(map(len, self.seen)) > REMEMBERED:
-            for seen in self.seen:
-                seen.clear()
+        parts: list[str] = []
+        counts, bases = [], []
+        if self.known > REMEMBERED:
+            self.seen, self.known = {0: {}}, 0
         for text, name in zip(texts, names):
-            parts = STRETCH.findall(" " + text) if text else []
-            x = np.arange(len(parts), dtype=np.uint32) * np.uint32(0x9E3779B1) + np.uint32(crc32(name.encode(), self.seed))
-            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            drawn = ((x ^ (x >> np.uint32(12))) % np.uint32(self.variants)).tolist()
-            cuts.append((parts, drawn))
-            seen = self.seen
-            missing.update([(p, v) for p, v in zip(parts, drawn) if p not in seen[v]])
-        self.remember(list(missing))
-        return [np.frombuffer(b"".join([self.seen[v][p] for p, v in zip(parts, drawn)]), dtype="i4") for parts, drawn in cuts]
+            had = len(parts)
+            if text:
+                parts += STRETCH.findall(" " + text)
+            counts.append(len(parts) - had)
+            bases.append(self.base(name))
+        ends = np.cumsum(counts)
+        place = np.arange(len(parts)) - np.repeat(ends - counts, counts)
+        keys = mix(np.repeat(np.array(bases, dtype=np.uint64), counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        step = 1 << 14
+        drawn = [m for lo in range(0, len(parts), step) for m in drops(keys[lo : lo + step], 0, self.limit).tolist()]
+        plain = self.seen[0]
+        new = [p for p in set(parts).difference(plain) if len(p) <= WORD]
+        self.remember(new, [0] * len(new))
+        out: list[bytes] = [b""] * len(parts)
+        long, open_ = [], []
+        for n, (p, m) in enumerate(zip(parts, drawn)):
+            known = plain.get(p)
+            if known is None:
+                long.append(n)
+            elif m & known[1]:
+                open_.append((n, p, m, 0, known[1]))
+            else:
+                out[n] = known[0]
+        while open_:  # each met one more skip than those remembered so far: the first that differs
+            tried = [(n, p, m, q | (d := m & bits ^ q) & -d) for n, p, m, q, bits in open_]
+            none: dict[str, tuple[bytes, int]] = {}
+            new = list({(p, q) for _, p, _, q in tried if p not in self.seen.get(q, none)})
+            self.remember([p for p, _ in new], [q for _, q in new])
+            open_ = []
+            for n, p, m, q in tried:
+                ids, bits = self.seen[q][p]
+                if m & bits == q:
+                    out[n] = ids
+                else:
+                    open_.append((n, p, m, q, bits))
+        for n, ids in zip(long, self._long([parts[n] for n in long], keys[long].tolist())):
+            out[n] = ids
+        return [np.frombuffer(b"".join(out[e - c : e]), dtype="i4") for e, c in zip(ends.tolist(), counts)]
 
     def encode(self, text: str, key: str = "") -> np.ndarray:
         return self.encode_many([text], [key])[0]
