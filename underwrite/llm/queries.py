@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import ann, common, minhash, mixing, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity, warc
+from underwrite.llm import alignment, ann, common, minhash, mixing, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,3 +193,9 @@ def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), "text", ["doc_id"])
+    return out.withColumnRenamed("groups", "groups_sha256")
