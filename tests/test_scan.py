@@ -117,3 +117,14 @@ def test_next_value_crosses_ranges(spark):
     df = scan.with_range(spark.createDataFrame(rows, "k string, v double"), ["v"], ranges=5)
     got = {(r["k"], r["v"]): r["above"] for r in scan.next_value(df, ["k"], "v", "above").collect()}
     assert got == {(k, v): (v + 3 if v < 57 else None) for k, v in rows}
+
+
+def test_running_xor_crosses_ranges(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice([None, 1, 2]), i, draw.getrandbits(62) - 2**61) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    got = {r["i"]: r["x"] for r in scan.running_xor(scan.with_range(df, ["i"], 7), ["k"], ["i"], {"x": F.col("v")}).collect()}
+    upto = {}
+    for k, i, v in rows:
+        upto[k] = upto.get(k, 0) ^ v
+        assert got[i] == upto[k]

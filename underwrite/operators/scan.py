@@ -133,6 +133,18 @@ def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     )
 
 
+def running_xor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Inclusive running exclusive or of the integers ``values`` over ``order`` per key; needs the range column."""
+    rows = _local_window(keys, order).rowsBetween(W.unboundedPreceding, 0)
+    local = df.withColumns({n: F.bit_xor(v).over(rows) for n, v in values.items()})
+    totals = df.groupBy(*keys, RANGE).agg(*[F.bit_xor(v).alias(n) for n, v in values.items()])
+    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, RANGE, *[F.bit_xor(n).over(before).alias(f"_off_{n}") for n in values])
+    joined = _attach_offsets(local, keys, offsets)
+    shifted = {n: F.col(n).bitwiseXOR(F.coalesce(F.col(f"_off_{n}"), F.lit(0))) for n in values}
+    return joined.withColumns(shifted).drop(*[f"_off_{n}" for n in values])
+
+
 def next_value(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """The value of ``column`` that follows in its order per key, NULL after the last; needs the range column."""
     local = df.withColumn(name, F.lead(column).over(_local_window(keys, [column])))
