@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from underwrite.llm import alignment, ann, common, minhash, mixing, pieces, pii, quality_model, quality_rules, suffix_dedup, toxicity, warc
+from underwrite.llm import alignment, ann, common, conversation_trie, minhash, mixing, pieces, pii, quality_model, quality_rules, sharding, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -199,3 +199,102 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), "text", ["doc_id"])
     return out.withColumnRenamed("groups", "groups_sha256")
+
+
+#: CRC-32 by the table of its byte steps, in SQL: ``crc_table`` has one row with that table as the list ``t``.
+CRC_TABLE_SQL = """crc_table as (
+  select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) order by n) as t
+  from (select unnest(range(256)) as n)
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    pairs = f"regexp_extract_all(hex(encode({text})), '..')"
+    steps = f"list_prepend(4294967295, list_transform({pairs}, lambda h: ('0x' || h)::bigint))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295)"
+
+
+def _level_sql(k: int) -> str:
+    """One level of the k-d tree over three dimensions: rows{k} -> rows{k + 1}."""
+    return f"""
+node{k} as (
+  select first, leaves, sum(size)::bigint as total, coalesce(max(d0) - min(d0), 0) as w0, coalesce(max(d1) - min(d1), 0) as w1,
+    coalesce(max(d2) - min(d2), 0) as w2 from rows{k} group by first, leaves
+), placed{k} as (
+  select r.*, case greatest(w0, w1, w2) when w0 then d0 when w1 then d1 else d2 end as at,
+    total // n.leaves * (n.leaves // 2) + (total % n.leaves * (n.leaves // 2)) // n.leaves as share
+  from rows{k} r join node{k} n on r.first = n.first
+), cut{k} as (
+  select *, 2 * sum(size) over (partition by first order by at nulls first, doc_id nulls first, text_crc32, row_number
+    rows unbounded preceding) - size <= 2 * share as goes_left from placed{k}
+), rows{k + 1} as (
+  select row_number, doc_id, size, text_crc32, d0, d1, d2, case when goes_left then first else first + leaves // 2 end as first,
+    case when goes_left then leaves // 2 else leaves - leaves // 2 end as leaves from cut{k}
+)"""
+
+
+TEXT_CODE_SQL = "('0x' || rpad(substr(hex(encode({0})), 1, 12), 12, '0'))::bigint::double"
+
+OP12_SQL = f"""
+with {CRC_TABLE_SQL}, coded as (
+  select row_number() over () as row_number, doc_id, strlen(coalesce(text, '')) + 1 as size, {crc32_sql("coalesce(text, '')")} as text_crc32,
+    {TEXT_CODE_SQL.format("lang")} as c0, {TEXT_CODE_SQL.format("source")} as c1, n_chars::double as c2
+  from documents, crc_table
+), rows0 as (
+  select row_number, doc_id, size, text_crc32, 0 as first, 8 as leaves,
+    {", ".join(f"case when max(c{i}) over () = min(c{i}) over () then c{i} * 0 else (c{i} - min(c{i}) over ()) / (max(c{i}) over () - min(c{i}) over ()) end as d{i}" for i in range(3))}
+  from coded
+), {_level_sql(0)}, {_level_sql(1)}, {_level_sql(2)}
+select doc_id, size, text_crc32, 'bytes' as law, first::int as shard,
+  row_number() over (partition by first order by doc_id nulls first, text_crc32) - 1 as slot, null::int as grown_shard
+from rows3
+"""
+
+
+@query("op12_kd_sharding", OP12_SQL)
+def op12_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", *sharding.DIMENSIONS)
+    out = sharding.partition(docs, shards=sharding.SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP11_SQL = f"""
+with {CRC_TABLE_SQL}, said as (
+  select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest, length(coalesce(text, '')) as chars
+  from conversations where conv_id is not null
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, digest) as pos, count(*) over (partition by conv_id) as n_own from said
+), convs as (
+  select conv_id, conv_id - conv_id % 100 as base, n_own, {crc32_sql("conv_id::varchar")} % 6 as h from placed, crc_table where pos = 1
+), sized as (
+  select c.*, least(c.h, coalesce(b.n_own, 0)) as taken from convs c left join convs b on b.conv_id = c.base
+), rebuilt as (
+  select c.conv_id, p.pos as depth, p.digest, p.chars from sized c join placed p on p.conv_id = c.base and p.pos <= c.h
+  union all
+  select c.conv_id, p.pos - c.h + c.taken, p.digest, p.chars from sized c join placed p on p.conv_id = c.conv_id and p.pos > c.h
+), prefixes as (
+  select conv_id, depth, chars, string_agg(digest, '') over (partition by conv_id order by depth rows unbounded preceding) as prefix from rebuilt
+  union all select conv_id, 0, 0, '' from convs
+), lengths as (
+  select conv_id, max(depth) as depth from prefixes group by conv_id
+), nodes as (
+  select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs, min(chars) as chars from prefixes group by prefix, depth
+), ends as (
+  select prefix, string_agg(conv_id::varchar, ',' order by conv_id) as ids from prefixes join lengths using (conv_id, depth) group by prefix
+), children as (
+  select left(prefix, 32 * (depth - 1)) as prefix, count(*) as n_children from nodes where depth > 0 group by 1
+), valued as (
+  select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * chars as saved from nodes n left join children using (prefix)
+), totals as (
+  select left(prefix, 32 * k) as prefix, sum((n_children = 0)::int)::bigint as n_leaves, sum(saved)::bigint as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as k from valued) group by 1
+)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from valued v join totals using (prefix) left join ends using (prefix) left join nodes p on v.depth > 0 and p.prefix = left(v.prefix, 32 * (v.depth - 1))
+"""
+
+
+@query("op11_conversation_trie", OP11_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = conversation_trie.placed_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_trie.trie(*conversation_trie.rebuild(placed))
