@@ -106,5 +106,4 @@ def test_coalescing_joins_overlaps_only():
 
 def test_pair_bound_holds_on_data(spark, sf):
     rows = alignment.tokens(spark.read.parquet(f"{sf}/documents.parquet"), "text", ["doc_id"])
-    here = alignment.coder()
-    assert 0 < alignment.link_counts(rows, len(here.b_bytes)).count() <= here.pair_bound()
+    assert 0 < alignment.link_counts(rows).count() <= alignment.coder().pair_bound()

@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from underwrite.llm.common import slices
 from underwrite.session import materialize
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stretches a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters of text handled at once; one text is never cut.
 SLICE = 1 << 20
 SPACE = "▁"
@@ -296,13 +297,22 @@ def tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = (), whole: b
     return source.mapInArrow(run, schema)
 
 
-def link_counts(aligned: DataFrame, b_size: int) -> DataFrame:
+def _by_links(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with about a million links at once: the batch, the bounds of each row's links, the links."""
+    for batch in batches:
+        lists = batch.column(column)
+        upto = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
+        for lo, hi in slices(upto):
+            yield batch.slice(lo, hi - lo), upto[lo : hi + 1] - upto[lo], np.asarray(lists.slice(lo, hi - lo).flatten())
+
+
+def link_counts(aligned: DataFrame) -> DataFrame:
     """pair, n: how many links of the corpus hold each id pair; each task adds up what it reads first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in batches:
-            fresh, m = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+        for _, _, links in _by_links(batches, 0):
+            fresh, m = np.unique(links, return_counts=True)
             both, where = np.unique(np.concatenate([pairs, fresh]), return_inverse=True)
             total = np.zeros(len(both), dtype=np.int64)
             np.add.at(total, where, np.concatenate([n, m]))
@@ -326,7 +336,7 @@ def align(df: DataFrame, text: str = "text", keep: Sequence[str] = (), whole: bo
     rows = materialize(tokens(df, text, keep, whole, a_file, b_file), "align-tokens")
     here = coder(a_file, b_file)
     b_size = len(here.b_bytes)
-    table = link_counts(rows, b_size).toArrow()  # at most pair_bound() rows, whatever the corpus holds
+    table = link_counts(rows).toArrow()  # at most pair_bound() rows, whatever the corpus holds
     if table.num_rows > here.pair_bound():
         raise AssertionError("more linked pairs than the vocabularies allow")
     pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
@@ -339,10 +349,8 @@ def align(df: DataFrame, text: str = "text", keep: Sequence[str] = (), whole: bo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = shared.value
-        for batch in batches:
-            links = batch.column(4)
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(links.value_lengths().fill_null(0)))]).astype(np.int64)
-            at = np.searchsorted(pair, np.asarray(links.flatten()))
+        for batch, bounds, links in _by_links(batches, 4):
+            at = np.searchsorted(pair, links)
             sums = [pa.array(x) for x in (np.diff(bounds), _sums(best[at].astype(np.int64), bounds), _sums(n[at], bounds))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *sums, batch.column(5)], names=["kept", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
