@@ -221,11 +221,11 @@ node{k} as (
   select first, leaves, sum(size)::bigint as total, coalesce(max(d0) - min(d0), 0) as w0, coalesce(max(d1) - min(d1), 0) as w1,
     coalesce(max(d2) - min(d2), 0) as w2 from rows{k} group by first, leaves
 ), placed{k} as (
-  select r.*, case greatest(w0, w1, w2) when w0 then d0 when w1 then d1 else d2 end as at,
+  select r.*, case greatest(w0, w1, w2) when w0 then d0 when w1 then d1 else d2 end as place,
     total // n.leaves * (n.leaves // 2) + (total % n.leaves * (n.leaves // 2)) // n.leaves as share
   from rows{k} r join node{k} n on r.first = n.first
 ), cut{k} as (
-  select *, 2 * sum(size) over (partition by first order by at nulls first, doc_id nulls first, text_crc32, row_number
+  select *, 2 * sum(size) over (partition by first order by place nulls first, doc_id nulls first, text_crc32, row_number
     rows unbounded preceding) - size <= 2 * share as goes_left from placed{k}
 ), rows{k + 1} as (
   select row_number, doc_id, size, text_crc32, d0, d1, d2, case when goes_left then first else first + leaves // 2 end as first,
