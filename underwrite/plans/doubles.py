@@ -18,6 +18,7 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "c01_delayed_labels": "probability",
     "c02_fitted_value_lookup": "l_quantity woe",
     "c03_profile_matched_on_feature": "psi",
+    "c05_newest_profile": "share null_rate mean roc_auc default_rate_observed",
     "c06_row_threshold_grid": "threshold",
     "d01_loans_per_year": "default_rate",
     "d02_expectations": "observed threshold",
@@ -81,9 +82,10 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "o03_strongest_variables": "mean_abs",
     "o07_benchmark_order": "val_roc_auc",
     "p04_sticky_assignment": "bucket",
-    "p05_monthly_replay": "probability",
-    "p08_concept_report": "auc_drop ks_drop brier_increase calibration_gap",
-    "p10_monitoring_run": "prediction_psi roc_auc",
+    "p05_monthly_replay": "probability fico_score",
+    "p08_concept_report": "auc_drop ks_drop brier_increase calibration_gap page_hinkley_statistic prior_shift_z",
+    "p10_monitoring_drift": "psi ks_statistic ks_pvalue null_rate_ref null_rate_cur mean_ref mean_cur",
+    "p10_monitoring_run": "prediction_psi roc_auc ks brier auc_drop default_rate_observed default_rate_predicted page_hinkley_statistic",
     "p11_arm_aggregates": "approval_rate bad_rate_approved",
     "p13_comparable_population": "total",
     "p15_variant_fallback": "probability",

@@ -775,46 +775,6 @@ def sticky_assignment(spark, sf):
     return rounded(rows.select("o_orderkey", DC.assign_variant("o_orderkey", 0.2).alias("variant"), DC.traffic_bucket("o_orderkey").alias("bucket")), 9)
 
 
-REPLAY_RULES = C.ReplayRules(production_start="1997-01-01", production_end="1999-06-01", months_per_run=3)
-REPLAY = (
-    f"{O.features()}, lm as (select max(issue_month) as m from features where issue_month < timestamp '1997-04-01'), pend as (select f.*, {O.bucket('loan_id')} < 0.2 as ch from features f, lm "
-    "where issue_month > m and issue_month <= m + interval 3 month and issue_month <= timestamp '1999-06-01'), "
-    "sc as (select *, case when ch then fico_score / 2000 else dti / 300 end as p from pend), "
-    "rj as (select *, (annual_inc > 0 and coalesce(installment, 0) / (annual_inc / 12) > 0.4) or dti > 45 as ko from sc)"
-)
-
-
-def replayed(spark: SparkSession, sf: str) -> DataFrame:
-    """The months after those already in the log, which ends in March 1997."""
-    rows = written_features(spark, sf)
-    done = rows.filter(F.col("issue_month") < stamp("1997-04-01")).select(
-        F.lit("replay").alias("source"), F.col("issue_month").alias("event_ts")
-    )
-    pending = R.pending_rows(rows, done, SPEC, REPLAY_RULES)
-    return R.score_months(pending, F.col("dti") / 300, F.col("fico_score") / 2000, 0.18, SPEC, REPLAY_RULES)
-
-
-@register(
-    "p05_monthly_replay",
-    f"with {REPLAY} select loan_id, cast(cast(issue_month as date) as varchar) as month, case when ch then 'challenger' else 'champion' end as variant, case when ch then '2' else '1' end as model_version, p as probability, "
-    f"case when p is null then 'REVISION_MANUAL' when coalesce(ko, false) or p >= 0.18 then 'RECHAZAR' when p >= 0.18::double - 0.02::double then 'REVISION_MANUAL' else 'APROBAR' end as decision, {O.band('p')} as risk_band from rj",
-)
-def monthly_replay(spark, sf):
-    rows = replayed(spark, sf)
-    return rounded(
-        rows.select("loan_id", day("event_ts").alias("month"), "variant", "model_version", "probability", "decision", "risk_band")
-    )
-
-
-@register(
-    "p06_delayed_outcomes",
-    f"with {REPLAY} select loan_id, cast(target_default as int) as actual_default, cast(cast(issue_month + interval 6 month as date) as varchar) as observed from rj where target_default is not null",
-)
-def delayed_outcomes(spark, sf):
-    rows = R.delayed_outcomes(replayed(spark, sf), SPEC.target, SPEC.id_column)
-    return rows.select("loan_id", "actual_default", day("observed_ts").alias("observed"))
-
-
 @register(
     "p07_window_bounds",
     "select cast(cast(m as date) as varchar) as clock, cast(cast(m - interval 2 month as date) as varchar) as drift_start, cast(cast(m as date) as varchar) as drift_end, "
@@ -832,13 +792,18 @@ PRIOR_Z = "((bad / n::double - 0.2) / sqrt((bad + 2000) / (n + 10000)::double *
 REFERENCE = {"roc_auc": 0.75, "ks": 0.4, "brier": 0.15, "default_rate_observed": 0.20}
 
 
-@register(
-    "p08_concept_report",
-    f"with {LABELLED_LOG}, b as (select * from lb), {O.counted('b', 'y', 'probability')}, me as (select {O.AUC} as auc, {O.KS} as ks from r), "
+CONCEPT_CTES = (
+    f"{O.counted('b', 'y', 'probability')}, me as (select {O.AUC} as auc, {O.KS} as ks from r), "
     "ag as (select count(*) as n, sum(y) as bad, avg(y) as observed, avg(probability) as predicted, avg((least(greatest(probability, 1e-7), 1 - 1e-7) - y) ** 2) as brier from b), "
     f"src as (select 0 as k, event_ts as ts, request_id as id, case when (least(greatest(probability, 1e-7), 1 - 1e-7) >= 0.18) <> (y = 1) then 1.0e0 else 0.0e0 end as x from b), {DDM_SQL.replace('s as', 's1 as').replace('from s)', 'from s1)').replace(' l as', ' l1 as').replace('from l)', 'from l1)').replace(' b as', ' b1 as').replace('from b)', 'from b1)').replace(' d as', ' d1 as').replace('d.k', 'd1.k').replace('from d)', 'from d1)')}, "
     "src2 as (select 0 as k, event_ts as ts, request_id as id, -(y * ln(q) + (1 - y) * ln(1 - q)) as x from (select *, least(greatest(probability, 1e-7), 1 - 1e-7) as q from b)), "
-    f"{PH_SQL.replace('s as (', 's2 as (').replace('from src)', 'from src2)').replace('from s)', 'from s2)').replace('c as (', 'c2 as (').replace('from c)', 'from c2)')} "
+    f"{PH_SQL.replace('s as (', 's2 as (').replace('from src)', 'from src2)').replace('from s)', 'from s2)').replace('c as (', 'c2 as (').replace('from c)', 'from c2)')}"
+)
+
+
+@register(
+    "p08_concept_report",
+    f"with {LABELLED_LOG}, b as (select * from lb), {CONCEPT_CTES} "
     f"select n, bad::bigint as n_pos, 0.75 - auc as auc_drop, 0.4 - ks as ks_drop, brier - 0.15 as brier_increase, predicted - observed as calibration_gap, state as ddm_state, ddm.index as ddm_index, ph.drift as page_hinkley_drift, ph.statistic as page_hinkley_statistic, {PRIOR_Z} as prior_shift_z, "
     f"abs(observed - 0.2) >= 0.03 and abs({PRIOR_Z}) > 1.959963984540054 as prior_shift, "
     "0.75 - auc >= 0.04 or 0.4 - ks >= 0.08 or (state = 'drift' and ph.drift) as concept_drift, "
@@ -884,30 +849,6 @@ def retrain_decision(spark, sf):
     return out.select("o_custkey", "d.retrain", "d.severity", F.array_join("d.reasons", "|").alias("reasons"))
 
 
-@register(
-    "p10_monitoring_run",
-    f"with {LABELLED_LOG}, b as (select * from lb), {O.counted('b', 'y', 'probability')}, {_drift_sql().replace('o as (', 'o as (', 1)} "
-    "select (select count(*) from lineitem where l_shipdate >= timestamp '1998-07-01') as n_rows, (select count(*) from b) as n_labeled, "
-    f"(select count(*) from drift where feature <> 'prediction' and psi >= 0.25) as features_drifted, (select psi from drift where feature = 'prediction') as prediction_psi, (select {O.AUC} from r) as roc_auc",
-)
-def monitoring_run(spark, sf):
-    """One monitoring row: window size, drift counts, current discrimination."""
-    summary = MO.drift_summary(drift_table(spark, sf))
-    recent = old_and_new(spark, sf)[1].agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = MO.visible_labels(log(spark, sf), outcomes(spark, sf), stamp(CLOCK), F.col("probability").isNotNull())
-    report = classification_report(rows, "actual_default", "probability").select(F.struct("n", "roc_auc").alias("r")).scalar()
-    joined = summary.withColumn("_n", recent).withColumn("_r", report)
-    return rounded(
-        joined.select(
-            F.col("_n").alias("n_rows"),
-            F.col("_r.n").alias("n_labeled"),
-            F.size("drifted").cast("bigint").alias("features_drifted"),
-            "prediction_psi",
-            F.col("_r.roc_auc").alias("roc_auc"),
-        )
-    )
-
-
 # Some champion requests come from an older version, and an earlier challenger ran before this one.
 ARM_VERSIONS = {"champion": "1", "challenger": "2"}
 POPULATION = (
