@@ -13,9 +13,10 @@ from underwrite.functions.calendar import quarter_label
 from underwrite.functions.parsing import col, dec
 from underwrite.functions.scoring import clip, digitize
 from underwrite.functions.stats import two_sided_p, wilson
+from underwrite.operators.bootstrap import bootstrap_interval
 from underwrite.operators.counts import average_rank, ranked, score_counts
-from underwrite.operators.delong import interval_of_moments
-from underwrite.operators.metrics import rank_terms, separation
+from underwrite.operators.delong import auc_interval, interval_of_moments
+from underwrite.operators.metrics import classification_report, rank_terms, separation
 from underwrite.operators.quantiles import quantiles_of_counts
 from underwrite.operators.scan import ntile
 from underwrite.operators.small import attach, join_keys
@@ -246,3 +247,18 @@ def nearest_threshold(curve: DataFrame, chosen: float, keys: Sequence[str] = ())
     others = [c for c in curve.columns if c not in keys]
     distance = F.struct(F.abs(F.col("threshold") - dec(chosen)), F.col("threshold"))
     return curve.groupBy(*keys).agg(F.min_by(F.struct(*others), distance).alias("r")).select(*keys, "r.*")
+
+
+def discrimination_block(
+    df: DataFrame, label: Column | str, score: Column | str, n: int = 300, keys: Sequence[str] = (), seed: int = 42
+) -> DataFrame:
+    """(keys, auc with its DeLong interval, gini, ks and pr_auc with bootstrap intervals, prevalence)."""
+    one = [F.lit(1).alias("_one")]
+    by = [*keys, "_one"]
+    exact = auc_interval(df, label, score, keys).select(*keys, "auc", F.col("ci_low").alias("auc_ci_low"), F.col("ci_high").alias("auc_ci_high"))
+    report = classification_report(df, label, score, keys=keys).select(*keys, "gini", "ks", "pr_auc", F.col("default_rate_observed").alias("prevalence"))
+    drawn = bootstrap_interval(df, label, score, ("ks", "pr_auc"), n, keys=keys, seed=seed)
+    limits = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in ("ks", "pr_auc") for c in ("ci_low", "ci_high")]
+    drawn = drawn.groupBy(*keys).agg(*limits)
+    parts = [d.select("*", *one) for d in (exact, report, drawn)]
+    return join_keys(join_keys(parts[0], parts[1], by), parts[2], by).drop("_one")

@@ -1,70 +1,147 @@
-"""Percentile bootstrap of ranking metrics, all replicates in two passes over score ranges.
-
-Rows collapse to label counts per distinct score, and the counts are cut into score ranges of equal
-size. A replicate draws a Poisson weight for each (score, class) count, because the sum of c
-independent Poisson(1) row weights is Poisson(c). The first pass brings the weight totals of each
-(range, replicate) home; their running sums tell the second pass what lies below its range. Rows
-never multiply by the number of replicates. Draws are seeded by range, so a recomputed task
-repeats them.
+"""Percentile bootstrap of ranking metrics, all replicates in two passes over score ranges, inside the JVM.
+
+Rows collapse to label counts per distinct score, and the counts are cut into score ranges of equal size. A
+replicate draws a Poisson weight for each (score, class) count, because the sum of c independent Poisson(1) row
+weights is Poisson(c). A draw is a function of seed, keys, score, class and replicate alone, so both passes, repeated
+tasks and other engines agree on it and nothing is carried along: the score's digest gives two numbers, the
+replicate's digest the multipliers of a linear hash of them modulo a prime, and that uniform number is inverted.
+
+The first pass adds up the weights of each (range, replicate); their running sums come back to the ranges as one
+array per range. Only then a range is unfolded by replicates, inside its task: neither pass shuffles a row more
+than once, and replicates meet again as sums.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator, Sequence
+import json
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from underwrite.functions.parsing import dec
 from underwrite.operators.counts import score_counts
 from underwrite.operators.scan import RANGE, with_range
 
+PRIME = (1 << 31) - 1
+#: Counts up to this are drawn by inverting the distribution, larger ones by its normal expansion.
+SMALL = 12
+#: Steps of the inverted distribution: beyond it lies less than 1e-10 of Poisson(SMALL).
+STEPS = 44
+#: The same for a single row, the commonest count.
+STEPS_OF_ONE = 14
+UNIFORMS = 4
+
 
 @dataclass(frozen=True)
 class Metric:
-    """Part of a metric one score range contributes, and how parts combine (``sum`` or ``max``).
+    """Part of a metric one score contributes, and how parts combine (``sum`` or ``max``).
 
-    ``part(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all)`` gets ascending arrays of one
-    range with cumulative weights over all scores, and the total weight of each class.
+    ``part(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all)`` gets columns: the weights at a score, those up to
+    and with it, and the total weight of each class.
     """
 
-    part: Callable[..., float]
+    part: Callable[..., Column]
     combine: str = "sum"
 
 
 def standard_metrics() -> dict[str, Metric]:
-    """AUC, separation and average precision (built here so that they travel by value)."""
+    """AUC, separation and average precision."""
 
     def auc(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
-        return float((pos * (neg_cum - neg / 2.0)).sum() / (pos_all * neg_all))
+        return pos * (neg_cum - neg / dec(2)) / (pos_all * neg_all)
 
     def ks(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
-        return float(abs(pos_cum / pos_all - neg_cum / neg_all).max())
+        return F.abs(pos_cum / pos_all - neg_cum / neg_all)
 
     def pr_auc(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
         hits, alarms = pos_all - pos_cum + pos, neg_all - neg_cum + neg
-        flagged = hits + alarms
-        safe = flagged > 0
-        return float((pos[safe] / pos_all * hits[safe] / flagged[safe]).sum())
+        return pos / pos_all * F.coalesce(F.try_divide(hits, hits + alarms), dec(0))
 
     return {"roc_auc": Metric(auc), "ks": Metric(ks, "max"), "pr_auc": Metric(pr_auc)}
 
 
-def _weights(n: int, seed: int) -> Callable[[tuple, pd.DataFrame], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """Generator of (replicate, positive weights, negative weights); replicate 0 is the data itself."""
+def replicate_numbers(n: int, seed: int) -> list[dict[str, int]]:
+    """Multipliers and shift of every uniform number of replicates 1 to n."""
+    out = []
+    for r in range(1, n + 1):
+        row = {"replicate": r}
+        for j in range(UNIFORMS):
+            digest = md5(f"{seed}:{r}:{j}".encode()).hexdigest()
+            row |= {f"{name}{j}": int(digest[at : at + 7], 16) for name, at in (("a", 0), ("b", 7), ("c", 14))}
+        out.append(row)
+    return out
+
+
+def _replicates(n: int, seed: int) -> Column:
+    """The numbers as one constant array; replicate 0 is the data itself."""
+    fields = ", ".join(f"{name}{j}: bigint" for j in range(UNIFORMS) for name in "abc")
+    rows = [{"replicate": 0} | {f"{name}{j}": 0 for j in range(UNIFORMS) for name in "abc"}, *replicate_numbers(n, seed)]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<replicate: int, {fields}>>")
+
+
+def with_digest(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two 28-bit numbers of each (keys, score)."""
+    s = F.col("score")
+    fine = F.when(F.abs(s) < 1000, s * dec(2**52)).otherwise(s).cast("bigint")
+    parts = [*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("~")) for k in keys], fine.cast("string")]
+    digest = counts.withColumn("_md5", F.md5(F.concat_ws(":", *parts).cast("binary")))
+    part = lambda at: F.conv(F.substring("_md5", at, 7), 16, 10).cast("bigint")
+    return digest.withColumns({"_h1": part(1), "_h2": part(8)}).drop("_md5")
+
+
+def poisson_steps(count: Column) -> Column:
+    """Cumulative probabilities of Poisson(count) for 0, 1, ...; NULL for counts that need none."""
+    c = count.cast("double")
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(STEPS - 1)),
+        F.struct(F.exp(-c).alias("term"), F.array(F.exp(-c)).alias("upto")),
+        lambda a, k: F.struct(
+            (a["term"] * c / k).alias("term"), F.concat(a["upto"], F.array(F.element_at(a["upto"], -1) + a["term"] * c / k)).alias("upto")
+        ),
+    )
+    return F.when((c > 1) & (c <= SMALL), terms["upto"])
+
+
+def poisson_of_one(u: Column) -> Column:
+    """Poisson(1) weight of a uniform number by comparisons alone."""
+    term = upto = math.exp(-1.0)
+    weight = (u >= upto).cast("int")
+    for k in range(1, STEPS_OF_ONE):
+        term /= k
+        upto += term
+        weight += (u >= upto).cast("int")
+    return weight
 
-    def draw(key: tuple, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        pos, neg = rows["pos"].to_numpy(dtype=float), rows["neg"].to_numpy(dtype=float)
-        yield 0, pos, neg
-        rng = np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, key))).encode())])
-        for replicate in range(1, n + 1):
-            yield replicate, rng.poisson(pos).astype(float), rng.poisson(neg).astype(float)
 
-    return draw
+def uniform(j: int) -> Column:
+    """The j-th uniform number of a (score, replicate) row, strictly between 0 and 1."""
+    d = F.col("_d")
+    mixed = F.col("_h1") * d[f"a{j}"] % PRIME + F.col("_h2") * d[f"b{j}"] % PRIME + d[f"c{j}"]
+    return (mixed % PRIME + dec(0.5)) / dec(PRIME)
+
+
+def poisson(count: Column, steps: Column, u: Column, v: Column) -> Column:
+    """Poisson weight of ``count`` rows."""
+    c = count.cast("double")
+    z = F.sqrt(dec(-2) * F.log(u)) * F.cos(dec(2 * 3.141592653589793) * v)
+    wide = F.floor(c + F.sqrt(c) * z + (z * z - 1) / dec(6) + (z - z * z * z) / (dec(72) * F.sqrt(c)) + dec(0.5))
+    small = F.size(F.filter(steps, lambda e: e <= u))
+    return F.when(c == 0, dec(0)).when(c == 1, poisson_of_one(u).cast("double")).when(c <= SMALL, small.cast("double")).otherwise(F.greatest(wide.cast("double"), dec(0)))
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Weights w_pos, w_neg of rows unfolded to (score, replicate), which have ``_d``."""
+    original = F.col("_d.replicate") == 0
+    weights = {
+        f"w_{side}": F.when(original, F.col(side).cast("double")).otherwise(poisson(F.col(side), F.col(f"_s_{side}"), uniform(j), uniform(j + 1)))
+        for j, side in ((0, "pos"), (2, "neg"))
+    }
+    return rows.withColumns(weights).withColumn("replicate", F.col("_d.replicate"))
 
 
 def replicate_metrics(
@@ -77,49 +154,33 @@ def replicate_metrics(
     seed: int = 42,
 ) -> DataFrame:
     """(keys, replicate, one column per metric); replicates that lost a class are left out."""
-    counts = with_range(score_counts(df, label, score, keys), ["score"], grouped=True)
+    counts = with_digest(with_range(score_counts(df, label, score, keys), ["score"], grouped=True), keys)
+    counts = counts.withColumns({f"_s_{side}": poisson_steps(F.col(side)) for side in ("pos", "neg")})
     by = [*keys, RANGE]
-    types = dict(counts.dtypes)
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in by)
-    draw = _weights(n, seed)
-    names = list(metrics)
-    parts = [metrics[m].part for m in names]
-
-    def totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("score", kind="stable")
-        sums = [(*key, b, pos.sum(), neg.sum()) for b, pos, neg in draw(key, rows)]
-        return pd.DataFrame(sums, columns=[*by, "replicate", "pos", "neg"])
-
-    totals_ddl = f"{key_ddl}, replicate int, pos double, neg double"
-    sums = counts.groupBy(*by).applyInPandas(totals, totals_ddl)
+    everyone = _replicates(n, seed)
+    sums = _drawn(counts.withColumn("_d", F.explode(everyone))).groupBy(*by, "replicate").agg(
+        F.sum("w_pos").alias("pos_here"), F.sum("w_neg").alias("neg_here")
+    )
     one = W.partitionBy(*keys, "replicate")
     below = one.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
-        *by,
-        "replicate",
-        F.coalesce(F.sum("pos").over(below), F.lit(0.0)).alias("pos_below"),
-        F.coalesce(F.sum("neg").over(below), F.lit(0.0)).alias("neg_below"),
-        F.sum("pos").over(one).alias("pos_all"),
-        F.sum("neg").over(one).alias("neg_all"),
-    ).filter((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
-
-    def contribute(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("score", kind="stable")
-        score_ = rows["score"].to_numpy(dtype=float)
-        at = known.set_index("replicate")[["pos_below", "neg_below", "pos_all", "neg_all"]]
-        found = dict(zip(at.index, at.to_numpy(dtype=float), strict=True))
-        out = []
-        for b, pos, neg in draw(key, rows):
-            if b in found:
-                pos_below, neg_below, pos_all, neg_all = found[b]
-                ranked = (score_, pos, neg, pos_below + pos.cumsum(), neg_below + neg.cumsum(), pos_all, neg_all)
-                out.append((*key, b, *[part(*ranked) for part in parts]))
-        return pd.DataFrame(out, columns=[*by, "replicate", *names])
-
-    parts_ddl = f"{key_ddl}, replicate int, " + ", ".join(f"`{m}` double" for m in names)
-    local = counts.groupBy(*by).cogroup(offsets.groupBy(*by)).applyInPandas(contribute, parts_ddl)
-    combined = [(F.max if metrics[m].combine == "max" else F.sum)(m).alias(m) for m in names]
-    return local.groupBy(*keys, "replicate").agg(*combined)
+    shifted = sums.select(
+        *by, "replicate",
+        F.coalesce(F.sum("pos_here").over(below), dec(0)).alias("pos_below"), F.coalesce(F.sum("neg_here").over(below), dec(0)).alias("neg_below"),
+        F.sum("pos_here").over(one).alias("pos_all"), F.sum("neg_here").over(one).alias("neg_all"),
+    )
+    kept = shifted.filter((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
+    # n + 1 short structs per range: what a range needs to go on by itself.
+    packed = kept.groupBy(*by).agg(F.collect_list(F.struct("replicate", "pos_below", "neg_below", "pos_all", "neg_all")).alias("_o"))
+    match = F.col(f"l.{RANGE}") == F.col(f"o.{RANGE}")
+    for key in keys:  # a NULL key is a key of its own
+        match &= F.col(f"l.`{key}`").eqNullSafe(F.col(f"o.`{key}`"))
+    both = counts.alias("l").join(packed.alias("o"), match).select("l.*", F.explode("o._o").alias("_o"))
+    drawn = _drawn(both.withColumn("_d", F.element_at(everyone, F.col("_o.replicate") + 1)))
+    here = W.partitionBy(*by, "replicate").orderBy("score").rowsBetween(W.unboundedPreceding, 0)
+    ranked = drawn.withColumns({"pos_cum": F.col("_o.pos_below") + F.sum("w_pos").over(here), "neg_cum": F.col("_o.neg_below") + F.sum("w_neg").over(here)})
+    args = [F.col(c) for c in ("score", "w_pos", "w_neg", "pos_cum", "neg_cum", "_o.pos_all", "_o.neg_all")]
+    combined = [(F.max if m.combine == "max" else F.sum)(m.part(*args)).alias(name) for name, m in metrics.items()]
+    return ranked.groupBy(*keys, "replicate").agg(*combined)
 
 
 def bootstrap_interval(

@@ -51,9 +51,11 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "d35_paired_delong": "auc_a auc_b delta se z p_value ci_low ci_high",
     "d36_auc_table": "auc se ci_low ci_high",
     "d37_pairwise_comparison": "auc_a auc_b delta se z p_value ci_low ci_high p_holm",
+    "d39_bootstrap_interval": "estimate ci_low ci_high",
+    "d40_bootstrap_difference": "auc_diff ci_low ci_high p_value",
     "d41_two_proportions": "z p_value",
     "d42_wilson": "low high",
-    "d43_discrimination_block": "auc auc_ci_low auc_ci_high gini ks pr_auc prevalence",
+    "d43_discrimination_block": "auc auc_ci_low auc_ci_high gini ks pr_auc prevalence ks_ci_low ks_ci_high pr_auc_ci_low pr_auc_ci_high",
     "d44_spiegelhalter": "spiegelhalter_z spiegelhalter_p",
     "d45_calibration_line": "slope intercept",
     "d46_reliability_table": "mean_pd observed ci_low ci_high",
@@ -106,4 +108,5 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "w08_neighbour_midpoints": "l_quantity edge",
     "x01_parse_as_expressions": "loan_to_income",
     "x02_ranking_of_single_variable": "auc se",
+    "x04_custom_bootstrap_metric": "estimate ci_low ci_high",
 }

@@ -156,3 +156,61 @@ def delong(keys: str = "") -> str:
         f"sqrt({variance('pos', v01, 'm')} + {variance('neg', v10, 'n')}) as se, {KS} as ks, "
         f"sum((pos + neg) * s) as sum_s from r {group})"
     )
+
+
+def bootstrap(source: str, label: str, score: str, n: int, keys: str = "", seed: int = 42) -> str:
+    """CTEs up to ``bs``: weighted and cumulated counts of every replicate (0 is the data), both classes present.
+
+    The same draws as the library's: linear hashes of the score's digest, inverted to Poisson weights.
+    """
+    lead = f"{keys}, " if keys else ""
+    key = f"coalesce({keys}::varchar, '~') || ':' || " if keys else ""
+
+    def digits(text: str, at: int) -> str:
+        return f"('0x' || substr({text}, {at}, 7))::bigint"
+
+    numbers = ", ".join(
+        f"{digits(f"md5('{seed}:' || r || ':{j}')", at)} as {name}{j}" for j in range(4) for name, at in (("a", 1), ("b", 8), ("c", 15))
+    )
+    u = [f"(((h1 * a{j} % 2147483647 + h2 * b{j} % 2147483647 + c{j}) % 2147483647 + 0.5e0) / 2147483647.0e0)" for j in range(4)]
+
+    def weight(side: str, j: int) -> str:
+        c = f"{side}::double"
+        z = f"(sqrt(-2.0e0 * ln({u[j]})) * cos(6.283185307179586e0 * {u[j + 1]}))"
+        wide = f"greatest(floor({c} + sqrt({c}) * {z} + ({z} * {z} - 1) / 6.0e0 + ({z} - {z} * {z} * {z}) / (72.0e0 * sqrt({c})) + 0.5e0), 0)"
+        return f"case when r = 0 then {c} when {side} = 0 then 0 when {side} <= 12 then len(list_filter(s_{side}, lambda e: e <= {u[j]})) else {wide} end"
+
+    def steps(side: str) -> str:
+        return (
+            f"case when {side} between 1 and 12 then list_transform(range(1, 45), lambda k: list_sum(list_transform(range(0, k), "
+            f"lambda i: exp(i * ln({side}::double) - {side}::double - lgamma(i + 1.0))))) end as s_{side}"
+        )
+
+    part = f"partition by {lead}r"
+    return (
+        f"bc as (select {lead}{score}::double as s, sum({label})::bigint as pos, sum(1 - {label})::bigint as neg from {source} where {label} is not null and {score} is not null group by all), "
+        f"bd as (select *, md5({key}trunc(case when abs(s) < 1000 then s * 4503599627370496.0e0 else s end)::bigint::varchar) as h, {steps('pos')}, {steps('neg')} from bc), "
+        f"bh as (select *, {digits('h', 1)} as h1, {digits('h', 8)} as h2 from bd), "
+        f"br as (select r, {numbers} from (select unnest(range(0, {n + 1})) as r)), "
+        f"bw as (select {lead}r, s, {weight('pos', 0)} as wp, {weight('neg', 2)} as wn from bh, br), "
+        f"bs as (select *, sum(wp) over ({part} order by s) as pc, sum(wn) over ({part} order by s) as nc, sum(wp) over ({part}) as m, sum(wn) over ({part}) as n "
+        "from bw qualify m > 0 and n > 0)"
+    )
+
+
+#: Metrics of one replicate over ``bs``.
+BOOTSTRAP_METRICS = {
+    "roc_auc": "sum(wp * (nc - wn / 2) / (m * n))",
+    "ks": "max(abs(pc / m - nc / n))",
+    "pr_auc": "sum(case when m - pc + wp + n - nc + wn > 0 then wp / m * (m - pc + wp) / (m - pc + wp + n - nc + wn) else 0 end)",
+}
+
+
+def bootstrap_interval(metrics: dict[str, str]) -> str:
+    """Estimate and percentile interval of each metric over ``bs``."""
+    parts = [
+        f"select '{name}' as metric, max(v) filter (where r = 0) as estimate, quantile_cont(v, 0.025) filter (where r > 0) as ci_low, quantile_cont(v, 0.975) filter (where r > 0) as ci_high, "
+        f"count(*) filter (where r > 0) as n_boot from (select r, {rule} as v from bs group by r)"
+        for name, rule in metrics.items()
+    ]
+    return " union all ".join(parts)

@@ -317,19 +317,21 @@ def pair_orientation(spark, sf):
     return rounded(CMP.orient_pairs(CMP.pairwise_comparison(loans(spark, sf), "y", MODELS), "p_b"))
 
 
-# --- D39, D43, X4: bootstrap (own draws, so rows only) -------------------------------------------
-@register("d39_bootstrap_interval")
+# --- D39, D43, X4: bootstrap ---------------------------------------------------------------------
+@register("d39_bootstrap_interval", f"with b as ({LINES}), {O.bootstrap('b', 'y', 'p_a', 300)} {O.bootstrap_interval(O.BOOTSTRAP_METRICS)}")
 def bootstrap(spark, sf):
     return rounded(bootstrap_interval(lines(spark, sf), "y", "p_a", n=300))
 
 
-@register("x04_custom_bootstrap_metric")
+@register(
+    "x04_custom_bootstrap_metric",
+    f"with b as ({LINES}), {O.bootstrap('b', 'y', 'p_a', 200)} {O.bootstrap_interval({'recall_at_30': 'sum(case when s >= 0.3 then wp else 0 end / m)'})}",
+)
 def custom_metric(spark, sf):
     """A metric supplied by the caller as an aggregate over weighted score counts."""
 
-
     def recall_at_30(score, pos, neg, pos_cum, neg_cum, pos_all, neg_all):
-        return float(pos[score >= 0.3].sum() / pos_all)
+        return F.when(score >= 0.3, pos).otherwise(F.lit(0.0)) / pos_all
 
     custom = {"recall_at_30": Metric(recall_at_30)}
     return rounded(bootstrap_interval(lines(spark, sf), "y", "p_a", [], n=200, custom=custom))
@@ -337,24 +339,11 @@ def custom_metric(spark, sf):
 
 @register(
     "d43_discrimination_block",
-    f"{base()}, {O.delong()} select auc, greatest(auc - {Z} * se, 0) as auc_ci_low, least(auc + {Z} * se, 1) as auc_ci_high, 2 * auc - 1 as gini, "
-    f"ks, (select {O.AP} from r) as pr_auc, n_pos / n_rows as prevalence from d",
+    f"{base()}, {O.delong()}, {O.bootstrap('b', 'y', 'p_a', 300)}, bi as ({O.bootstrap_interval(O.BOOTSTRAP_METRICS)}) select auc, greatest(auc - {Z} * se, 0) as auc_ci_low, least(auc + {Z} * se, 1) as auc_ci_high, 2 * auc - 1 as gini, "
+    f"ks, (select {O.AP} from r) as pr_auc, n_pos / n_rows as prevalence, {', '.join(f'(select {c} from bi where metric = {chr(39)}{m}{chr(39)}) as {m}_{c}' for m in ('ks', 'pr_auc') for c in ('ci_low', 'ci_high'))} from d",
 )
 def discrimination_block(spark, sf):
-    rows = lines(spark, sf)
-    interval = D.auc_interval(rows, "y", "p_a").select(F.struct("auc", "ci_low", "ci_high").alias("i")).scalar()
-    report = M.classification_report(rows, "y", "p_a").withColumn("_i", interval)
-    return rounded(
-        report.select(
-            F.col("_i.auc").alias("auc"),
-            F.col("_i.ci_low").alias("auc_ci_low"),
-            F.col("_i.ci_high").alias("auc_ci_high"),
-            "gini",
-            "ks",
-            "pr_auc",
-            F.col("default_rate_observed").alias("prevalence"),
-        )
-    )
+    return rounded(A.discrimination_block(lines(spark, sf), "y", "p_a"))
 
 
 # --- D41, D42: proportions -----------------------------------------------------------------------

@@ -885,7 +885,14 @@ def arm_aggregates(spark, sf):
     return rounded(E.arm_summary(population(spark, sf)))
 
 
-@register("d40_bootstrap_difference")
+@register(
+    "d40_bootstrap_difference",
+    f"with {POPULATION}, {O.bootstrap('pop', 'actual_default', 'probability', 500, 'variant')}, "
+    f"ba as (select variant, r, {O.BOOTSTRAP_METRICS['roc_auc']} as auc from bs group by all), "
+    "bf as (select r, max(auc) filter (where variant = 'challenger') - max(auc) filter (where variant = 'champion') as v from ba group by r) "
+    "select max(v) filter (where r = 0) as auc_diff, quantile_cont(v, 0.025) filter (where r > 0) as ci_low, quantile_cont(v, 0.975) filter (where r > 0) as ci_high, "
+    "avg((v <= 0)::int) filter (where r > 0) as p_value from bf",
+)
 def bootstrap_difference(spark, sf):
     rows = population(spark, sf)
     return rounded(auc_difference(rows, "actual_default", "probability", "variant", "champion", "challenger", 500))
