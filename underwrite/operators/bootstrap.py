@@ -13,13 +13,11 @@ than once, and replicates meet again as sums.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,23 +63,18 @@ def standard_metrics() -> dict[str, Metric]:
     return {"roc_auc": Metric(auc), "ks": Metric(ks, "max"), "pr_auc": Metric(pr_auc)}
 
 
-def replicate_numbers(n: int, seed: int) -> list[dict[str, int]]:
-    """Multipliers and shift of every uniform number of replicates 1 to n."""
-    out = []
-    for r in range(1, n + 1):
-        row = {"replicate": r}
-        for j in range(UNIFORMS):
-            digest = md5(f"{seed}:{r}:{j}".encode()).hexdigest()
-            row |= {f"{name}{j}": int(digest[at : at + 7], 16) for name, at in (("a", 0), ("b", 7), ("c", 14))}
-        out.append(row)
-    return out
+def _hex(digest: Column, at: int) -> Column:
+    """28 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, at, 7), 16, 10).cast("bigint")
 
 
-def _replicates(n: int, seed: int) -> Column:
-    """The numbers as one constant array; replicate 0 is the data itself."""
-    fields = ", ".join(f"{name}{j}: bigint" for j in range(UNIFORMS) for name in "abc")
-    rows = [{"replicate": 0} | {f"{name}{j}": 0 for j in range(UNIFORMS) for name in "abc"}, *replicate_numbers(n, seed)]
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<replicate: int, {fields}>>")
+def replicate_numbers(spark: SparkSession, n: int, seed: int) -> Column:
+    """Scalar subquery: multipliers and shift of every uniform number, one struct per replicate from 0 (the data itself)."""
+    rows = spark.range(0, n + 1, 1, 1).select(F.col("id").cast("int").alias("replicate"))
+    for j in range(UNIFORMS):
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(f":{j}")).cast("binary"))
+        rows = rows.withColumns({f"{name}{j}": _hex(digest, at) for name, at in (("a", 1), ("b", 8), ("c", 15))})
+    return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("d")).scalar()
 
 
 def with_digest(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,58 +83,51 @@ def with_digest(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     fine = F.when(F.abs(s) < 1000, s * dec(2**52)).otherwise(s).cast("bigint")
     parts = [*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("~")) for k in keys], fine.cast("string")]
     digest = counts.withColumn("_md5", F.md5(F.concat_ws(":", *parts).cast("binary")))
-    part = lambda at: F.conv(F.substring("_md5", at, 7), 16, 10).cast("bigint")
-    return digest.withColumns({"_h1": part(1), "_h2": part(8)}).drop("_md5")
+    return digest.withColumns({"_h1": _hex(F.col("_md5"), 1), "_h2": _hex(F.col("_md5"), 8)}).drop("_md5")
 
 
-def poisson_steps(count: Column) -> Column:
+# The draws are written as SQL text: one parsed expression instead of hundreds of column objects.
+def poisson_steps(count: str) -> Column:
     """Cumulative probabilities of Poisson(count) for 0, 1, ...; NULL for counts that need none."""
-    c = count.cast("double")
-    terms = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS - 1)),
-        F.struct(F.exp(-c).alias("term"), F.array(F.exp(-c)).alias("upto")),
-        lambda a, k: F.struct(
-            (a["term"] * c / k).alias("term"), F.concat(a["upto"], F.array(F.element_at(a["upto"], -1) + a["term"] * c / k)).alias("upto")
-        ),
-    )
-    return F.when((c > 1) & (c <= SMALL), terms["upto"])
+    term = f"a.term * {count} / k"
+    step = f"struct({term} as term, concat(a.upto, array(element_at(a.upto, -1) + {term})) as upto)"
+    start = f"struct(exp(-cast({count} as double)) as term, array(exp(-cast({count} as double))) as upto)"
+    return F.expr(f"case when {count} > 1 and {count} <= {SMALL} then aggregate(sequence(1, {STEPS - 1}), {start}, (a, k) -> {step}).upto end")
+
 
+def uniform(j: int) -> str:
+    """The j-th uniform number of a (score, replicate) row, strictly between 0 and 1."""
+    return f"(((_h1 * _d.a{j} % {PRIME} + _h2 * _d.b{j} % {PRIME} + _d.c{j}) % {PRIME} + 0.5D) / {PRIME}D)"
 
-def poisson_of_one(u: Column) -> Column:
+
+def poisson_of_one(u: str) -> str:
     """Poisson(1) weight of a uniform number by comparisons alone."""
     term = upto = math.exp(-1.0)
-    weight = (u >= upto).cast("int")
+    parts = [f"cast({u} >= {upto!r}D as int)"]
     for k in range(1, STEPS_OF_ONE):
         term /= k
         upto += term
-        weight += (u >= upto).cast("int")
-    return weight
-
-
-def uniform(j: int) -> Column:
-    """The j-th uniform number of a (score, replicate) row, strictly between 0 and 1."""
-    d = F.col("_d")
-    mixed = F.col("_h1") * d[f"a{j}"] % PRIME + F.col("_h2") * d[f"b{j}"] % PRIME + d[f"c{j}"]
-    return (mixed % PRIME + dec(0.5)) / dec(PRIME)
-
-
-def poisson(count: Column, steps: Column, u: Column, v: Column) -> Column:
-    """Poisson weight of ``count`` rows."""
-    c = count.cast("double")
-    z = F.sqrt(dec(-2) * F.log(u)) * F.cos(dec(2 * 3.141592653589793) * v)
-    wide = F.floor(c + F.sqrt(c) * z + (z * z - 1) / dec(6) + (z - z * z * z) / (dec(72) * F.sqrt(c)) + dec(0.5))
-    small = F.size(F.filter(steps, lambda e: e <= u))
-    return F.when(c == 0, dec(0)).when(c == 1, poisson_of_one(u).cast("double")).when(c <= SMALL, small.cast("double")).otherwise(F.greatest(wide.cast("double"), dec(0)))
+        parts.append(f"cast({u} >= {upto!r}D as int)")
+    return f"cast({' + '.join(parts)} as double)"
+
+
+def poisson(count: str, steps: str, u: str, z: str) -> Column:
+    """Poisson weight of ``count`` rows from a uniform and, for large counts, a normal number."""
+    root = f"sqrt(cast({count} as double))"
+    wide = f"floor({count} + {root} * {z} + ({z} * {z} - 1) / 6D + ({z} - {z} * {z} * {z}) / (72D * {root}) + 0.5D)"
+    small = f"cast(size(filter({steps}, e -> e <= {u})) as double)"
+    return F.expr(
+        f"case when _d.replicate = 0 then cast({count} as double) when {count} = 0 then 0D when {count} = 1 then {poisson_of_one(u)} "
+        f"when {count} <= {SMALL} then {small} else greatest(cast({wide} as double), 0D) end"
+    )
 
 
 def _drawn(rows: DataFrame) -> DataFrame:
     """Weights w_pos, w_neg of rows unfolded to (score, replicate), which have ``_d``."""
-    original = F.col("_d.replicate") == 0
-    weights = {
-        f"w_{side}": F.when(original, F.col(side).cast("double")).otherwise(poisson(F.col(side), F.col(f"_s_{side}"), uniform(j), uniform(j + 1)))
-        for j, side in ((0, "pos"), (2, "neg"))
-    }
-    return rows.withColumns(weights).withColumn("replicate", F.col("_d.replicate"))
+    drawn = rows.withColumns({f"_u{j}": F.expr(uniform(j)) for j in range(UNIFORMS)})
+    drawn = drawn.withColumns({f"_z{j}": F.expr(f"sqrt(-2D * ln(_u{j})) * cos(2D * pi() * _u{j + 1})") for j in (0, 2)})
+    weights = {f"w_{side}": poisson(side, f"_s_{side}", f"_u{j}", f"_z{j}") for j, side in ((0, "pos"), (2, "neg"))}
+    return drawn.withColumns(weights).withColumn("replicate", F.col("_d.replicate"))
 
 
 def replicate_metrics(
@@ -155,10 +141,10 @@ def replicate_metrics(
 ) -> DataFrame:
     """(keys, replicate, one column per metric); replicates that lost a class are left out."""
     counts = with_digest(with_range(score_counts(df, label, score, keys), ["score"], grouped=True), keys)
-    counts = counts.withColumns({f"_s_{side}": poisson_steps(F.col(side)) for side in ("pos", "neg")})
+    counts = counts.withColumns({f"_s_{side}": poisson_steps(side) for side in ("pos", "neg")})
     by = [*keys, RANGE]
-    everyone = _replicates(n, seed)
-    sums = _drawn(counts.withColumn("_d", F.explode(everyone))).groupBy(*by, "replicate").agg(
+    everyone = replicate_numbers(df.sparkSession, n, seed)
+    sums = _drawn(counts.withColumn("_d", everyone).withColumn("_d", F.explode("_d"))).groupBy(*by, "replicate").agg(
         F.sum("w_pos").alias("pos_here"), F.sum("w_neg").alias("neg_here")
     )
     one = W.partitionBy(*keys, "replicate")
@@ -175,7 +161,7 @@ def replicate_metrics(
     for key in keys:  # a NULL key is a key of its own
         match &= F.col(f"l.`{key}`").eqNullSafe(F.col(f"o.`{key}`"))
     both = counts.alias("l").join(packed.alias("o"), match).select("l.*", F.explode("o._o").alias("_o"))
-    drawn = _drawn(both.withColumn("_d", F.element_at(everyone, F.col("_o.replicate") + 1)))
+    drawn = _drawn(both.withColumn("_d", everyone).withColumn("_d", F.element_at("_d", F.col("_o.replicate") + 1)))
     here = W.partitionBy(*by, "replicate").orderBy("score").rowsBetween(W.unboundedPreceding, 0)
     ranked = drawn.withColumns({"pos_cum": F.col("_o.pos_below") + F.sum("w_pos").over(here), "neg_cum": F.col("_o.neg_below") + F.sum("w_neg").over(here)})
     args = [F.col(c) for c in ("score", "w_pos", "w_neg", "pos_cum", "neg_cum", "_o.pos_all", "_o.neg_all")]
