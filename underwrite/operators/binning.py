@@ -69,32 +69,28 @@ def candidate_edges(counts: DataFrame, max_bins: int = 10, max_discrete: int = 3
 def merge_small_bins(counts: DataFrame, edges: DataFrame, min_share: float = 0.01) -> DataFrame:
     """(feature, edges) after joining neighbours of bins under ``min_share`` of the known rows.
 
-    Spark counts the rows per candidate bin; the merge then sees at most about thirty numbers
-    per feature, one feature per group.
+    Spark counts the rows per candidate bin; what is left is a fold over about thirty numbers per feature, an array
+    expression of one row: the smallest bin (the first of equals) joins its smaller neighbour (the left of equals)
+    until it is large enough or alone.
     """
     known = counts.filter(F.col("value").isNotNull()).join(F.broadcast(edges), "feature")
-    sizes = known.groupBy("feature", "edges", digitize(F.col("value"), F.col("edges")).alias("code")).agg(
-        F.sum("n").alias("n")
+    sizes = known.groupBy("feature", "edges", digitize(F.col("value"), F.col("edges")).alias("code")).agg(F.sum("n").alias("n"))
+    held = sizes.groupBy("feature").agg(
+        F.any_value("edges").alias("cuts"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("held")
     )
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        cuts = list(group["edges"].iloc[0])
-        size = dict(zip(group["code"], group["n"], strict=True))
-        minimum = min_share * float(group["n"].sum())
-        # Each bin is [rows, upper edge]; the last one is open.
-        bins = [[float(size.get(i, 0)), edge] for i, edge in enumerate([*cuts, float("inf")])]
-        while len(bins) > 1:
-            at = min(range(len(bins)), key=lambda i: bins[i][0])
-            if bins[at][0] >= minimum:
-                break
-            left = bins[at - 1][0] if at > 0 else float("inf")
-            right = bins[at + 1][0] if at + 1 < len(bins) else float("inf")
-            first = at - 1 if left <= right else at
-            bins[first : first + 2] = [[bins[first][0] + bins[first + 1][0], bins[first + 1][1]]]
-        kept = [edge for _, edge in bins[:-1]]
-        return pd.DataFrame({"feature": [group["feature"].iloc[0]], "edges": [kept]})
-
-    return sizes.groupBy("feature").applyInPandas(merge, "feature string, edges array<double>")
+    bins = "transform(sequence(0, size(cuts)), i -> struct(coalesce(try_element_at(held, i), 0L) as n, get(cuts, i) as edge))"
+    smallest = "array_min(transform(b, x -> x.n))"
+    at = f"array_position(transform(b, x -> x.n), {smallest})"
+    # The pair that is joined starts at the smallest bin or at its left neighbour.
+    left_first = "at > 1 and (at = size(b) or b[cast(at - 2 as int)].n <= b[cast(at as int)].n)"
+    pair = f"cast(case when {left_first} then at - 1 else at end as int)"
+    joined = "struct(b[f - 1].n + b[f].n as n, b[f].edge as edge)"
+    merged = f"concat(slice(b, 1, f - 1), array({joined}), slice(b, f + 2, size(b)))"
+    # ``let`` by a one-element transform: names for the position and the pair.
+    merged = f"element_at(transform(array({at}), at -> element_at(transform(array({pair}), f -> {merged}), 1)), 1)"
+    folded = f"aggregate(sequence(1, size(cuts)), {bins}, (b, k) -> case when size(b) > 1 and {smallest} < total * {min_share!r}D then {merged} else b end)"
+    kept = F.when(F.size("cuts") > 0, F.expr(f"transform({folded}, x -> x.edge)")).otherwise(F.array().cast("array<double>"))
+    return held.select("feature", F.array_compact(kept).alias("edges"))
 
 
 def numeric_codes(counts: DataFrame, edges: DataFrame) -> DataFrame:

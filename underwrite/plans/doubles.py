@@ -34,6 +34,7 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "d13_ks_p_value": "ks_pvalue",
     "d14_feature_drift": "psi ks_statistic ks_pvalue null_rate_ref null_rate_cur mean_ref mean_cur",
     "d15_candidate_edges": "edge",
+    "d16_merged_bins": "edge",
     "d18_weight_of_evidence": "share bad_rate woe iv_contribution",
     "d19_information_value": "iv",
     "d22_points_of_coefficient": "points",
@@ -93,6 +94,8 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "p15_variant_fallback": "probability",
     "t01_tumbling_windows": "mean_value error_rate",
     "t02_sliding_windows": "mean_value",
+    "t04_hot_key": "statistic",
+    "t04_stateful_detectors": "statistic",
     "t06_micro_batch_log": "probability",
     "u01_variant_union": "probability",
     "u02_evidence_union": "auc auc_ci_low auc_ci_high",

@@ -10,6 +10,7 @@ from underwrite.operators.loans import parse_loans
 from underwrite.plans import oracles as O
 from underwrite.plans import views as V
 from underwrite.plans.q_loans import SPEC, _error_sql, raw_loans
+from underwrite.plans.q_risk import DDM_SQL, PH_SQL
 from underwrite.plans.registry import register, rounded
 from underwrite.session import scratch_path
 from underwrite.streaming import detectors as SD
@@ -84,14 +85,46 @@ def delayed_label_join(spark, sf):
     return SW.run_once(joined, "labels").select("request_id", "actual_default")
 
 
-@register("t04_stateful_detectors")
+def alerts_of(stream: DataFrame, detector: str) -> DataFrame:
+    """Run a detector to the end of a stream and read its alerts."""
+    alerts, state, checkpoint = (scratch_path(stream.sparkSession, f"{detector}-{part}") for part in ("alerts", "state", "checkpoint"))
+    SW.wait(SD.detector_sink(stream, detector, alerts, state, checkpoint))
+    return SD.read_alerts(stream, alerts)
+
+
+@register(
+    "t04_stateful_detectors",
+    f"select * from (with src as (select event_type as k, ts, event_id as id, (value > 60)::int::double as x from events), {DDM_SQL} "
+    "select d.k as key, 'ddm' as detector, 'drift' as state, di as at_index, best.level as statistic from d join m on m.k = d.k and m.n = di + 1 "
+    "union all select d.k, 'ddm', 'warning', wi, best.level from d join m on m.k = d.k and m.n = wi + 1 where di is null or wi < di) "
+    f"union all select * from (with src as (select event_type as k, ts, event_id as id, value / 50 as x from events), {PH_SQL} "
+    "select k, 'page_hinkley', 'drift', index, statistic from ph where drift)",
+)
 def stateful_detectors(spark, sf):
     """First warning and drift of each event type, state carried across micro-batches."""
     rows = parts_stream(spark, sf)
-    error = rows.withColumn("x", (F.col("value") > 60).cast("double"))
-    alerts = SW.run_once(SD.stream_ddm(SD.detector_input(error, "event_type", "ts", "event_id", "x")), "ddm")
+    error = SD.detector_input(rows.withColumn("x", (F.col("value") > 60).cast("double")), "event_type", "ts", "event_id", "x")
     climbed = SD.detector_input(rows.withColumn("x", F.col("value") / 50), "event_type", "ts", "event_id", "x")
-    return rounded(alerts.unionByName(SW.run_once(SD.stream_page_hinkley(climbed), "page-hinkley")))
+    return rounded(alerts_of(error, "ddm").unionByName(alerts_of(climbed, "page_hinkley")))
+
+
+@register(
+    "t04_hot_key",
+    f"with src as (select case when l_linenumber = 1 then 'rare' else 'hot' end as k, l_shipdate as ts, l_orderkey * 1000000 + l_partkey * 100 + l_suppkey as id, (l_returnflag = 'R')::int::double as x from lineitem), {DDM_SQL} "
+    "select d.k as key, 'drift' as state, di as at_index, best.level as statistic from d join m on m.k = d.k and m.n = di + 1 "
+    "union all select d.k, 'warning', wi, best.level from d join m on m.k = d.k and m.n = wi + 1 where di is null or wi < di",
+)
+def hot_key(spark, sf):
+    """Most rows belong to one key; its micro-batches are still walked range by range."""
+    path = scratch_path(spark, "line-parts")
+    rows = V.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") == 1, "rare").otherwise("hot").alias("key"), F.col("l_shipdate").alias("ts"),
+        (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("id"), (F.col("l_returnflag") == "R").cast("double").alias("value"),
+    )
+    for part in ("ts < date'1996-07-01'", "ts >= date'1996-07-01' and ts < date'1998-01-01'", "ts >= date'1998-01-01'"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = SD.detector_input(SW.file_stream(spark, path, rows.schema, 1), "key", "ts", "id", "value")
+    return rounded(alerts_of(stream, "ddm").drop("detector"))
 
 
 @register("t05_idempotent_requests", "select user_id, event_type, count(*) as copies from (select distinct user_id, event_type from events) group by all")

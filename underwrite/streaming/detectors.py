@@ -1,82 +1,84 @@
-"""Change detectors as keyed streaming state of constant size."""
+"""Change detectors over streams: each micro-batch is an ordered scan that continues the state of every key.
+
+A micro-batch is cut into ranges like any ordered table, so a key with most of its rows is walked by many tasks; what
+the key's earlier batches amount to (counts, sums, the lowest level) is joined in as an offset. The state is a small
+table, one row per key, written as a new version with every batch: a batch that is repeated after a failure starts
+from the version before it and replaces what it wrote. No row passes through Python.
+
+Rows of a key must not be older than those of its earlier batches. A key that has drifted is silent from then on; NULL
+is a key of its own; rows without a value are skipped.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from underwrite.config import MonitoringRules
+from underwrite.operators import detectors as DT
+from underwrite.operators.small import join_keys
 
-OUTPUT = "key string, detector string, state string, at_index bigint, statistic double"
-DDM_STATE = "n bigint, hits double, low double, low_sd double, state string"
-PH_STATE = "n bigint, total double, cum double, low double, done boolean"
+ALERTS = "key string, detector string, state string, at_index bigint, statistic double"
+KEYS, ORDER = ["key"], ["ts", "id"]
 
 
-def stream_ddm(df: DataFrame, rules: MonitoringRules | None = None) -> DataFrame:
-    """Alerts of the drift detection method; input (key, ts, id, value in 0/1).
+def _columns(state: dict[str, str]) -> str:
+    return "key string, " + ", ".join(f"{n} {kind}" for n, kind in state.items()) + ", name string"
 
-    A key reports its first warning and its first drift; after a drift it stays silent.
-    """
-    rules = rules or MonitoringRules()
-    # Plain numbers: the update function travels to the workers by value.
-    min_n, warn, drift = rules.ddm_min_n, rules.ddm_warning_level, rules.ddm_drift_level
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, hits, low, low_sd, name = state.get if state.exists else (0, 0.0, math.inf, 0.0, "estable")
-        alerts = []
-        # One micro-batch of the key, whose size the source's trigger option bounds.
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-        for value in rows["value"].to_numpy(dtype=float):
-            if name == "drift":
-                break
-            n, hits = n + 1, hits + value
-            rate = hits / n
-            sd = math.sqrt(max(rate * (1 - rate), 0.0) / n)
-            if n < min_n or sd == 0:
-                continue
-            if rate + sd < low:
-                low, low_sd = rate + sd, sd
-            excess = rate + sd - (low - low_sd)
-            if excess > drift * low_sd:
-                name = "drift"
-            elif excess > warn * low_sd and name == "estable":
-                name = "warning"
-            else:
-                continue
-            alerts.append((key[0], "ddm", name, n - 1, low))
-        state.update((n, hits, low, low_sd, name))
-        yield pd.DataFrame(alerts, columns=["key", "detector", "state", "at_index", "statistic"])
-
-    return df.groupBy("key").applyInPandasWithState(update, OUTPUT, DDM_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_page_hinkley(df: DataFrame, rules: MonitoringRules | None = None) -> DataFrame:
-    """First sustained rise of the mean per key; input (key, ts, id, value)."""
+
+def ddm_step(batch: DataFrame, before: DataFrame, rules: MonitoringRules) -> tuple[DataFrame, DataFrame]:
+    """Alerts of a batch, and the new state of its keys: a key reports its first warning and its first drift."""
+    walked = DT.ddm_rows(batch, "value", ORDER, KEYS, rules, before)
+    found = join_keys(DT.ddm_summary(walked, KEYS, rules), before.select("key", F.col("name").alias("was")), KEYS, how="left")
+    was = F.coalesce("was", F.lit("estable"))
+    drift = F.when(was != "drift", F.col("d"))
+    warning = F.when((was == "estable") & (F.col("d").isNull() | (F.col("w.i") < F.col("d.i"))), F.col("w"))
+    both = found.select("key", "end", was.alias("was"), drift.alias("drift"), warning.alias("warning"))
+    listed = both.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("state"), F.col(n).alias("at")) for n in ("warning", "drift")])).alias("e"))
+    alerts = listed.where("e.at is not null").select("key", F.lit("ddm").alias("detector"), "e.state", F.col("e.at.i").alias("at_index"), F.col("e.at.level").alias("statistic"))
+    name = F.when(F.col("drift").isNotNull(), "drift").when(F.col("warning").isNotNull(), "warning").otherwise(F.col("was"))
+    return alerts, both.select("key", "end.*", name.alias("name"))
+
+
+def page_hinkley_step(batch: DataFrame, before: DataFrame, rules: MonitoringRules) -> tuple[DataFrame, DataFrame]:
+    """The same for the first sustained rise of the mean."""
+    walked = DT.page_hinkley_rows(batch, "value", ORDER, KEYS, rules, before)
+    found = join_keys(DT.page_hinkley_summary(walked, KEYS, rules), before.select("key", F.col("name").alias("was")), KEYS, how="left")
+    was = F.coalesce("was", F.lit("estable"))
+    both = found.select("key", "end", was.alias("was"), F.when(was != "drift", F.col("h")).alias("drift"))
+    alerts = both.where("drift is not null").select("key", F.lit("page_hinkley").alias("detector"), F.lit("drift").alias("state"), F.col("drift.i").alias("at_index"), F.col("drift.s").alias("statistic"))
+    return alerts, both.select("key", "end.*", F.when(F.col("drift").isNotNull(), "drift").otherwise(F.col("was")).alias("name"))
+
+
+STEPS: dict[str, tuple[Callable[..., tuple[DataFrame, DataFrame]], dict[str, str]]] = {
+    "ddm": (ddm_step, DT.DDM_STATE),
+    "page_hinkley": (page_hinkley_step, DT.PAGE_HINKLEY_STATE),
+}
+
+
+def detector_sink(
+    df: DataFrame, detector: str, alerts: str, state: str, checkpoint: str, rules: MonitoringRules | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Run a detector over a stream of (key, ts, id, value); alerts go to ``alerts``, states to ``state``, by batch."""
     rules = rules or MonitoringRules()
-    delta, limit = rules.page_hinkley_delta, rules.page_hinkley_lambda
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, cum, low, done = state.get if state.exists else (0, 0.0, 0.0, 0.0, False)
-        alerts = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-        for value in rows["value"].to_numpy(dtype=float):
-            if done:
-                break
-            n, total = n + 1, total + value
-            cum += value - total / n - delta
-            low = min(low, cum)
-            if cum - low > limit:
-                done = True
-                alerts.append((key[0], "page_hinkley", "drift", n - 1, cum - low))
-        state.update((n, total, cum, low, done))
-        yield pd.DataFrame(alerts, columns=["key", "detector", "state", "at_index", "statistic"])
-
-    return df.groupBy("key").applyInPandasWithState(update, OUTPUT, PH_STATE, "append", GroupStateTimeout.NoTimeout)
+    step, kept = STEPS[detector]
+    spark, columns = df.sparkSession, _columns(kept)
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = spark.createDataFrame([], columns) if number == 0 else spark.read.schema(columns).parquet(f"{state}/batch={number - 1}")
+        found, after = step(batch, before, rules)
+        found.write.mode("overwrite").parquet(f"{alerts}/batch={number}")
+        idle = before.alias("b").join(after.select(F.col("key").alias("k")), F.col("b.key").eqNullSafe(F.col("k")), "left_anti")
+        after.select(*before.columns).unionByName(idle).write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_alerts(df: DataFrame, alerts: str) -> DataFrame:
+    return df.sparkSession.read.schema(ALERTS).option("recursiveFileLookup", "true").parquet(alerts)
 
 
 def detector_input(df: DataFrame, key: str, ts: str, id_: str, value: str) -> DataFrame:
