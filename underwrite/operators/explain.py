@@ -33,7 +33,9 @@ def linear_contributions(
 
 
 def factor_array(contributions: Mapping[str, Column]) -> Column:
-    """All contributions of a row as an array of (feature, impact)."""
+    """All contributions of a row as an array of (feature, impact); of the same type without any."""
+    if not contributions:
+        return F.array().cast("array<struct<feature:string,impact:double>>")
     return F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("impact")) for n, c in contributions.items()])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from underwrite.functions.parsing import col, dec
 from underwrite.functions.scoring import clip, digitize, evenly_spaced, share
 from underwrite.operators.counts import neg_below, pos_below, ranked, score_counts
-from underwrite.operators.scan import row_numbers
+from underwrite.operators.scan import RANGE, following, row_numbers, with_range
 
 PROBABILITY_FLOOR = 1e-7
 ECE_EDGES = tuple(evenly_spaced(0.0, 1.0, 11)[1:-1])
@@ -219,3 +219,29 @@ def curve_points(
         F.try_divide(hits, F.col("pos_all").cast("double")).alias("tpr"),
         F.try_divide(hits, (hits + alarms).cast("double")).alias("precision"),
     )
+
+
+def roc_corners(
+    df: DataFrame, label: Column | str, score: Column | str, points: int = 200, keys: Sequence[str] = ()
+) -> DataFrame:
+    """ROC points where the curve turns, from strict to lenient, thinned evenly by position among them.
+
+    A point lies on a straight line if the step to it equals the step after it, that is if the next lower score has
+    the same counts of both classes; the first and the last point always stay. Position 0 is the empty origin.
+    """
+    rows = ranked(score_counts(df, label, score, keys), keys).withColumn("_down", -F.col("score"))
+    counts = F.struct("pos", "neg")
+    ahead = following(with_range(rows, ["_down"]), keys, ["_down"], counts, "_ahead").drop(RANGE)
+    first = (F.col("pos_cum") == F.col("pos_all")) & (F.col("neg_cum") == F.col("neg_all"))
+    corners = ahead.filter(first | F.col("_ahead").isNull() | (F.col("_ahead") != counts))
+    numbered = row_numbers(corners, keys, ["_down"], "position", "size")
+    steps = points - 1
+    step = F.floor((F.col("position") * steps + F.col("size") - 1) / F.col("size"))
+    hits, alarms = F.col("pos_all") - F.col("pos_cum") + F.col("pos"), F.col("neg_all") - F.col("neg_cum") + F.col("neg")
+    return numbered.filter(F.floor(step * F.col("size") / steps) == F.col("position")).select(
+        *keys,
+        "position",
+        F.col("score").alias("threshold"),
+        F.try_divide(alarms, F.col("neg_all").cast("double")).alias("fpr"),
+        F.try_divide(hits, F.col("pos_all").cast("double")).alias("tpr"),
+    )

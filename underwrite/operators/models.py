@@ -175,17 +175,23 @@ class CreditModel:
 
     def predict_frame(self, features: DataFrame, keep: Sequence[str], labels: dict[str, str], k: int = 3) -> DataFrame:
         """Batch scoring: probability, decision, band, threshold, strongest factors."""
-        p = F.col("_p")
         scored = self.with_probability(features, "_p")
-        factors = top_factors(factor_array(self.contributions()), labels, k) if self.coefficients else F.array()
-        return scored.select(
-            *keep,
-            p.alias("probability"),
-            F.when(p >= self.threshold, "RECHAZAR").otherwise("APROBAR").alias("decision"),
-            risk_band(p).alias("risk_band"),
-            dec(self.threshold).alias("threshold"),
-            factors.alias("top_factors"),
-        )
+        contributions = self.contributions() if self.coefficients else {}
+        return scoring_frame(scored, F.col("_p"), contributions, self.threshold, labels, keep, k)
+
+
+def scoring_frame(
+    rows: DataFrame, probability: Column, contributions: Mapping[str, Column], threshold: float, labels: dict[str, str], keep: Sequence[str], k: int = 3
+) -> DataFrame:
+    """(keep, probability, decision, risk_band, threshold, top_factors); a model without contributions has no factors."""
+    return rows.select(
+        *keep,
+        probability.alias("probability"),
+        F.when(probability >= threshold, "RECHAZAR").otherwise("APROBAR").alias("decision"),
+        risk_band(probability).alias("risk_band"),
+        dec(threshold).alias("threshold"),
+        top_factors(factor_array(contributions), labels, k).alias("top_factors"),
+    )
 
 
 def fit_model(

@@ -184,3 +184,12 @@ def ntile(
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of every key; exact also when one key holds most rows."""
     return row_numbers(df, keys, order, "_pos", "_size").filter(F.col("_pos") <= n).drop("_pos", "_size")
+
+
+def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``value`` of the row that comes next in ``order`` per key, NULL after the last; needs the range column."""
+    local = df.withColumn(name, F.lead(value).over(_local_window(keys, order)))
+    starts = df.groupBy(*keys, RANGE).agg(F.min(F.struct(*order, value.alias("_v"))).alias("_start"))
+    after = F.lead("_start._v").over(W.partitionBy(*keys).orderBy(RANGE)).alias("_next")
+    joined = _attach_offsets(local, keys, starts.select(*keys, RANGE, after))
+    return joined.withColumn(name, F.coalesce(name, "_next")).drop("_next")

@@ -48,6 +48,8 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "d31_optimal_threshold": "threshold cost",
     "d32_threshold_curve": "threshold approval_rate bad_rate_approved recall precision expected_cost",
     "d33_curve_points": "threshold fpr tpr precision",
+    "d33_roc_corners": "threshold fpr tpr",
+    "d33_roc_corners_of_ties": "threshold fpr tpr",
     "d34_auc_interval": "auc se ci_low ci_high",
     "d35_paired_delong": "auc_a auc_b delta se z p_value ci_low ci_high",
     "d36_auc_table": "auc se ci_low ci_high",
@@ -80,6 +82,7 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "m10_best_candidate": "val_roc_auc",
     "m11_parsimonious_selection": "auc delta_vs_best p_holm",
     "m12_test_report": "auc_a auc_b delta p_value p_holm",
+    "m17_scoring_frame": "probability threshold",
     "m18_linear_contributions": "l_quantity l_discount l_tax",
     "o02_top_factors": "impact",
     "o03_strongest_variables": "mean_abs",

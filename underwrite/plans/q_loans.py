@@ -86,29 +86,27 @@ def whitelist(spark, sf):
     return files.whitelist(raw_loans(spark, sf), SPEC)
 
 
-@register(
-    "a03_audit_columns",
-    f"select count(*) as n, count(*) as stamped, 'orders' as source_file from ({RAW})",
-)
+@register("a03_audit_columns", f"select trim(id) as id, 'drop-' || trim(id)::bigint % 3 as dropped_in, true as stamped, loan_amnt, purpose from ({RAW})")
 def audit(spark, sf):
-    bronze = files.bronze(raw_loans(spark, sf), "orders", SPEC)
-    return bronze.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.count("ingested_ts").alias("stamped")
-    )
+    """Three folders of CSV files; every row names the file it was read from."""
+    path = scratch_path(spark, "drops")
+    rows = raw_loans(spark, sf)
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    for k in range(3):
+        rows.where(F.trim("id").cast("bigint") % 3 == k).write.options(header="true", escape='"', **keep).csv(f"{path}/drop-{k}")
+    bronze = files.bronze(files.read_loan_csv(spark, f"{path}/drop-*", rows.columns), None, SPEC)
+    folder = F.regexp_extract("source_file", "/(drop-[0-9])/[^/]*[.]csv$", 1)
+    return bronze.select(F.trim("id").alias("id"), folder.alias("dropped_in"), F.col("ingested_ts").isNotNull().alias("stamped"), "loan_amnt", "purpose")
 
 
-@register("a04_overwrite", f"select count(*) as n, count(distinct id) as ids, false as has_leakage from ({RAW})")
+@register("a04_overwrite", f"select {SOURCES} from ({RAW})")
 def overwrite(spark, sf):
-    path = scratch_path(spark, "overwrite")
+    """A table with leaking columns, replaced with its schema by the allowed ones."""
+    table = f"{fresh_database(spark, 'overwritten')}.bronze_loans"
     raw = raw_loans(spark, sf)
-    raw.select("id", "total_pymnt").write.mode("overwrite").parquet(path)
-    files.whitelist(raw, SPEC).write.mode("overwrite").parquet(path)
-    again = spark.read.parquet(path)
-    return again.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("id").alias("ids"),
-        F.lit("total_pymnt" in again.columns).alias("has_leakage"),
-    )
+    tables.overwrite_table(raw.select("id", "total_pymnt"), table)
+    tables.overwrite_table(files.whitelist(raw, SPEC), table)
+    return spark.table(table)
 
 
 @register(

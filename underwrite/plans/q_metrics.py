@@ -172,6 +172,26 @@ def curve_points(spark, sf):
     return rounded(M.curve_points(loans(spark, sf), "y", "p_a"))
 
 
+def corners_sql(points: int, source: str) -> str:
+    """Corner points of the curve over ``source``, thinned."""
+    return (
+        f"{base('p_c', '', source)}, w as (select *, lead(pos) over (order by s desc) as pos_ahead, lead(neg) over (order by s desc) as neg_ahead, lag(s) over (order by s desc) as before from r), "
+        "k as (select *, row_number() over (order by s desc) as position, count(*) over () as size from w where before is null or pos_ahead is null or pos_ahead <> pos or neg_ahead <> neg) "
+        f"select position, s as threshold, (n - nc + neg) / n as fpr, (m - pc + pos) / m as tpr from k where floor(floor((position * {points - 1} + size - 1) / size) * size / {points - 1}) = position"
+    )
+
+
+@register("d33_roc_corners", corners_sql(50, LOANS))
+def roc_corners(spark, sf):
+    return rounded(M.roc_corners(loans(spark, sf), "y", "p_c", 50))
+
+
+@register("d33_roc_corners_of_ties", corners_sql(200, LINES))
+def roc_corners_of_ties(spark, sf):
+    """Few scores with many rows each: hardly a point is on a line."""
+    return rounded(M.roc_corners(lines(spark, sf), "y", "p_c", 200))
+
+
 @register(
     "d55_nearest_threshold",
     f"with {grid_sql(M.CURVE_GRID, LOANS)} {CURVE} order by abs(threshold - 0.287), threshold limit 1",

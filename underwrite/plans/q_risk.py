@@ -16,6 +16,7 @@ from underwrite.operators import detectors as DT
 from underwrite.operators import drift as DR
 from underwrite.operators import experiment as E
 from underwrite.operators import explain as X
+from underwrite.operators import models as ML
 from underwrite.operators import monitoring as MO
 from underwrite.operators import replay as R
 from underwrite.operators.bootstrap import auc_difference
@@ -592,6 +593,30 @@ def top_factors(spark, sf):
     )
 
 
+@register(
+    "m17_scoring_frame",
+    digits=4,
+    sql=f"with {CONTRIB}, t as (select *, {TOP} as f, 1 / (1 + exp(-(cq + cd + cx - 1.5))) as p from ct), kinds as (select 'linear' as kind union all select 'tree') "
+    f"select kind, l_orderkey, l_linenumber, l_partkey, l_suppkey, p as probability, case when p >= 0.18 then 'RECHAZAR' else 'APROBAR' end as decision, {O.band('p')} as risk_band, 0.18e0 as threshold, "
+    "case when kind = 'tree' then '' else f[1].f || '|' || f[2].f || '|' || f[3].f end as features, "
+    "case when kind = 'tree' then '' else (case when f[1].v > 0 then 'aumenta_riesgo' else 'reduce_riesgo' end) || '|' || (case when f[2].v > 0 then 'aumenta_riesgo' else 'reduce_riesgo' end) || '|' || (case when f[3].v > 0 then 'aumenta_riesgo' else 'reduce_riesgo' end) end as directions "
+    "from t, kinds",
+)
+def scoring_frame(spark, sf):
+    """Batch scoring with given coefficients, and of a model without contributions: the same columns and types."""
+    keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows, parts = V.table(spark, sf, "lineitem"), line_contributions()
+    log_odds = sum(parts.values(), dec(-1.5))
+    p = dec(1) / (dec(1) + F.exp(-log_odds))
+    frames = [
+        ML.scoring_frame(rows, p, contributions, 0.18, {}, keep).select(F.lit(kind).alias("kind"), "*")
+        for kind, contributions in (("linear", parts), ("tree", {}))
+    ]
+    both = frames[0].union(frames[1])
+    listed = {name: F.array_join(F.transform("top_factors", lambda f, n=field: f[n]), "|") for name, field in (("features", "feature"), ("directions", "direction"))}
+    return rounded(both.withColumns(listed).drop("top_factors"), 4)
+
+
 @register(
     "d59_dependence_points",
     digits=4,

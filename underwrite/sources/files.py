@@ -40,8 +40,12 @@ def whitelist(raw: DataFrame, spec: LoanSpec | None = None, extra: Sequence[str]
 
 
 def with_audit(df: DataFrame, origin: str | Column | None = None) -> DataFrame:
-    """Ingestion time and source file of each row."""
-    source = F.input_file_name() if origin is None else (F.lit(origin) if isinstance(origin, str) else origin)
+    """Ingestion time and source file of each row.
+
+    Without ``origin`` the file is the source's own hidden column, so ``df`` must come straight from files: take it
+    before any shuffle.
+    """
+    source = F.col("_metadata.file_path") if origin is None else (F.lit(origin) if isinstance(origin, str) else origin)
     return df.withColumn("ingested_ts", F.current_timestamp()).withColumn("source_file", source)
 
 
