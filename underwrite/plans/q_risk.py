@@ -613,7 +613,7 @@ def scoring_frame(spark, sf):
         for kind, contributions in (("linear", parts), ("tree", {}))
     ]
     both = frames[0].union(frames[1])
-    listed = {name: F.array_join(F.transform("top_factors", lambda f, n=field: f[n]), "|") for name, field in (("features", "feature"), ("directions", "direction"))}
+    listed = {name: F.array_join(F.col(f"top_factors.{field}"), "|") for name, field in (("features", "feature"), ("directions", "direction"))}
     return rounded(both.withColumns(listed).drop("top_factors"), 4)
 
 
