@@ -13,7 +13,8 @@ has to fit into a task, and no partner is capped.
 
 Defined results: a NULL or empty text, or one of white space, has no shingles and is linked with nothing; a
 text of one to four words has one shingle; equal rows are equal documents; rows with a NULL key are kept as
-documents of their own (component NULL); an empty table gives an empty table; other columns are not read.
+documents of their own (component NULL); an id that carries different texts is one document with all their links,
+each of its rows with its own number of shingles; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -236,10 +237,33 @@ def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     return laid.groupBy("bin", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _own_nodes(docs: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of ``docs`` and ``facts``: the id, or where an id carries several texts, a hash of id and text for each.
+
+    Third, the links between the texts of one id (a, b): the id is one document, so it joins what they are near to.
+    """
+    many = facts.groupBy("id").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("id is not null and least <> most").select("id")
+    many = materialize(many, "minhash-repeated")
+    if many.isEmpty():
+        node = F.col("id").alias("node")
+        return docs.select(node, "text"), facts.select("*", node), facts.sparkSession.createDataFrame([], "a long, b long")
+
+    def named(rows: DataFrame) -> DataFrame:
+        marked = rows.join(many.withColumn("many", F.lit(True)), "id", "left")
+        return marked.withColumn("node", F.when(F.col("many"), F.col("print")).otherwise(F.col("id"))).drop("many")
+
+    own = named(facts)
+    texts = own.join(many, "id", "left_semi").select("id", "node").distinct()
+    ends = texts.groupBy("id").agg(F.min("node").alias("b"))
+    return named(docs).select("node", "text"), own, texts.join(ends, "id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id and kept of every row."""
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("node"), F.col(f"`{text}`").cast("string").alias("text"))
-    facts = materialize(common.per_slice(docs, "text", ["node"], SCHEMA, signatures), "minhash")
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = docs.select("id", F.xxhash64("id", "text").alias("print"), "text")
+    read = materialize(common.per_slice(docs, "text", ["id", "print"], SCHEMA, signatures), "minhash")
+    docs, facts, siblings = _own_nodes(docs, read)
     known = facts.where("n_shingles > 0 and node is not null")
     classes = materialize(known.groupBy("print1", "print2", "n_shingles").agg(F.min("node").alias("rep")), "minhash-classes")
     reps = known.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
@@ -252,7 +276,6 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     tested = materialize(_likely(pairs, sigs), "minhash-pairs")
     edges = materialize(confirm(tested, docs), "minhash-links")
-    # the same document may carry several sets if its key is repeated with other texts: one component
     same = known.select("node", "print1", "print2", "n_shingles").join(classes, ["print1", "print2", "n_shingles"]).where("node <> rep")
     labels = components(edges)
     named = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -262,8 +285,8 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     fresh = materialize(found.join(seen, ["a", "b"], "left_anti"), "minhash-fresh")
     edges = edges.union(materialize(confirm(fresh, docs), "minhash-links"))
-    all_edges = edges.union(same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    labels = components(all_edges)
-    out = facts.select("node", "n_shingles").join(labels, "node", "left")
-    component = F.coalesce("component", "node")
-    return out.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
+    all_edges = edges.union(same.select(F.col("node").alias("a"), F.col("rep").alias("b"))).union(siblings)
+    named = facts.select("id", "node", "n_shingles").join(components(all_edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    out = named.join(least, "component", "left")
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

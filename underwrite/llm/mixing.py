@@ -184,10 +184,12 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 def repeat(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixture itself: every row of ``df`` as often as it is taken, with the columns of ``df``.
 
-    Rows without words have no share of any target and are left out.
+    Rows without words have no share of any target and are left out. The columns travel in a struct, so they may
+    have any name.
     """
     facts = facts_of(df, key, text, source)
     plan = materialize(fit(facts.select("key", "source", "size")), "mix-fit")
-    rows = sized(df.withColumn("_mix_text", F.col(f"`{text}`")), "_mix_text", df.columns, "_mix_size")
-    out = copies(rows, plan, key, source, "_mix_size")
-    return out.where("mix_copies > 0").select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("_copy")).drop("_copy")
+    packed = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    out = copies(sized(packed, "text", ["row", "key", "source"]), plan, "key", "source", "size")
+    copy = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy")
+    return out.where("mix_copies > 0").select("row", copy).select("row.*")

@@ -404,20 +404,24 @@ def encode(
     """The columns ``keep`` and ``piece_ids`` of every row; with ``decoded``, also their text as a column of that name.
 
     Decoding where the ids arise saves a second set of Python workers, each of which would come to hold a table
-    of segmentations, as Spark hands idle workers to either step.
+    of segmentations, as Spark hands idle workers to either step. Names of results must not be kept.
     """
+    clash = {"piece_ids", *([decoded] if decoded else [])} & set(keep)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are results of encode; rename them before")
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(model))  # bounded by the vocabulary
     token = (model, dropout, seed)
-    back = [decoded] if decoded else []
-    schema = StructType([*(df.schema[c] for c in keep), StructField("piece_ids", ArrayType(IntegerType())), *(StructField(c, StringType()) for c in back)])
-    n = len(keep)
+    back = ["back"] if decoded else []
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(True).alias("row"))
+    packed = df.select(kept.alias("row"), F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType([packed.schema["row"], StructField("ids", ArrayType(IntegerType())), *(StructField(c, StringType()) for c in back)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(token, shared, dropout, seed)
         for batch in batches:
             lo = 0
-            texts, names = batch.column(n + 1), batch.column(n)
+            texts, names = batch.column(2), batch.column(1)
             length = np.cumsum(pc.coalesce(pc.binary_length(texts), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(length, (length[lo - 1] if lo else 0) + SLICE, side="right")))
@@ -425,13 +429,15 @@ def encode(
                 ids = encoder.encode_many(values.fill_null("").to_pylist(), names.slice(lo, hi - lo).fill_null("").to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=values.is_null())
-                arrays = [*(batch.column(i).slice(lo, hi - lo) for i in range(n)), column]
+                arrays = [batch.column(0).slice(lo, hi - lo), column]
                 if back:
                     arrays.append(pa.array([decode_ids(i, encoder.words) if ok else None for i, ok in zip(ids, values.is_valid().to_pylist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "piece_ids", *back])
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "ids", *back])
                 lo = hi
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{key}`").cast("string").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema)
+    out = packed.mapInArrow(run, schema)
+    results = [F.col("ids").alias("piece_ids"), *([F.col("back").alias(decoded)] if decoded else [])]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], *results)
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", into: str = "decoded", model: str = MODEL) -> DataFrame:

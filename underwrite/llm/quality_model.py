@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with the same columns."""
-    copy = docs.withColumn("_score_text", F.col(f"`{text}`"))
-    scored = common.per_slice(copy, "_score_text", docs.columns, "_score double", lambda data, bounds: {"_score": model.score(measures(data, bounds))})
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs`` that the model accepts, with the same columns, whatever their names."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
+    scored = common.per_slice(packed, "text", ["row"], "score double", lambda data, bounds: {"score": model.score(measures(data, bounds))})
+    return scored.where(F.col("score") >= threshold).select("row.*")
