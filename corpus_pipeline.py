@@ -22,10 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id; rows without an id all stay."""
+    """One document of each group of near duplicates: that with the smallest id; rows without an id all stay.
+
+    Rows equal in id and text count once; an id that carries different texts keeps each of them.
+    """
     keep = minhash.link(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
