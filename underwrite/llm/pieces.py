@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
 #: Segmentations a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 #: Longer stretches use a heap instead of a scan of their pairs.
@@ -47,6 +48,9 @@ SHORT = 48
 #: Stretches up to this length have at most 3 * (22 - 1) = 63 candidates, so one word holds their skips.
 WORD = 22
 
+#: Places of the table of pairs, as a power of two.
+SLOT_BITS = 21
+
 SPACE = "▁"
 STRETCH = re.compile(rf" *[^ \n{SPACE}]+| +|\n|{SPACE}")
 FAR = float("inf")
@@ -192,10 +196,22 @@ class Pairs:
         self.key = np.array([r[0] for r in rows], dtype=np.int64)
         self.merged = np.array([r[1] for r in rows], dtype=np.int64)
         self.rank = np.array([r[2] for r in rows], dtype=np.float64)
+        # One place of a hash table says where most keys stand; keys that share a place are searched for.
+        slots = self._slots(self.key)
+        self.table = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        self.table[slots] = np.arange(len(rows))
+        self.crowded = np.bincount(slots, minlength=1 << SLOT_BITS) > 1
+
+    @staticmethod
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        slots = self._slots(key)
+        at = self.table[slots].astype(np.int64)
+        searched = np.flatnonzero(self.crowded[slots])
+        at[searched] = np.minimum(np.searchsorted(self.key, key[searched]), len(self.key) - 1)
         hit = (self.key[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.rank[at], FAR), self.merged[at]
 
@@ -251,14 +267,21 @@ class Encoder:
     def __init__(self, words: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.words, self.seed, self.pairs = words, seed, Pairs(words)
         self.limit = int(round(dropout * 65536))
-        #: By skips met, then by stretch: the ids as bytes, and a bit for each candidate.
-        self.seen: dict[int, dict[str, tuple[bytes, int]]] = {0: {}}
-        self.known = 0
+        self.forget()
         self.code = np.full(0x110000, -1, dtype=np.int32)  # piece of a character; without one, or the space sign: -1
         for piece, i in words.ids.items():
             if len(piece) == 1:
                 self.code[ord(" " if piece == SPACE else piece)] = i
 
+    def forget(self) -> None:
+        """Start the table of segmentations anew. An entry is a stretch cut with the skips it met: a bit for each
+        candidate it had, and its ids as a range of one long array."""
+        self.plain: dict[str, int] = {}
+        #: Entry by (skips met << 32 | entry without skips).
+        self.skipped: dict[int, int] = {}
+        self.names: list[str] = []
+        self.bits, self.ends, self.ids = array("Q"), array("q"), array("i")
+
     def base(self, name: str) -> int:
         """Key of a document; the position of an occurrence is added to it."""
         return int.from_bytes(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8, key=str(self.seed).encode()).digest(), "little")
@@ -273,13 +296,8 @@ class Encoder:
             out += [raw[b] for b in piece.encode()] if known is None else [known]
         return array("i", out).tobytes()
 
-    def stretch(self, stretch: str, skips: int) -> tuple[bytes, int]:
-        """Ids of one stretch as 32-bit numbers, and a bit for each candidate it had."""
-        parts, met = _cut_short(stretch.replace(" ", SPACE), self.words.ranks, skips)
-        return self._ids(stretch, parts), ONES[met]
-
-    def _together(self, stretches: list[str], skips: np.ndarray) -> tuple[list[bytes], list[int]]:
-        """As ``stretch`` for many: ids and numbers of candidates; a row of words of skips each."""
+    def _together(self, stretches: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many stretches in a row, how many each has, and its number of candidates; a row of words of skips each."""
         sizes = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
         codes = np.full((len(stretches), int(sizes.max())), -1, dtype=np.int64)
         letters = self.code[np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), dtype="u4")]
@@ -287,27 +305,30 @@ class Encoder:
         plain = np.add.reduceat(letters < 0, np.cumsum(sizes) - sizes) == 0
         codes[~plain] = -1
         found, met = cut_many(codes, self.pairs, skips)
-        flat = found[found >= 0].astype("i4").tobytes()
-        ends = (4 * np.cumsum((found >= 0).sum(axis=1))).tolist()
-        ids, met = [flat[a:b] for a, b in zip([0, *ends], ends)], met.tolist()
-        for n in np.flatnonzero(~plain).tolist():
-            parts, met[n] = _cut_short(stretches[n].replace(" ", SPACE), self.words.ranks, int.from_bytes(skips[n].tobytes(), "little"))
-            ids[n] = self._ids(stretches[n], parts)
-        return ids, met
-
-    def remember(self, stretches: list[str], skips: list[int]) -> None:
-        """Cut what is not known yet, those of similar length together."""
-        self.known += len(stretches)
-        order = sorted(range(len(stretches)), key=list(map(len, stretches)).__getitem__)
+        flat, count = found[found >= 0].astype("i4"), (found >= 0).sum(axis=1)
+        others = np.flatnonzero(~plain)
+        if len(others):  # characters without a piece: cut one by one and put in between
+            spots, values = np.cumsum(count) - count, []
+            for n in others.tolist():
+                parts, met[n] = _cut_short(stretches[n].replace(" ", SPACE), self.words.ranks, int.from_bytes(skips[n].tobytes(), "little"))
+                values.append(self._ids(stretches[n], parts))
+            lengths = np.array([len(v) // 4 for v in values])
+            flat = np.insert(flat, np.repeat(spots[others], lengths), np.frombuffer(b"".join(values), dtype="i4"))
+            count[others] = lengths
+        return flat, count, met
+
+    def remember(self, stretches: list[str], skips: np.ndarray) -> np.ndarray:
+        """New entries for (stretch, skips), those of similar length cut together."""
+        lengths = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
+        order = np.argsort(lengths, kind="stable")
+        at = len(self.bits) + np.argsort(order)
         for lo in range(0, len(order), 4096):
             part = order[lo : lo + 4096]
-            names, met_skips = [stretches[n] for n in part], [skips[n] for n in part]
-            ids, met = self._together(names, np.array(met_skips, dtype=np.uint64)[:, None])
-            if any(met_skips):
-                for p, q, i, n in zip(names, met_skips, ids, met):
-                    self.seen.setdefault(q, {})[p] = i, ONES[n]
-            else:
-                self.seen[0].update(zip(names, zip(ids, map(ONES.__getitem__, met))))
+            flat, count, met = self._together([stretches[n] for n in part.tolist()], skips[part][:, None])
+            self.ends.extend((len(self.ids) + np.cumsum(count)).tolist())
+            self.ids.frombytes(flat.tobytes())
+            self.bits.extend(((np.uint64(1) << met.astype(np.uint64)) - np.uint64(1)).tolist())
+        return at
 
     def _long(self, stretches: list[str], keys: list[int]) -> list[bytes]:
         """Ids of stretches above ``WORD`` characters, each for the key of its occurrence."""
@@ -317,16 +338,17 @@ class Encoder:
             part = short[lo : lo + 4096]
             base = np.array([keys[n] for n in part], dtype=np.uint64)
             skips = np.column_stack([drops(base, w, self.limit) for w in range(3 * SHORT // 64 + 1)])
-            for n, ids in zip(part, self._together([stretches[n] for n in part], skips)[0]):
-                out[n] = ids
+            flat, count, _ = self._together([stretches[n] for n in part], skips)
+            for n, ids in zip(part, np.split(flat, np.cumsum(count)[:-1])):
+                out[n] = ids.tobytes()
         return out
 
     def encode_many(self, texts: list[str], names: list[str]) -> list[np.ndarray]:
         """Ids of each text; ``names`` are the document keys."""
         parts: list[str] = []
         counts, bases = [], []
-        if self.known > REMEMBERED:
-            self.seen, self.known = {0: {}}, 0
+        if len(self.bits) > REMEMBERED:
+            self.forget()
         for text, name in zip(texts, names):
             had = len(parts)
             if text:
@@ -337,35 +359,56 @@ class Encoder:
         place = np.arange(len(parts)) - np.repeat(ends - counts, counts)
         keys = mix(np.repeat(np.array(bases, dtype=np.uint64), counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         step = 1 << 14
-        drawn = [m for lo in range(0, len(parts), step) for m in drops(keys[lo : lo + step], 0, self.limit).tolist()]
-        plain = self.seen[0]
-        new = [p for p in set(parts).difference(plain) if len(p) <= WORD]
-        self.remember(new, [0] * len(new))
-        out: list[bytes] = [b""] * len(parts)
-        long, open_ = [], []
-        for n, (p, m) in enumerate(zip(parts, drawn)):
-            known = plain.get(p)
-            if known is None:
-                long.append(n)
-            elif m & known[1]:
-                open_.append((n, p, m, 0, known[1]))
-            else:
-                out[n] = known[0]
-        while open_:  # each met one more skip than those remembered so far: the first that differs
-            tried = [(n, p, m, q | (d := m & bits ^ q) & -d) for n, p, m, q, bits in open_]
-            none: dict[str, tuple[bytes, int]] = {}
-            new = list({(p, q) for _, p, _, q in tried if p not in self.seen.get(q, none)})
-            self.remember([p for p, _ in new], [q for _, q in new])
-            open_ = []
-            for n, p, m, q in tried:
-                ids, bits = self.seen[q][p]
-                if m & bits == q:
-                    out[n] = ids
-                else:
-                    open_.append((n, p, m, q, bits))
-        for n, ids in zip(long, self._long([parts[n] for n in long], keys[long].tolist())):
-            out[n] = ids
-        return [np.frombuffer(b"".join(out[e - c : e]), dtype="i4") for e, c in zip(ends.tolist(), counts)]
+        drawn = np.concatenate([np.zeros(0, np.uint64), *(drops(keys[lo : lo + step], 0, self.limit) for lo in range(0, len(parts), step))])
+
+        new = [p for p in set(parts).difference(self.plain) if len(p) <= WORD]
+        if new:
+            entries = self.remember(new, np.zeros(len(new), dtype=np.uint64))
+            self.plain.update(zip(new, entries.tolist()))
+            self.names += [""] * (len(self.bits) - len(self.names))
+            for p, n in zip(new, entries.tolist()):
+                self.names[n] = p
+        get = self.plain.get
+        word = np.array(list(map(get, parts, repeat(-1))), dtype=np.int64)
+        entry, met = word.copy(), np.zeros(len(parts), dtype=np.uint64)
+        open_ = np.flatnonzero(word >= 0)
+        while True:
+            bits = np.array(self.bits, dtype=np.uint64)
+            differ = drawn[open_] & bits[entry[open_]] ^ met[open_] if len(open_) else np.zeros(0, np.uint64)
+            open_, differ = open_[differ != 0], differ[differ != 0]
+            if not len(open_):
+                break
+            # Each met one more skip than those remembered so far: the first that differs.
+            met[open_] |= differ & (~differ + np.uint64(1))
+            entry[open_] = self._with_skips(word[open_], met[open_])
+
+        long = np.flatnonzero(word < 0)
+        apart = self._long([parts[n] for n in long.tolist()], keys[long].tolist())
+        ids, stops = np.array(self.ids, dtype="i4"), np.concatenate([[0], np.array(self.ends, dtype=np.int64)])
+        entry[long] = len(stops) - 1 + np.arange(len(long))
+        stops = np.concatenate([stops, stops[-1] + np.cumsum([len(x) // 4 for x in apart], dtype=np.int64)])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(apart), dtype="i4")])
+        starts, sizes = stops[entry], stops[entry + 1] - stops[entry]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
+        return [flat[upto[e - c] : upto[e]] for e, c in zip(ends.tolist(), counts)]
+
+    def _with_skips(self, word: np.ndarray, met: np.ndarray) -> np.ndarray:
+        """Entries of words cut with the skips they met."""
+        order = np.lexsort((met, word))
+        first = np.append(True, (word[order][1:] != word[order][:-1]) | (met[order][1:] != met[order][:-1]))
+        at = order[first]
+        names = [m << 32 | w for w, m in zip(word[at].tolist(), met[at].tolist())]
+        get = self.skipped.get
+        entries = np.fromiter((get(n, -1) for n in names), dtype=np.int64, count=len(names))
+        fresh = np.flatnonzero(entries < 0)
+        if len(fresh):
+            entries[fresh] = self.remember([self.names[w] for w in word[at[fresh]].tolist()], met[at[fresh]])
+            self.skipped.update(zip([names[n] for n in fresh.tolist()], entries[fresh].tolist()))
+            self.names += [""] * (len(self.bits) - len(self.names))
+        out = np.empty(len(word), dtype=np.int64)
+        out[order] = np.repeat(entries, np.diff(np.append(np.flatnonzero(first), len(word))))
+        return out
 
     def encode(self, text: str, key: str = "") -> np.ndarray:
         return self.encode_many([text], [key])[0]
