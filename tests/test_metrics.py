@@ -15,7 +15,7 @@ from underwrite.operators import delong as D
 from underwrite.operators import metrics as M
 from underwrite.operators.detectors import ddm
 from underwrite.operators.quantiles import exact_quantiles
-from underwrite.operators.bootstrap import auc_difference, bootstrap_interval, replicate_metrics, standard_metrics
+from underwrite.operators.bootstrap import Metric, auc_difference, bootstrap_interval, replicate_metrics, standard_metrics
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +194,53 @@ def test_a_null_key_is_a_group_of_its_own(spark, scored):
         assert sorted(map(repr, named)) == sorted(map(repr, null)) or all(
             a[c] == (pytest.approx(b[c], rel=1e-9) if isinstance(b[c], float) else b[c]) for a, b in zip(sorted(named, key=repr), sorted(null, key=repr)) for c in a
         )
+
+
+def test_roc_corners_drop_the_points_on_lines(spark):
+    draw = random.Random(6)
+    rows = [(int(draw.random() < s / 12), s / 12.0, k) for k in ("a", None) for s in range(1, 12) for _ in range(draw.randint(1, 4))]
+    rows += [(0, 2.0 + i, k) for k in ("a", None) for i in range(9)]  # a straight stretch
+    df = spark.createDataFrame(rows, "y int, p double, k string")
+    got = M.roc_corners(df, "y", "p", 1000, ["k"]).collect()
+    for key in ("a", None):
+        counts = {}
+        for y, s, k in rows:
+            if k == key:
+                counts.setdefault(s, [0, 0])[y] += 1
+        scores = sorted(counts, reverse=True)
+        fps, tps = np.cumsum([[counts[s][0], counts[s][1]] for s in scores], axis=0).T
+        turns = np.flatnonzero(np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), True])
+        points = sorted((r.fpr, r.tpr) for r in got if r.k == key)
+        want = sorted(zip(fps[turns] / fps[-1], tps[turns] / tps[-1]))
+        assert len(points) == len(want) and np.allclose(points, want)
+        assert sum(1.0 < r.threshold < 11.0 for r in got if r.k == key) < 9
+
+
+def test_draws_follow_the_poisson_law(spark):
+    """Mean, spread and the share of zeros of the weights of small and large counts over many replicates."""
+    rows = spark.createDataFrame([(1, i / 1000.0) for i in range(100)] + [(1, 0.5)] * 6 + [(1, 0.7)] * 60, "y int, p double").unionByName(
+        spark.createDataFrame([(0, 0.1)] * 3, "y int, p double")
+    )
+    size = {"w": Metric(lambda score, pos, neg, pos_cum, neg_cum, pos_all, neg_all: F.when(score == 0.7, pos).otherwise(F.lit(0.0))),
+            "six": Metric(lambda score, pos, *rest: F.when(score == 0.5, pos).otherwise(F.lit(0.0))),
+            "none": Metric(lambda score, pos, *rest: F.when((score < 0.1) & (pos == 0), F.lit(1.0)).otherwise(F.lit(0.0)))}
+    drawn = replicate_metrics(rows, "y", "p", size, 400).where("replicate > 0")
+    r = drawn.agg(F.avg("w").alias("m"), F.variance("w").alias("v"), F.avg("six").alias("m6"), F.variance("six").alias("v6"), F.avg("none").alias("zero")).first()
+    assert r.m == pytest.approx(60, abs=2) and r.v == pytest.approx(60, rel=0.3)
+    assert r.m6 == pytest.approx(6, abs=0.6) and r.v6 == pytest.approx(6, rel=0.35)
+    assert r.zero == pytest.approx(100 * math.exp(-1), abs=3)
+
+
+def test_calibration_line_says_when_there_is_none(spark):
+    flat = spark.createDataFrame([(i % 2, 0.3) for i in range(20)], "y int, p double")
+    assert A.calibration_line(flat, "y", "p").first().slope is None
+    with pytest.raises(ArithmeticError):
+        A.calibration_line(spark.createDataFrame([(int(i > 10), 0.02 + i / 30) for i in range(22)], "y int, p double"), "y", "p")
+
+
+def test_discrimination_block_by_key(scored):
+    df = scored[1].withColumn("k", F.when(F.col("id") % 2 == 0, "even"))
+    rows = A.discrimination_block(df, "y", "strong", 60, ["k"]).collect()
+    assert {r.k for r in rows} == {"even", None}
+    for r in rows:
+        assert r.ks_ci_low < r.ks < r.ks_ci_high and r.pr_auc_ci_low < r.pr_auc < r.pr_auc_ci_high and r.auc_ci_low < r.auc < r.auc_ci_high

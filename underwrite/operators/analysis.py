@@ -86,31 +86,48 @@ def calibration_line(
     """Slope and intercept of the outcome on the score's log-odds.
 
     Newton steps on label counts per distinct score, written once and then read per step; each
-    step brings five sums to the driver.
+    step brings five sums to the driver. Steps that would lower the likelihood are halved. Without a spread of scores
+    or without both outcomes there is no line: slope and intercept are NULL. A fit that has not settled after
+    ``iterations`` steps raises.
     """
     logit = F.log(F.col("score") / (dec(1) - F.col("score")))
     counts = materialize(
         calibration_counts(df, label, score).select(logit.alias("x"), "pos", "neg"), "calibration"
     )
-    intercept, slope = 0.0, 1.0
-    for _ in range(iterations):
-        fitted = dec(1) / (dec(1) + F.exp(-(dec(intercept) + dec(slope) * F.col("x"))))
-        size = F.col("pos") + F.col("neg")
+    size, x = F.col("pos") + F.col("neg"), F.col("x")
+
+    def sums(intercept: float, slope: float) -> tuple[float, ...]:
+        z = dec(intercept) + dec(slope) * x
+        fitted = dec(1) / (dec(1) + F.exp(-z))
         residual, weight = F.col("pos") - size * fitted, size * fitted * (1 - fitted)
-        x = F.col("x")
-        g0, g1, h00, h01, h11 = counts.agg(
-            F.sum(residual), F.sum(residual * x), F.sum(weight), F.sum(weight * x), F.sum(weight * x * x)
+        # log(1 + exp(z)) without overflow
+        loss = size * (F.greatest(z, dec(0)) + F.log1p(F.exp(-F.abs(z)))) - F.col("pos") * z
+        return counts.agg(
+            F.sum(residual), F.sum(residual * x), F.sum(weight), F.sum(weight * x), F.sum(weight * x * x), F.sum(loss), F.sum("pos"), F.sum("neg")
         ).first()
+
+    intercept, slope = 0.0, 1.0
+    now = sums(intercept, slope)
+    known = bool(now[6] and now[7]) and counts.agg(F.min("x") < F.max("x")).first()[0]
+    settled = not known
+    for _ in range(iterations if known else 0):
+        g0, g1, h00, h01, h11 = now[:5]
         det = h00 * h11 - h01 * h01
-        if not det:
+        if det <= 0:
             break
         up0, up1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-        intercept, slope = intercept + up0, slope + up1
-        if math.hypot(up0, up1) < tolerance:
+        settled = math.hypot(up0, up1) < tolerance
+        then = sums(intercept + up0, slope + up1)
+        while not settled and then[5] > now[5] and math.hypot(up0, up1) > tolerance:
+            up0, up1 = up0 / 2, up1 / 2
+            then = sums(intercept + up0, slope + up1)
+        intercept, slope, now = intercept + up0, slope + up1, then
+        if settled:
             break
-    return counts.agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).select(
-        "n", dec(slope).alias("slope"), dec(intercept).alias("intercept")
-    )
+    if not settled:
+        raise ArithmeticError(f"the calibration line has not settled after {iterations} steps (intercept {intercept:.4g}, slope {slope:.4g})")
+    line = [dec(v) if known else F.lit(None).cast("double") for v in (slope, intercept)]
+    return counts.agg(F.sum(size).alias("n")).select("n", line[0].alias("slope"), line[1].alias("intercept"))
 
 
 def calibration_verdict(spiegelhalter_p: Column, intercept: Column, mean_pd: Column, observed: Column) -> Column:

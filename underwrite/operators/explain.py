@@ -99,3 +99,14 @@ def dependence_points(
     """(feature, value, contribution) rows up to the ``share`` quantile of each feature's value."""
     limit = exact_quantiles(points, [feature], value, [share]).select(feature, F.element_at("q", 1).alias("_hi"))
     return attach(points, limit, [feature], ["_hi"]).filter(F.col(value) <= F.col("_hi")).drop("_hi")
+
+
+def strongest_dependence(df: DataFrame, contributions: Mapping[str, Column], numeric: Sequence[str], top: int = 3, share: float = 0.99) -> DataFrame:
+    """(feature, value, contribution) of the ``top`` strongest numeric variables, up to the ``share`` quantile of their value.
+
+    The names of the strongest, at most ``top``, decide which columns are unfolded.
+    """
+    known = {n: contributions[n] for n in numeric if n in contributions}
+    names = [r["feature"] for r in global_importance(df, known, top).collect()]
+    pairs = [F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"), known[n].alias("contribution")) for n in names]
+    return dependence_points(df.select(F.explode(F.array(*pairs)).alias("r")).select("r.*"), share=share)

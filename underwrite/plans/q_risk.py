@@ -620,23 +620,13 @@ def scoring_frame(spark, sf):
 @register(
     "d59_dependence_points",
     digits=4,
-    sql=f"with {CONTRIB}, q as (select quantile_cont(l_quantity, 0.99) as a, quantile_cont(l_discount, 0.99) as b from ct) "
-    "select 'l_quantity' as feature, count(*) as n, sum(l_quantity) as total, sum(cq) as contribution from ct, q where l_quantity <= a union all "
-    "select 'l_discount', count(*), sum(l_discount), sum(cd) from ct, q where l_discount <= b",
+    sql=f"with {CONTRIB}, lo as (select 'l_quantity' as feature, l_quantity as value, cq as contribution from ct union all select 'l_discount', l_discount, cd from ct union all select 'l_tax', l_tax, cx from ct), "
+    "st as (select feature from lo group by feature order by avg(abs(contribution)) desc, feature limit 2), q as (select feature, quantile_cont(value, 0.99) as top from lo group by feature) "
+    "select lo.feature, count(*) as n, sum(value) as total, sum(contribution) as contribution from lo join st on st.feature = lo.feature join q on q.feature = lo.feature where value <= top group by lo.feature",
 )
 def dependence_points(spark, sf):
-    parts = line_contributions()
-    rows = V.table(spark, sf, "lineitem").select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), parts[n].alias("contribution"))
-                    for n in ("l_quantity", "l_discount")
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
-    kept = X.dependence_points(rows)
+    """Points of the two variables that matter most."""
+    kept = X.strongest_dependence(V.table(spark, sf, "lineitem"), line_contributions(), ["l_quantity", "l_discount", "l_tax"], 2)
     return rounded(
         kept.groupBy("feature").agg(
             F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum("contribution").alias("contribution")
