@@ -42,6 +42,18 @@ def pairwise_comparison(
     return adjusted.withColumn("interpretation", reading)
 
 
+def test_report(df: DataFrame, label: Column | str, scores: Sequence[str], rules: SelectionRules | None = None) -> DataFrame:
+    """Evidence of the test period in one table: section ``auc`` has every model (a scorecard is one more score) with
+    its interval, section ``pair`` every pair with its adjusted p-value and reading. Nothing is decided with it."""
+    singles = auc_table(df, label, scores).select(
+        F.lit("auc").alias("section"), F.col("model").alias("model_a"), F.col("auc").alias("auc_a"), "ci_low", "ci_high", F.col("n").alias("n_rows")
+    )
+    pairs = pairwise_comparison(df, label, scores, rules=rules).select(
+        F.lit("pair").alias("section"), "model_a", "model_b", "auc_a", "auc_b", "delta", "ci_low", "ci_high", "p_value", "p_holm", "interpretation"
+    )
+    return singles.unionByName(pairs, allowMissingColumns=True)
+
+
 def eligible(bench: DataFrame, gates: QualityGates | None = None, gap: str = "val_auc_gap") -> DataFrame:
     """Candidates inside the latency and overfit gates, or all of them when none is."""
     gates = gates or QualityGates()

@@ -81,7 +81,7 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "m09_eligible_candidates": "val_roc_auc val_auc_gap latency_ms",
     "m10_best_candidate": "val_roc_auc",
     "m11_parsimonious_selection": "auc delta_vs_best p_holm",
-    "m12_test_report": "auc_a auc_b delta p_value p_holm",
+    "m12_test_report": "auc_a auc_b delta ci_low ci_high p_value p_holm",
     "m17_scoring_frame": "probability threshold",
     "m18_linear_contributions": "l_quantity l_discount l_tax",
     "o02_top_factors": "impact",

@@ -584,13 +584,17 @@ def parsimonious_selection(spark, sf):
     return rounded(CMP.select_parsimonious(loans(spark, sf), "y", MODELS, {"p_a": 3, "p_b": 2}))
 
 
+LONG_LOANS = f"(select y, unnest(['p_a', 'p_b', 'p_c']) as model, unnest([p_a, p_b, p_c]) as p from ({LOANS}))"
+
+
 @register(
     "m12_test_report",
-    f"with {PAIRWISE} select model_a, model_b, auc_a, auc_b, delta, p_value, p_holm, {READING} as interpretation from hh",
+    f"select * from (with {PAIRWISE} select 'pair' as section, model_a, model_b, auc_a, auc_b, delta, ci_low, ci_high, p_value, p_holm, {READING} as interpretation, null::bigint as n_rows from hh) "
+    f"union all by name select * from ({base('p', 'model', LONG_LOANS)}, {O.delong('model')} select 'auc' as section, model as model_a, auc as auc_a, greatest(auc - {Z} * se, 0) as ci_low, least(auc + {Z} * se, 1) as ci_high, n_rows from d)",
 )
 def test_report(spark, sf):
-    columns = ["model_a", "model_b", "auc_a", "auc_b", "delta", "p_value", "p_holm", "interpretation"]
-    return rounded(CMP.pairwise_comparison(loans(spark, sf), "y", MODELS).select(*columns))
+    """AUC table and all pairs of three models."""
+    return rounded(CMP.test_report(loans(spark, sf), "y", MODELS))
 
 
 GATE_ROWS = (
