@@ -93,6 +93,7 @@ DOUBLE_COLUMNS: dict[str, str] = {
     "p10_monitoring_drift": "psi ks_statistic ks_pvalue null_rate_ref null_rate_cur mean_ref mean_cur",
     "p10_monitoring_run": "prediction_psi roc_auc ks brier auc_drop default_rate_observed default_rate_predicted page_hinkley_statistic",
     "p11_arm_aggregates": "approval_rate bad_rate_approved",
+    "p12_experiment_verdict": "approval_rate_champion approval_rate_challenger bad_rate_approved_champion bad_rate_approved_challenger auc_champion auc_challenger auc_diff ci_low ci_high p_value bad_rate_z bad_rate_pvalue months_running",
     "p13_comparable_population": "total",
     "p15_variant_fallback": "probability",
     "t01_tumbling_windows": "mean_value error_rate",

@@ -919,20 +919,44 @@ def arm_aggregates(spark, sf):
     return rounded(E.arm_summary(population(spark, sf)))
 
 
-@register(
-    "d40_bootstrap_difference",
-    f"with {POPULATION}, {O.bootstrap('pop', 'actual_default', 'probability', 500, 'variant')}, "
+DIFFERENCE = (
+    f"{O.bootstrap('pop', 'actual_default', 'probability', 500, 'variant')}, "
     f"ba as (select variant, r, {O.BOOTSTRAP_METRICS['roc_auc']} as auc from bs group by all), "
-    "bf as (select r, max(auc) filter (where variant = 'challenger') - max(auc) filter (where variant = 'champion') as v from ba group by r) "
-    "select max(v) filter (where r = 0) as auc_diff, quantile_cont(v, 0.025) filter (where r > 0) as ci_low, quantile_cont(v, 0.975) filter (where r > 0) as ci_high, "
-    "avg((v <= 0)::int) filter (where r > 0) as p_value from bf",
+    "bf as (select r, max(auc) filter (where variant = 'challenger') - max(auc) filter (where variant = 'champion') as v from ba group by r), "
+    "gain as (select max(v) filter (where r = 0) as auc_diff, quantile_cont(v, 0.025) filter (where r > 0) as ci_low, quantile_cont(v, 0.975) filter (where r > 0) as ci_high, "
+    "avg((v <= 0)::int) filter (where r > 0) as p_value from bf)"
 )
+
+
+@register("d40_bootstrap_difference", f"with {POPULATION}, {DIFFERENCE} select * from gain")
 def bootstrap_difference(spark, sf):
     rows = population(spark, sf)
     return rounded(auc_difference(rows, "actual_default", "probability", "variant", "champion", "challenger", 500))
 
 
-@register("p12_experiment_verdict")
+def _arm(name: str, rule: str) -> str:
+    return ", ".join(f"{rule.format(arm=arm)} as {name}_{arm}" for arm in ("champion", "challenger"))
+
+
+VERDICT_SQL = (
+    f"with {POPULATION}, {DIFFERENCE}, {O.counted('pop', 'actual_default', 'probability', 'variant')}, {O.delong('variant')}, "
+    "ar as (select variant, count(*) as n, count(*) filter (where decision = 'APROBAR') as approved, sum(case when decision = 'APROBAR' then actual_default else 0 end)::bigint as bad from pop group by variant), "
+    f"wide as (select {_arm('n', "max(n) filter (where variant = '{arm}')")}, {_arm('approved', "max(approved) filter (where variant = '{arm}')")}, "
+    f"{_arm('approval_rate', "max(approved / n) filter (where variant = '{arm}')")}, {_arm('bad_approved', "max(bad) filter (where variant = '{arm}')")}, "
+    f"{_arm('bad_rate_approved', "max(bad / greatest(approved, 1)) filter (where variant = '{arm}')")} from ar), "
+    f"aw as (select {_arm('auc', "max(auc) filter (where variant = '{arm}')")} from d), "
+    "pz as (select *, (bad_approved_challenger + bad_approved_champion) / (approved_challenger + approved_champion) as pooled from wide, aw, gain), "
+    "zz as (select *, case when least(approved_challenger, approved_champion) = 0 then null when pooled in (0, 1) then 0 else (bad_approved_challenger / approved_challenger - bad_approved_champion / approved_champion) "
+    "/ sqrt(pooled * (1 - pooled) * (1.0e0 / approved_challenger + 1.0e0 / approved_champion)) end as bad_rate_z from pz), "
+    f"tt as (select * exclude (pooled), {O.tail('bad_rate_z')} as bad_rate_pvalue, 1.0e0 as months_running from zz), "
+    "hh as (select *, coalesce(bad_rate_z > 0 and bad_rate_pvalue < 0.05, false) as harm from tt) "
+    "select * exclude (harm), case when least(n_champion, n_challenger) < 500 then 'continuar' when ci_low > 0 and p_value < 0.05 and not harm then 'promover' when ci_high < 0 or harm or months_running >= 6 then 'detener' else 'continuar' end as decision, "
+    "case when least(n_champion, n_challenger) < 500 then 'muestra insuficiente por brazo' when ci_low > 0 and p_value < 0.05 and not harm then 'challenger superior con significancia' when ci_high < 0 or harm then 'challenger inferior o dañino para el negocio' "
+    "when months_running >= 6 then 'sin diferencia significativa al cierre del test' else 'aún sin significancia' end as reason from hh"
+)
+
+
+@register("p12_experiment_verdict", VERDICT_SQL)
 def experiment_verdict(spark, sf):
     """Full evaluation; its interval comes from bootstrap draws."""
     rows = population(spark, sf)
