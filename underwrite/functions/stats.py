@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,8 +48,52 @@ def two_proportion_z(x1: Column | str, n1: Column | str, x2: Column | str, n2: C
     return F.when(F.least(m, n) > 0, F.when(se == 0, dec(0)).otherwise(z))
 
 
-def ks_p_value(distance: Column | str, n1: Column | str, n2: Column | str, terms: int = 100) -> Column:
-    """Asymptotic two-sample Kolmogorov tail from the distance and both sample sizes."""
+#: Both samples of at most this many values have the exact law of the distance.
+KS_EXACT_ROWS = 10_000
+
+
+def ks_p_value(distance: Column | str, n1: Column | str, n2: Column | str, terms: int = 100, exact_rows: int = KS_EXACT_ROWS) -> Column:
+    """Two-sample Kolmogorov tail from the distance and both sample sizes: the exact law while no sample has more
+    than ``exact_rows`` values, the asymptotic one above. Callers pass one row per feature; NULL stays NULL.
+
+    Every order of the n + m values is equally likely, so the values arrive one by one and belong to the first
+    sample with chance (left of it) / (left of both). ``inside`` holds the chances of having seen x values of the
+    first sample without having reached the distance; what reaches it at a step is added up, so small tails keep
+    their digits.
+    """
+
+    def tail(apart: float, n: int, m: int) -> float:
+        size, limit = n + m, round(apart * n * m)
+        inside, low, high, reached = np.zeros(n + 2), 0, 0, 0.0
+        inside[0] = 1.0
+        for t in range(size):
+            x = np.arange(low, high + 1)
+            first = inside[low : high + 1] * (n - x) / (size - t)
+            inside[low : high + 1] *= (m - t + x) / (size - t)
+            inside[low + 1 : high + 2] += first
+            # x stays while |x / n - y / m| < distance, with y = t + 1 - x
+            least = max(low, ((t + 1) * n - limit) // size + 1)
+            most = min(high + 1, n, -((-(t + 1) * n - limit) // size) - 1)
+            if least > most:
+                return 1.0
+            reached += inside[low:least].sum() + inside[most + 1 : high + 2].sum()
+            inside[low:least] = 0.0
+            inside[most + 1 : high + 2] = 0.0
+            low, high = least, most
+        return min(float(reached), 1.0)
+
+    def exact(distances: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        rows = zip(distances, left, right, strict=True)
+        known = [tail(d, int(min(a, b)), int(max(a, b))) if d == d and 0 < min(a, b) and max(a, b) <= exact_rows else None for d, a, b in rows]
+        return pd.Series(known, dtype="float64")
+
+    d, m, n = (col(c).cast("double") for c in (distance, n1, n2))
+    small = F.pandas_udf(exact, T.DoubleType())(d, m, n)
+    return F.when(F.greatest(m, n) <= exact_rows, small).otherwise(asymptotic_ks_tail(d, m, n, terms))
+
+
+def asymptotic_ks_tail(distance: Column | str, n1: Column | str, n2: Column | str, terms: int = 100) -> Column:
+    """Limit of the tail for large samples."""
     d, m, n = (col(c).cast("double") for c in (distance, n1, n2))
     scaled = d * F.sqrt(F.try_divide(m * n, m + n))
 

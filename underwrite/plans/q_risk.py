@@ -222,10 +222,15 @@ def stability_index(spark, sf):
 KS_SQL = (
     "kc as (select feature, value, count(*) filter (where side = 0) as a, count(*) filter (where side = 1) as b from (select 0 as side, * from o union all select 1, * from n) group by all), "
     "kr as (select feature, sum(a) over w / sum(a) over (partition by feature) as fa, sum(b) over w / sum(b) over (partition by feature) as fb, sum(a) over (partition by feature) as n1, sum(b) over (partition by feature) as n2 "
-    "from kc window w as (partition by feature order by value)), ks as (select feature, max(abs(fa - fb)) as ks_statistic, max(n1)::bigint as n1, max(n2)::bigint as n2 from kr group by 1)"
+    "from kc window w as (partition by feature order by value)), ks as (select feature, max(abs(fa - fb)) as ks_statistic, max(n1)::bigint as n1, max(n2)::bigint as n2 from kr group by 1), "
+    # exact law of small samples: values arrive one by one, states that reach the distance go no further
+    "kx as (with recursive walk as (select feature, least(n1, n2) as n, n1 + n2 as size, round(ks_statistic * n1 * n2)::bigint as lim, 0::bigint as t, 0::bigint as x, 1.0e0 as w "
+    "from ks where greatest(n1, n2) <= 10000 union all select feature, n, size, lim, t + 1, x + k, sum(w * (case k when 1 then n - x else size - n - t + x end) / (size - t)) "
+    "from walk, (values (0), (1)) s(k) where t < size and abs(x * size - t * n) < lim and (case k when 1 then n - x else size - n - t + x end) > 0 group by feature, n, size, lim, t + 1, x + k) "
+    "select feature, least(1.0e0, coalesce(sum(w) filter (where abs(x * size - t * n) >= lim), 0)) as p from walk group by 1)"
 )
 KS_P = (
-    "case when sqrt(n1 * n2 * 1.0 / (n1 + n2)) * ks_statistic < 0.2 then 1.0 else greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: "
+    "case when greatest(n1, n2) <= 10000 then (select kx.p from kx where kx.feature = ks.feature) when sqrt(n1 * n2 * 1.0 / (n1 + n2)) * ks_statistic < 0.2 then 1.0 else greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: "
     "case when k % 2 = 1 then 1 else -1 end * exp(-2.0 * k * k * ks_statistic * ks_statistic * n1 * n2 / (n1 + n2)))))) end"
 )
 
