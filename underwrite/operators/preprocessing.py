@@ -12,7 +12,7 @@ from underwrite.config import DERIVED_FEATURES, MISSING, OTHER, LoanSpec
 from underwrite.functions.decisions import traffic_bucket
 from underwrite.functions.parsing import dec
 from underwrite.operators.quality import category_shares
-from underwrite.operators.quantiles import exact_quantiles
+from underwrite.operators.quantiles import quantiles_of_counts
 from underwrite.operators.scan import top_per_key
 
 
@@ -22,17 +22,33 @@ def long_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     return typed.unpivot(list(keep), list(columns), "feature", "value")
 
 
+def numeric_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, median, null_share) from one frame of value counts, so the rows are read once.
+
+    The median of a column without values is 0, its null share over no rows at all NULL. NaN counts as a value of
+    the share, not of the median.
+    """
+    value = F.when(~F.isnan("value"), F.col("value"))
+    counts = long_numeric(df, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("_known"))
+    # on a result of the aggregation the filter stays above it, and both branches share its exchange
+    known = counts.filter("_known > 0").select("feature", "value", "n")
+    found = quantiles_of_counts(known, ["feature"], "value", [0.5]).select("feature", F.element_at("q", 1).alias("median"))
+    empty = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+    shares = counts.groupBy("feature").agg((empty / F.sum("n").cast("double")).alias("null_share"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    joined = names.join(F.broadcast(shares), "feature", "left").join(F.broadcast(found), "feature", "left")
+    return joined.select("feature", F.coalesce("median", dec(0)).alias("median"), "null_share")
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, median) with 0 for a column without values."""
-    long = long_numeric(df, columns)
-    found = exact_quantiles(long, ["feature"], "value", [0.5]).select("feature", F.element_at("q", 1).alias("median"))
-    names = long.groupBy("feature").agg(F.count("value").alias("n"))
-    return names.join(found, "feature", "left").select("feature", F.coalesce("median", dec(0)).alias("median"))
+    return numeric_facts(df, columns).select("feature", "median")
 
 
 def null_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    empty = F.when(F.col("value").isNull(), dec(1)).otherwise(dec(0))
-    return long_numeric(df, columns).groupBy("feature").agg(F.avg(empty).alias("null_share"))
+    """(feature, null_share): one wide aggregate, no shuffle of rows."""
+    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    return shares.unpivot([], list(columns), "feature", "null_share")
 
 
 @dataclass
@@ -51,9 +67,10 @@ class Preprocessor:
         return self.spec.numeric_names + list(DERIVED_FEATURES)
 
     def fit(self, features: DataFrame) -> Preprocessor:
-        self.medians = {r["feature"]: r["median"] for r in medians(features, self.numeric_columns).collect()}
-        shares = {r["feature"]: r["null_share"] for r in null_shares(features, self.spec.numeric_names).collect()}
-        self.indicators = [n for n in self.spec.numeric_names if shares[n] >= self.min_missing_share]
+        facts = {r["feature"]: r for r in numeric_facts(features, self.numeric_columns).collect()}
+        self.medians = {n: facts[n]["median"] for n in self.numeric_columns}
+        shares = {n: facts[n]["null_share"] for n in self.spec.numeric_names}
+        self.indicators = [n for n, share in shares.items() if share is not None and share >= self.min_missing_share]
         kept = category_shares(features, self.spec.categorical_names, MISSING, self.min_category_share)
         self.vocabulary = {n: [] for n in self.spec.categorical_names}
         for row in kept.select("feature", "value").collect():
