@@ -12,7 +12,7 @@ from underwrite.plans import views as V
 from underwrite.plans.q_loans import SPEC, _error_sql, raw_loans
 from underwrite.plans.q_risk import DDM_SQL, PH_SQL
 from underwrite.plans.registry import register, rounded
-from underwrite.session import scratch_path
+from underwrite.session import parallelism, scratch_path
 from underwrite.streaming import detectors as SD
 from underwrite.streaming import sinks as SK
 from underwrite.streaming import windows as SW
@@ -181,8 +181,11 @@ def late_labels(spark, sf):
 def streaming_decisions(spark, sf):
     """Validation and policy on a stream of parsed applications; invalid rows are quarantined."""
     path = scratch_path(spark, "raw-parts")
-    raw_loans(spark, sf).repartition(3).write.parquet(path)
-    raw = SW.file_stream(spark, path, spark.read.parquet(path).schema, 1)
+    files = parallelism(spark)
+    loans = raw_loans(spark, sf)
+    # One file is read by one task, so each of the three micro-batches takes as many files as the session has partitions.
+    loans.repartition(3 * files).write.parquet(path)
+    raw = SW.file_stream(spark, path, loans.schema, files)
     decided = SK.decisions(parse_loans(raw, SPEC), F.col("fico_score") / 4000, C.CreditPolicy().default_threshold)
     good, held = scratch_path(spark, "decided"), scratch_path(spark, "quarantine")
     SW.wait(SK.route(decided, good, held, scratch_path(spark, "decided-state")))

@@ -86,12 +86,16 @@ def decisions(requests: DataFrame, probability: Column, threshold: float, id_col
 
 
 def route(df: DataFrame, good: str, quarantine: str, checkpoint: str, rule: Callable[[], Column] | None = None) -> StreamingQuery:
-    """Decided rows to ``good``, rows with errors to ``quarantine``."""
+    """Decided rows to ``good``, rows with errors to ``quarantine``; a batch is decided once for both."""
     broken = rule() if rule else F.size("errors") > 0
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.filter(~broken).write.mode("overwrite").parquet(f"{good}/batch={number}")
-        batch.filter(broken).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        batch.persist()
+        try:
+            batch.filter(~broken).write.mode("overwrite").parquet(f"{good}/batch={number}")
+            batch.filter(broken).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return (
         df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
