@@ -44,3 +44,14 @@ def test_applications_arrive_in_several_files_a_batch(spark, sf, monkeypatch):
     q_streaming.streaming_decisions(spark, sf)
     assert len(glob.glob(f"{paths['raw-parts']}/*.parquet")) > 3
     assert len(glob.glob(f"{paths['decided']}/batch=*")) == 3
+
+
+def test_a_part_arrives_whole_from_several_writers(spark):
+    rows = spark.range(0, 900, 1, 5).select("id", (F.col("id") % 3).alias("part"))
+    log, state = scratch_path(spark, "arrival-log"), scratch_path(spark, "arrival-state")
+    for stream in q_streaming.arrivals(rows, [F.col("part") == i for i in range(3)], "arrival-test"):
+        SW.wait(SK.log_sink(stream, log, rows.schema, state))
+    batches = [spark.read.parquet(f"{log}/batch={i}") for i in range(3)]
+    assert [(b.count(), {r["part"] for r in b.collect()}) for b in batches] == [(300, {i}) for i in range(3)]
+    assert not glob.glob(f"{log}/batch=3")
+    assert all(len(b.inputFiles()) > 1 for b in batches)

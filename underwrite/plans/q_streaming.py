@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from underwrite import config as C
@@ -24,20 +27,25 @@ def event_stream(spark: SparkSession, sf: str, name: str = "events") -> DataFram
     return SW.file_stream(spark, f"{sf}/{name}*.parquet", schema)
 
 
-def parts_stream(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
-    """The events as several files in time order, one per micro-batch.
+def arrivals(rows: DataFrame, parts: Sequence[Column], name: str) -> Iterator[DataFrame]:
+    """The stream of a folder each time another part of ``rows`` has arrived there.
 
-    The source takes files by modification time, so the slices are written one after the other.
+    A sink run on every one of them takes the new part, however many files and writers it has, as one micro-batch.
     """
-    path = scratch_path(spark, "event-parts")
+    path = scratch_path(rows.sparkSession, name)
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(path)
+        yield SW.file_stream(rows.sparkSession, path, rows.schema)
+
+
+def event_arrivals(spark: SparkSession, sf: str, parts: int = 4) -> Iterator[DataFrame]:
+    """The events in equal stretches of time, one per micro-batch."""
     rows = V.table(spark, sf, "events")
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * i / parts for i in range(1, parts)]
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if low is None else rows.filter(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
-        part = part if high is None else part.filter(F.col("ts") < F.lit(high).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return SW.file_stream(spark, path, rows.schema, 1)
+    at, edges = F.col("ts"), [F.lit(cut).cast("timestamp_ntz") for cut in cuts]
+    inner = [(at >= low) & (at < high) for low, high in zip(edges, edges[1:])]
+    return arrivals(rows, [at < edges[0], *inner, at >= edges[-1]], "event-parts")
 
 
 ERROR = "sum(case when event_type = 'error' then 1.0e0 else 0.0e0 end) / count(*)"
@@ -85,11 +93,14 @@ def delayed_label_join(spark, sf):
     return SW.run_once(joined, "labels").select("request_id", "actual_default")
 
 
-def alerts_of(stream: DataFrame, detector: str) -> DataFrame:
-    """Run a detector to the end of a stream and read its alerts."""
-    alerts, state, checkpoint = (scratch_path(stream.sparkSession, f"{detector}-{part}") for part in ("alerts", "state", "checkpoint"))
-    SW.wait(SD.detector_sink(stream, detector, alerts, state, checkpoint))
-    return SD.read_alerts(stream, alerts)
+def alerts_of(spark: SparkSession, streams: Iterator[DataFrame], values: dict[str, Column], key: str, ts: str, id_: str) -> DataFrame:
+    """Run each detector on its value whenever rows have arrived, and read the alerts of all."""
+    paths = {name: [scratch_path(spark, f"{name}-{part}") for part in ("alerts", "state", "checkpoint")] for name in values}
+    for stream in streams:
+        for name, value in values.items():
+            SW.wait(SD.detector_sink(SD.detector_input(stream.withColumn("x", value), key, ts, id_, "x"), name, *paths[name]))
+    found = [SD.read_alerts(stream, alerts) for alerts, _, _ in paths.values()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @register(
@@ -102,10 +113,8 @@ def alerts_of(stream: DataFrame, detector: str) -> DataFrame:
 )
 def stateful_detectors(spark, sf):
     """First warning and drift of each event type, state carried across micro-batches."""
-    rows = parts_stream(spark, sf)
-    error = SD.detector_input(rows.withColumn("x", (F.col("value") > 60).cast("double")), "event_type", "ts", "event_id", "x")
-    climbed = SD.detector_input(rows.withColumn("x", F.col("value") / 50), "event_type", "ts", "event_id", "x")
-    return rounded(alerts_of(error, "ddm").unionByName(alerts_of(climbed, "page_hinkley")))
+    values = {"ddm": (F.col("value") > 60).cast("double"), "page_hinkley": F.col("value") / 50}
+    return rounded(alerts_of(spark, event_arrivals(spark, sf), values, "event_type", "ts", "event_id"))
 
 
 @register(
@@ -116,15 +125,12 @@ def stateful_detectors(spark, sf):
 )
 def hot_key(spark, sf):
     """Most rows belong to one key; its micro-batches are still walked range by range."""
-    path = scratch_path(spark, "line-parts")
     rows = V.table(spark, sf, "lineitem").select(
         F.when(F.col("l_linenumber") == 1, "rare").otherwise("hot").alias("key"), F.col("l_shipdate").alias("ts"),
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("id"), (F.col("l_returnflag") == "R").cast("double").alias("value"),
     )
-    for part in ("ts < date'1996-07-01'", "ts >= date'1996-07-01' and ts < date'1998-01-01'", "ts >= date'1998-01-01'"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = SD.detector_input(SW.file_stream(spark, path, rows.schema, 1), "key", "ts", "id", "value")
-    return rounded(alerts_of(stream, "ddm").drop("detector"))
+    parts = [F.expr(part) for part in ("ts < date'1996-07-01'", "ts >= date'1996-07-01' and ts < date'1998-01-01'", "ts >= date'1998-01-01'")]
+    return rounded(alerts_of(spark, arrivals(rows, parts, "line-parts"), {"ddm": F.col("value")}, "key", "ts", "id").drop("detector"))
 
 
 @register("t05_idempotent_requests", "select user_id, event_type, count(*) as copies from (select distinct user_id, event_type from events) group by all")
@@ -139,12 +145,13 @@ def idempotent_requests(spark, sf):
     "select event_id as request_id, cast(user_id as varchar) as loan_id, value / 500 as probability, cast(null as varchar) as decision from events",
 )
 def micro_batch_log(spark, sf):
-    rows = parts_stream(spark, sf).select(
-        F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("loan_id"), (F.col("value") / 500).alias("probability"), "props"
-    )
     shape = spark.createDataFrame([], "request_id bigint, loan_id string, probability double, decision string").schema
-    path = scratch_path(spark, "log")
-    SW.wait(SK.log_sink(rows, path, shape, scratch_path(spark, "log-state")))
+    path, state = scratch_path(spark, "log"), scratch_path(spark, "log-state")
+    for stream in event_arrivals(spark, sf):
+        rows = stream.select(
+            F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("loan_id"), (F.col("value") / 500).alias("probability"), "props"
+        )
+        SW.wait(SK.log_sink(rows, path, shape, state))
     return rounded(spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path))
 
 
