@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from underwrite.plans import q_streaming
 from underwrite.session import scratch_path
+from underwrite.streaming import detectors as SD
 from underwrite.streaming import sinks as SK
 from underwrite.streaming import windows as SW
 
@@ -55,3 +56,17 @@ def test_a_part_arrives_whole_from_several_writers(spark):
     assert [(b.count(), {r["part"] for r in b.collect()}) for b in batches] == [(300, {i}) for i in range(3)]
     assert not glob.glob(f"{log}/batch=3")
     assert all(len(b.inputFiles()) > 1 for b in batches)
+
+
+@pytest.mark.parametrize("detector", ["ddm", "page_hinkley"])
+def test_a_batch_is_walked_once_for_alerts_and_state(spark, detector, monkeypatch):
+    same, walked = counted(spark, "long")
+    rows = spark.range(400).select(F.lit("k").alias("key"), F.timestamp_seconds("id").alias("ts"), "id", (F.col("id") > 300).cast("double").alias("value"))
+    name = f"{detector}_rows"
+    plain = getattr(SD.DT, name)
+    monkeypatch.setattr(SD.DT, name, lambda *args: plain(*args).withColumn("n", same("n")))
+    alerts, state, checkpoint = (scratch_path(spark, f"{detector}-once-{part}") for part in ("alerts", "state", "checkpoint"))
+    SW.wait(SD.detector_sink(stream_of(spark, rows), detector, alerts, state, checkpoint))
+    kept = spark.read.parquet(f"{state}/batch=0").collect()
+    assert [(r["key"], r["n"]) for r in kept] == [("k", 400)]
+    assert walked.value == 400

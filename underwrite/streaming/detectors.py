@@ -3,7 +3,8 @@
 A micro-batch is cut into ranges like any ordered table, so a key with most of its rows is walked by many tasks; what
 the key's earlier batches amount to (counts, sums, the lowest level) is joined in as an offset. The state is a small
 table, one row per key, written as a new version with every batch: a batch that is repeated after a failure starts
-from the version before it and replaces what it wrote. No row passes through Python.
+from the version before it and replaces what it wrote. A batch is walked once: its summary, one row per key, is written
+before alerts and state are taken from it. No row passes through Python.
 
 Rows of a key must not be older than those of its earlier batches. A key that has drifted is silent from then on; NULL
 is a key of its own; rows without a value are skipped.
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from underwrite.config import MonitoringRules
 from underwrite.operators import detectors as DT
 from underwrite.operators.small import join_keys
+from underwrite.session import materialize
 
 ALERTS = "key string, detector string, state string, at_index bigint, statistic double"
 KEYS, ORDER = ["key"], ["ts", "id"]
@@ -36,7 +38,7 @@ def ddm_step(batch: DataFrame, before: DataFrame, rules: MonitoringRules) -> tup
     was = F.coalesce("was", F.lit("estable"))
     drift = F.when(was != "drift", F.col("d"))
     warning = F.when((was == "estable") & (F.col("d").isNull() | (F.col("w.i") < F.col("d.i"))), F.col("w"))
-    both = found.select("key", "end", was.alias("was"), drift.alias("drift"), warning.alias("warning"))
+    both = materialize(found.select("key", "end", was.alias("was"), drift.alias("drift"), warning.alias("warning")), "ddm-walk")
     listed = both.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("state"), F.col(n).alias("at")) for n in ("warning", "drift")])).alias("e"))
     alerts = listed.where("e.at is not null").select("key", F.lit("ddm").alias("detector"), "e.state", F.col("e.at.i").alias("at_index"), F.col("e.at.level").alias("statistic"))
     name = F.when(F.col("drift").isNotNull(), "drift").when(F.col("warning").isNotNull(), "warning").otherwise(F.col("was"))
@@ -48,7 +50,7 @@ def page_hinkley_step(batch: DataFrame, before: DataFrame, rules: MonitoringRule
     walked = DT.page_hinkley_rows(batch, "value", ORDER, KEYS, rules, before)
     found = join_keys(DT.page_hinkley_summary(walked, KEYS, rules), before.select("key", F.col("name").alias("was")), KEYS, how="left")
     was = F.coalesce("was", F.lit("estable"))
-    both = found.select("key", "end", was.alias("was"), F.when(was != "drift", F.col("h")).alias("drift"))
+    both = materialize(found.select("key", "end", was.alias("was"), F.when(was != "drift", F.col("h")).alias("drift")), "page-hinkley-walk")
     alerts = both.where("drift is not null").select("key", F.lit("page_hinkley").alias("detector"), F.lit("drift").alias("state"), F.col("drift.i").alias("at_index"), F.col("drift.s").alias("statistic"))
     return alerts, both.select("key", "end.*", F.when(F.col("drift").isNotNull(), "drift").otherwise(F.col("was")).alias("name"))
 
