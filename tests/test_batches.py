@@ -5,6 +5,8 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from underwrite.operators import detectors as DT
+from underwrite.operators import scan
 from underwrite.plans import q_streaming
 from underwrite.session import scratch_path
 from underwrite.streaming import detectors as SD
@@ -70,3 +72,25 @@ def test_a_batch_is_walked_once_for_alerts_and_state(spark, detector, monkeypatc
     kept = spark.read.parquet(f"{state}/batch=0").collect()
     assert [(r["key"], r["n"]) for r in kept] == [("k", 400)]
     assert walked.value == 400
+
+
+def test_ranges_and_tasks_of_a_walk_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(6000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 6000).alias("t"), ((F.col("id") * 7919 % 6000 > 4000) & (F.col("id") % 2 == 0)).cast("double").alias("x"))
+
+    def found(find):
+        return sorted([round(v, 9) if isinstance(v, float) else v for v in r] for r in find(rows, "x", ["t"], ["k"]).collect())
+
+    few = DT.ordered_rows(rows, "x", ["t"], ["k"])
+    plain = [found(find) for find in (DT.ddm, DT.page_hinkley)]
+    monkeypatch.setattr(scan, "RANGE_ROWS", 100, raising=False)
+    many = DT.ordered_rows(rows, "x", ["t"], ["k"])
+    assert (few.select(scan.RANGE).distinct().count() <= 16) and many.rdd.getNumPartitions() == 60
+    assert max(r["count"] for r in many.groupBy(scan.RANGE).count().collect()) <= 200
+    assert [found(find) for find in (DT.ddm, DT.page_hinkley)] == plain
+
+
+@pytest.mark.parametrize("find", [DT.ddm, DT.page_hinkley])
+def test_summaries_do_not_sort_the_rows(spark, capsys, find):
+    find(spark.range(50).select(F.lit("k").alias("k"), "id", F.lit(1.0).alias("x")), "x", ["id"], ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from underwrite.config import MonitoringRules
 from underwrite.functions.parsing import col, dec
-from underwrite.operators.scan import RANGE, running_min, running_total, with_range
+from underwrite.operators.scan import CELL, RANGE, dealt_ranges, running_min, running_total
 from underwrite.operators.small import join_keys
 
 
@@ -28,7 +28,7 @@ def ordered_rows(df: DataFrame, value: Column | str, order: Sequence[Column | st
             expr = F.unix_micros(expr.cast("timestamp"))
         columns.append(expr.alias(f"o{i}"))
     rows = df.select(*keys, *columns, col(value).cast("double").alias("x"))
-    return with_range(rows.filter(F.col("x").isNotNull()), [f"o{i}" for i in range(len(order))])
+    return dealt_ranges(rows.filter(F.col("x").isNotNull()), [f"o{i}" for i in range(len(order))], keys)
 
 
 def _carried(counted: DataFrame, keys: Sequence[str], carried: DataFrame | None, columns: dict[str, str]) -> DataFrame:
@@ -59,7 +59,7 @@ def ddm_rows(
     counted = running_total(ordered_rows(df, error, order, keys), keys, names, {"n": F.lit(1).cast("bigint"), "hits": F.col("x")})
     counted = _carried(counted, keys, carried, DDM_STATE)
     n, hits = F.col("n") + F.coalesce("_n", F.lit(0)), F.col("hits") + F.coalesce("_hits", dec(0))
-    counted = counted.select(*keys, *names, RANGE, n.alias("n"), hits.alias("hits"), F.col("_low"))
+    counted = counted.select(*keys, *names, RANGE, CELL, n.alias("n"), hits.alias("hits"), F.col("_low"))
     p = F.col("hits") / F.col("n")
     levels = counted.withColumn("p", p).withColumn("sd", F.sqrt(F.greatest(F.col("p") * (dec(1) - F.col("p")), dec(0)) / F.col("n")))
     active = (F.col("n") >= rules.ddm_min_n) & (F.col("sd") > 0)
@@ -98,11 +98,15 @@ def ddm_summary(walked: DataFrame, keys: Sequence[str], rules: MonitoringRules |
     def first_past(times: float) -> Column:
         # low.level is p_min + s_min, so the limit p_min + times * s_min lies times - 1 deviations above it.
         crossed = F.col("active") & (F.col("level") > F.col("low.level") + F.col("low.sd") * dec(times - 1))
-        return F.min(F.when(crossed, F.struct((F.col("n") - 1).alias("i"), F.col("low.level").alias("level"))))
+        at = F.when(crossed, F.col("n"))
+        return F.when(F.min(at).isNotNull(), F.struct((F.min(at) - 1).alias("i"), F.min_by("low.level", at).alias("level")))
 
+    # Numbers only: a minimum of structs would sort every row of a task before it aggregates.
+    low = F.struct(*[F.max_by(f"low.{name}", "n").alias(name) for name in ("level", "at", "sd")])
+    low = F.when(F.max_by("low.level", "n").isNotNull(), low)
     return walked.groupBy(*keys).agg(
         first_past(rules.ddm_drift_level).alias("d"), first_past(rules.ddm_warning_level).alias("w"),
-        F.max_by(F.struct("n", "hits", "low"), "n").alias("end"),
+        F.struct(F.max("n").alias("n"), F.max_by("hits", "n").alias("hits"), low.alias("low")).alias("end"),
     )
 
 
@@ -131,9 +135,11 @@ def page_hinkley_rows(
 def page_hinkley_summary(walked: DataFrame, keys: Sequence[str], rules: MonitoringRules | None = None) -> DataFrame:
     """(keys, h, last, end): first row over the limit, the last statistic, and the last row's state."""
     rules = rules or MonitoringRules()
-    hit = F.when(F.col("statistic") > rules.page_hinkley_lambda, F.struct((F.col("n") - 1).alias("i"), F.col("statistic").alias("s")))
+    at = F.when(F.col("statistic") > rules.page_hinkley_lambda, F.col("n"))
+    hit = F.when(F.min(at).isNotNull(), F.struct((F.min(at) - 1).alias("i"), F.min_by("statistic", at).alias("s")))
+    end = F.struct(F.max("n").alias("n"), *[F.max_by(name, "n").alias(name) for name in ("total", "cum", "low")])
     return walked.groupBy(*keys).agg(
-        F.min(hit).alias("h"), F.max_by("statistic", "n").alias("last"), F.max_by(F.struct("n", "total", "cum", "low"), "n").alias("end")
+        hit.alias("h"), F.max_by("statistic", "n").alias("last"), end.alias("end")
     )
 
 

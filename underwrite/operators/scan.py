@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from underwrite.session import parallelism
 
 RANGE = "_range"
+CELL = "_cell"
 COARSE = 64
+#: Rows that a range of a large table holds about; a task sorts a few ranges.
+RANGE_ROWS = 500_000
 
 
 def _all_columns(df: DataFrame) -> Column:
@@ -72,17 +75,36 @@ def with_range(
     return out.withColumn(RANGE, F.coalesce(position, F.lit(-1).cast("bigint"))).drop("_cuts0", "_cuts1")
 
 
+def dealt_ranges(df: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """:func:`with_range` with ranges that stay small on any table: beyond ``RANGE_ROWS`` rows for every partition of
+    the session, their number follows the rows, and so does the number of tasks that sort them."""
+    base = parallelism(df.sparkSession)
+    ranges = max(base, -(-df.count() // RANGE_ROWS))
+    ranged = with_range(df, order, ranges)
+    # Keys and range as one column that is never NULL: windows and offset joins of a scan then share one exchange.
+    ranged = ranged.withColumn(CELL, F.struct(*keys, RANGE))
+    return ranged.repartition(ranges, CELL) if ranges > base else ranged
+
+
 def _attach_offsets(local: DataFrame, keys: Sequence[str], offsets: DataFrame) -> DataFrame:
     """Left join of the few range offsets; AQE broadcasts them when their measured size allows."""
-    match = F.col(f"l.{RANGE}") == F.col(f"o.{RANGE}")
-    for key in keys:  # a NULL key is a key of its own
-        match &= F.col(f"l.`{key}`").eqNullSafe(F.col(f"o.`{key}`"))
-    added = [F.col(f"o.`{c}`") for c in offsets.columns if c not in (*keys, RANGE)]
+    if CELL in local.columns:
+        match = F.col(f"l.{CELL}") == F.col(f"o.{CELL}")
+    else:
+        match = F.col(f"l.{RANGE}") == F.col(f"o.{RANGE}")
+        for key in keys:  # a NULL key is a key of its own
+            match &= F.col(f"l.`{key}`").eqNullSafe(F.col(f"o.`{key}`"))
+    added = [F.col(f"o.`{c}`") for c in offsets.columns if c not in (*keys, RANGE, CELL)]
     return local.alias("l").join(offsets.alias("o"), match, "left").select("l.*", *added)
 
 
-def _local_window(keys: Sequence[str], order: Sequence[str], descending: bool = False):
-    spec = W.partitionBy(*keys, RANGE)
+def _cell(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The columns that name a range of a key: the one of :func:`dealt_ranges`, else the keys and the range."""
+    return [CELL] if CELL in df.columns else [*keys, RANGE]
+
+
+def _local_window(cell: Sequence[str], order: Sequence[str], descending: bool = False):
+    spec = W.partitionBy(*cell)
     return spec.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order])
 
 
@@ -99,7 +121,7 @@ def running_total(
     names, per value, an extra column with the sum over the whole key.
     """
     totals = totals or {}
-    ahead = _local_window(keys, order)
+    ahead = _local_window(_cell(df, keys), order)
     rows = ahead.rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({n: F.sum(v).over(rows) for n, v in values.items()})
     local = local.withColumn("_last", F.lead(F.lit(True)).over(ahead).isNull())
@@ -110,7 +132,7 @@ def running_total(
     # Every range of a key repeats its totals, so the offset frame has one row per (key, range).
     shifts = [F.sum(n).over(before).alias(f"_off_{n}") for n in values]
     sums = [F.sum(n).over(whole).alias(t) for n, t in totals.items()]
-    offsets = ends.select(*keys, RANGE, *shifts, *sums)
+    offsets = ends.select(*dict.fromkeys([*keys, RANGE, *_cell(df, keys)]), *shifts, *sums)
 
     joined = _attach_offsets(local.drop("_last"), keys, offsets)
     shifted = {n: F.col(n) + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in values}
@@ -119,13 +141,13 @@ def running_total(
 
 def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
     """Inclusive running minimum of ``values`` (any orderable type) over ``order`` per key."""
-    ahead = _local_window(keys, order)
+    ahead = _local_window(_cell(df, keys), order)
     rows = ahead.rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({n: F.min(v).over(rows) for n, v in values.items()})
     local = local.withColumn("_last", F.lead(F.lit(True)).over(ahead).isNull())
     before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     offsets = local.filter(F.col("_last") & _all_columns(df)).select(
-        *keys, RANGE, *[F.min(n).over(before).alias(f"_off_{n}") for n in values]
+        *dict.fromkeys([*keys, RANGE, *_cell(df, keys)]), *[F.min(n).over(before).alias(f"_off_{n}") for n in values]
     )
     joined = _attach_offsets(local.drop("_last"), keys, offsets)
     return joined.withColumns({n: F.least(F.col(n), F.col(f"_off_{n}")) for n in values}).drop(
@@ -135,7 +157,7 @@ def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
 
 def running_xor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
     """Inclusive running exclusive or of the integers ``values`` over ``order`` per key; needs the range column."""
-    rows = _local_window(keys, order).rowsBetween(W.unboundedPreceding, 0)
+    rows = _local_window([*keys, RANGE], order).rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({n: F.bit_xor(v).over(rows) for n, v in values.items()})
     totals = df.groupBy(*keys, RANGE).agg(*[F.bit_xor(v).alias(n) for n, v in values.items()])
     before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
@@ -147,7 +169,7 @@ def running_xor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
 
 def next_value(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """The value of ``column`` that follows in its order per key, NULL after the last; needs the range column."""
-    local = df.withColumn(name, F.lead(column).over(_local_window(keys, [column])))
+    local = df.withColumn(name, F.lead(column).over(_local_window([*keys, RANGE], [column])))
     starts = df.groupBy(*keys, RANGE).agg(F.min(column).alias("_start"))
     after = F.lead("_start").over(W.partitionBy(*keys).orderBy(RANGE)).alias("_next")
     joined = _attach_offsets(local, keys, starts.select(*keys, RANGE, after))
@@ -188,7 +210,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
 
 def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``value`` of the row that comes next in ``order`` per key, NULL after the last; needs the range column."""
-    local = df.withColumn(name, F.lead(value).over(_local_window(keys, order)))
+    local = df.withColumn(name, F.lead(value).over(_local_window([*keys, RANGE], order)))
     starts = df.groupBy(*keys, RANGE).agg(F.min(F.struct(*order, value.alias("_v"))).alias("_start"))
     after = F.lead("_start._v").over(W.partitionBy(*keys).orderBy(RANGE)).alias("_next")
     joined = _attach_offsets(local, keys, starts.select(*keys, RANGE, after))
