@@ -84,8 +84,8 @@ def test_ranges_and_tasks_of_a_walk_follow_the_rows(spark, monkeypatch):
     plain = [found(find) for find in (DT.ddm, DT.page_hinkley)]
     monkeypatch.setattr(scan, "RANGE_ROWS", 100, raising=False)
     many = DT.ordered_rows(rows, "x", ["t"], ["k"])
-    assert (few.select(scan.RANGE).distinct().count() <= 16) and many.rdd.getNumPartitions() == 60
-    assert max(r["count"] for r in many.groupBy(scan.RANGE).count().collect()) <= 200
+    assert (few.select("_cell._range").distinct().count() <= 16) and many.rdd.getNumPartitions() == 60
+    assert max(r["count"] for r in many.groupBy("_cell._range").count().collect()) <= 200
     assert [found(find) for find in (DT.ddm, DT.page_hinkley)] == plain
 
 

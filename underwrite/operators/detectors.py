@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from underwrite.config import MonitoringRules
 from underwrite.functions.parsing import col, dec
-from underwrite.operators.scan import CELL, RANGE, dealt_ranges, running_min, running_total
+from underwrite.operators.scan import CELL, dealt_ranges, running_min, running_total
 from underwrite.operators.small import join_keys
 
 
@@ -59,7 +59,7 @@ def ddm_rows(
     counted = running_total(ordered_rows(df, error, order, keys), keys, names, {"n": F.lit(1).cast("bigint"), "hits": F.col("x")})
     counted = _carried(counted, keys, carried, DDM_STATE)
     n, hits = F.col("n") + F.coalesce("_n", F.lit(0)), F.col("hits") + F.coalesce("_hits", dec(0))
-    counted = counted.select(*keys, *names, RANGE, CELL, n.alias("n"), hits.alias("hits"), F.col("_low"))
+    counted = counted.select(*keys, *names, CELL, n.alias("n"), hits.alias("hits"), F.col("_low"))
     p = F.col("hits") / F.col("n")
     levels = counted.withColumn("p", p).withColumn("sd", F.sqrt(F.greatest(F.col("p") * (dec(1) - F.col("p")), dec(0)) / F.col("n")))
     active = (F.col("n") >= rules.ddm_min_n) & (F.col("sd") > 0)

@@ -82,7 +82,7 @@ def dealt_ranges(df: DataFrame, order: Sequence[str], keys: Sequence[str]) -> Da
     ranges = max(base, -(-df.count() // RANGE_ROWS))
     ranged = with_range(df, order, ranges)
     # Keys and range as one column that is never NULL: windows and offset joins of a scan then share one exchange.
-    ranged = ranged.withColumn(CELL, F.struct(*keys, RANGE))
+    ranged = ranged.withColumn(CELL, F.struct(*keys, RANGE)).drop(RANGE)
     return ranged.repartition(ranges, CELL) if ranges > base else ranged
 
 
@@ -103,6 +103,10 @@ def _cell(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [CELL] if CELL in df.columns else [*keys, RANGE]
 
 
+def _position(df: DataFrame) -> Column:
+    return F.col(f"{CELL}.{RANGE}") if CELL in df.columns else F.col(RANGE)
+
+
 def _local_window(cell: Sequence[str], order: Sequence[str], descending: bool = False):
     spec = W.partitionBy(*cell)
     return spec.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order])
@@ -127,12 +131,12 @@ def running_total(
     local = local.withColumn("_last", F.lead(F.lit(True)).over(ahead).isNull())
 
     ends = local.filter(F.col("_last") & _all_columns(df))
-    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(_position(df)).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     # Every range of a key repeats its totals, so the offset frame has one row per (key, range).
     shifts = [F.sum(n).over(before).alias(f"_off_{n}") for n in values]
     sums = [F.sum(n).over(whole).alias(t) for n, t in totals.items()]
-    offsets = ends.select(*dict.fromkeys([*keys, RANGE, *_cell(df, keys)]), *shifts, *sums)
+    offsets = ends.select(*dict.fromkeys([*keys, *_cell(df, keys)]), *shifts, *sums)
 
     joined = _attach_offsets(local.drop("_last"), keys, offsets)
     shifted = {n: F.col(n) + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in values}
@@ -145,9 +149,9 @@ def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     rows = ahead.rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({n: F.min(v).over(rows) for n, v in values.items()})
     local = local.withColumn("_last", F.lead(F.lit(True)).over(ahead).isNull())
-    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(_position(df)).rowsBetween(W.unboundedPreceding, -1)
     offsets = local.filter(F.col("_last") & _all_columns(df)).select(
-        *dict.fromkeys([*keys, RANGE, *_cell(df, keys)]), *[F.min(n).over(before).alias(f"_off_{n}") for n in values]
+        *dict.fromkeys([*keys, *_cell(df, keys)]), *[F.min(n).over(before).alias(f"_off_{n}") for n in values]
     )
     joined = _attach_offsets(local.drop("_last"), keys, offsets)
     return joined.withColumns({n: F.least(F.col(n), F.col(f"_off_{n}")) for n in values}).drop(
